@@ -2,12 +2,12 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F, types as T
 
 from driftgate.sources.archives import list_members
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def psi(payloads: pd.Series, frames: pd.Series, eps: pd.Series) -> pd.Series:
     """Motion score of a float32 payload of the given frame count, above `eps`."""
     def score(buffer, n, floor):
@@ -19,7 +19,7 @@ def psi(payloads: pd.Series, frames: pd.Series, eps: pd.Series) -> pd.Series:
     return pd.Series([score(*row) for row in zip(payloads, frames, eps)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def huber_mean(pred: pd.Series, target: pd.Series, delta: pd.Series) -> float:
     """Mean robust loss of a group of scalar predictions."""
     error = (pred - target).abs()
@@ -28,7 +28,11 @@ def huber_mean(pred: pd.Series, target: pd.Series, delta: pd.Series) -> float:
     return float(terms.mean())
 
 
-@F.udtf(returnType="member string, size bigint")
+MEMBER = T.StructType([T.StructField("member", T.StringType()),
+                       T.StructField("size", T.LongType())])
+
+
+@F.udtf(returnType=MEMBER)
 class ArchiveMembers:
     """SQL table function: the video members of one archive."""
 

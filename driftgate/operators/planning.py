@@ -4,7 +4,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from driftgate.functions.expressions import latent_id, shuffle_key
 from driftgate.operators.ordering import first_n, index_rows
@@ -114,25 +114,27 @@ def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
     rows = index_rows(df, writer, order, "_row").withColumn(
         "_block", F.floor(F.col("_row") / block_rows).cast("long"))
     sizes = rows.select(*writer, "_block", "_row", F.col(size).cast("long").alias("_size"))
-    writer_fields = [f"{c} {df.schema[c].dataType.simpleString()}" for c in writer]
+    keyed = [df.schema[c] for c in writer] + [T.StructField("_block", T.LongType())]
+
+    def with_longs(*names):
+        return T.StructType(keyed + [T.StructField(n, T.LongType()) for n in names])
 
     outcomes = sizes.groupBy(*writer, "_block").applyInPandas(
         lambda pdf: _block_outcomes(pdf, writer, max_bytes),
-        ", ".join([*writer_fields, "_block long", "need long", "closed long", "carry long"]))
+        with_longs("need", "closed", "carry"))
     entries = outcomes.groupBy(*writer).applyInPandas(
         lambda pdf: _chain_blocks(pdf, writer, max_bytes),
-        ", ".join([*writer_fields, "_block long", "_carry long", "_first long"]))
+        with_longs("_carry", "_first"))
 
     # Same key as the grouping that follows, compared as a struct so null writers match.
     key = F.struct(*writer, "_block")
     entries = entries.select(key.alias("_k"), "_carry", "_first")
     numbered = rows.withColumn("_size", F.col(size).cast("long")).withColumn("_k", key).join(
         entries, "_k").drop("_k")
-    out = [*df.schema.fields]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in out],
-                        "shard long"])
+    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.LongType())])
+    names = schema.names
     return numbered.groupBy(*writer, "_block").applyInPandas(
-        lambda pdf: _number_block(pdf, max_bytes)[[*df.columns, "shard"]], schema)
+        lambda pdf: _number_block(pdf, max_bytes)[names], schema)
 
 
 def _closing_rows(upto, limit, carry):

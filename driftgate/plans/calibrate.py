@@ -27,7 +27,9 @@ def frame_changes(latents: DataFrame, shape=LATENT_SHAPE, tag=SAMPLE_TAG) -> Dat
 
 def scores(changes: DataFrame, eps) -> DataFrame:
     """Motion score of each tubelet from its stored frame changes."""
-    return changes.withColumn("psi", excess_sum(F.col("l1"), eps)).drop("l1")
+    # The floor may be a scalar subquery, which a lambda cannot contain: name it first.
+    named = changes.withColumn("_eps", eps)
+    return named.withColumn("psi", excess_sum(F.col("l1"), F.col("_eps"))).drop("l1", "_eps")
 
 
 def calibrate(changes: DataFrame, n_static=STATIC_TARGET, tag=SAMPLE_TAG) -> DataFrame:

@@ -12,9 +12,8 @@ from driftgate.settings import (
 def window_starts(videos: DataFrame, size=TUBELET_RAW_FRAMES) -> DataFrame:
     """One row per whole window of each video, from its frame count alone."""
     last = F.col("n_frames") - size
-    return videos.where(last >= 0).withColumn(
-        "tubelet_start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"),
-                                              F.lit(size).cast("long"))).cast("int"))
+    starts = F.sequence(F.lit(0), last.cast("int"), F.lit(size))
+    return videos.where(last >= 0).withColumn("tubelet_start", F.explode(starts))
 
 
 def work_list(videos: DataFrame, index: DataFrame, key="mp4_name", target=TARGET_TUBELETS,

@@ -1,5 +1,7 @@
 """Session settings and the shared folder that intermediate tables are written to."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,19 @@ def build_session(app_name="driftgate", master=None, **conf):
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application (as `--py-files` would)."""
+    if spark.conf.get("driftgate.shipped", None) != spark.sparkContext.applicationId:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(), "driftgate"), "zip",
+            os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+        spark.conf.set("driftgate.shipped", spark.sparkContext.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

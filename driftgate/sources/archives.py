@@ -29,17 +29,27 @@ def archive_manifest(paths: DataFrame, factories=None, path="path") -> DataFrame
                                                 F.lit(UNKNOWN))))
 
 
-def open_shared(path: str):
-    """A seekable file on any storage the path names."""
+def _shared_file(path: str):
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
-        filesystem, path = fs.FileSystem.from_uri(path)
-    else:
-        filesystem = fs.LocalFileSystem()
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def open_shared(path: str):
+    """A seekable file on any storage the path names."""
+    filesystem, path = _shared_file(path)
     return filesystem.open_input_file(path)
 
 
+def create_shared(path: str):
+    """A new file on any storage the path names; missing folders are made."""
+    filesystem, path = _shared_file(path)
+    filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+    return filesystem.open_output_stream(path)
+
+
 def list_members(path: str):
     """(name, size) of each video file in the archive; none if the archive cannot be read.
 
