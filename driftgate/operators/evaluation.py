@@ -17,16 +17,16 @@ STEP_ORDER = ["step", "direction"]
 
 def batch_sigma(pairs: DataFrame, target="target", keys=("batch_id", "direction")) -> DataFrame:
     """Volatility of all target values of a batch (sample variance)."""
-    values = pairs.select(*keys, F.explode(target).cast("double").alias("v"))
-    return values.groupBy(*keys).agg(volatility(F.var_samp("v")).alias("sigma"))
+    values = pairs.select(*keys, F.explode(target).alias("v"))
+    return values.groupBy(*keys).agg(
+        volatility(F.var_samp(F.col("v").cast("double"))).alias("sigma"))
 
 
 def validation_delta(frames: DataFrame, value, batch="batch_id",
                      n=VALIDATION_VARIANCE_BATCHES) -> DataFrame:
     """Fixed validation threshold from the mean variance of the first n batches."""
-    values = frames.where(F.col(batch) < n).select(
-        batch, F.explode(value).cast("double").alias("v"))
-    return (values.groupBy(batch).agg(F.var_samp("v").alias("var"))
+    values = frames.where(F.col(batch) < n).select(batch, F.explode(value).alias("v"))
+    return (values.groupBy(batch).agg(F.var_samp(F.col("v").cast("double")).alias("var"))
             .agg(volatility(F.avg("var")).alias("delta"), F.count("*").alias("n_batches")))
 
 

@@ -3,8 +3,8 @@
 A predictor is a depthwise stencil over time and space, an activation, a channel mix, and a
 gate that blends the result with its input. Two forms:
 
-- column expressions for small grids, where each linear stage is a table of taps applied to
-  an array column;
+- columns for small grids: windows and expressions in the JVM, each linear stage one matrix
+  product on Arrow batches;
 - a numpy reduction for full payloads, which leaves only losses per tubelet.
 
 Frames are arrays in row-major [y, x, channel] order.
@@ -13,6 +13,7 @@ Frames are arrays in row-major [y, x, channel] order.
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -37,44 +38,31 @@ class Weights:
 
 # --- column form -------------------------------------------------------------
 
-def apply_taps(values, taps, bias):
-    """out[i] = bias[i] + sum of weight * values[j] over the taps (j, weight) of i."""
-    table = F.array(*[
-        F.struct(F.lit(float(b)).alias("b"),
-                 F.array(*[F.lit(int(j)) for j, _ in row]).alias("j"),
-                 F.array(*[F.lit(float(w)) for _, w in row]).alias("w"))
-        for row, b in zip(taps, bias)])
-    return F.transform(table, lambda row: row["b"] + F.aggregate(
-        F.zip_with(row["j"], row["w"], lambda j, w: w * F.get(values, j)),
-        F.lit(0.0), lambda acc, x: acc + x))
+def linear_map(matrix, bias):
+    """An Arrow UDF applying `values @ matrix + bias` to an array column. The matrix belongs
+    to a small grid, so its size is fixed by the weights and not by the data."""
+    matrix, bias = np.asarray(matrix, dtype=float), np.asarray(bias, dtype=float)
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(values: pd.Series) -> pd.Series:
+        if values.empty:
+            return values
+        return pd.Series(list(np.stack(values.to_list()) @ matrix + bias), index=values.index)
+    return apply
 
-def stencil_taps(kernel, height, width):
-    """Taps of a depthwise stencil over three stacked frames; outside the border is zero."""
-    channels, cells = kernel.shape[0], height * width * kernel.shape[0]
-    taps = []
-    for y, x, c in np.ndindex(height, width, channels):
-        taps.append([
-            (k * cells + ((y + dy) * width + x + dx) * channels + c, kernel[c, k, dy + 1, dx + 1])
-            for k in range(TIME_TAPS) for dy in (-1, 0, 1) for dx in (-1, 0, 1)
-            if 0 <= y + dy < height and 0 <= x + dx < width])
-    return taps
-
-
-def mix_taps(matrix, height, width):
-    """Taps of a channel mix at every position."""
-    channels = matrix.shape[1]
-    return [[(p * channels + c, matrix[out, c]) for c in range(channels)]
-            for p in range(height * width) for out in range(matrix.shape[0])]
 
-
-def gate_taps(gate, height, width):
-    """Taps of the gate: one linear form per position over [input, activated] stacked."""
-    channels = len(gate) // 2
-    cells = height * width * channels
-    return [[(p * channels + c, gate[c]) for c in range(channels)]
-            + [(cells + p * channels + c, gate[channels + c]) for c in range(channels)]
-            for p in range(height * width)]
+def stencil_matrix(kernel, height, width):
+    """Matrix of a depthwise stencil over three stacked frames; outside the border is zero."""
+    channels, cells = kernel.shape[0], height * width * kernel.shape[0]
+    matrix = np.zeros((TIME_TAPS * cells, cells))
+    for y, x, k, dy, dx in np.ndindex(height, width, TIME_TAPS, 3, 3):
+        from_y, from_x = y + dy - 1, x + dx - 1
+        if 0 <= from_y < height and 0 <= from_x < width:
+            source = k * cells + (from_y * width + from_x) * channels
+            target = (y * width + x) * channels
+            for c in range(channels):
+                matrix[source + c, target + c] = kernel[c, k, dy, dx]
+    return matrix
 
 
 def stencil(frames: DataFrame, value, kernel, bias, grid, causal=True, keys=TUBELET,
@@ -90,16 +78,17 @@ def stencil(frames: DataFrame, value, kernel, bias, grid, causal=True, keys=TUBE
         {f"_z{k}": F.coalesce(shift(F.col("_z"), n).over(order), zero) if n else F.col("_z")
          for k, n in enumerate(offsets)})
     stacked = F.concat(*[F.col(f"_z{k}") for k in range(TIME_TAPS)])
-    taps = stencil_taps(np.asarray(kernel), height, width)
-    return (shifted.withColumn("_stack", stacked)
-            .withColumn(out, apply_taps(F.col("_stack"), taps, np.tile(bias, height * width)))
-            .drop("_z", "_stack", *[f"_z{k}" for k in range(TIME_TAPS)]))
+    convolve = linear_map(stencil_matrix(np.asarray(kernel), height, width),
+                          np.tile(bias, height * width))
+    return shifted.withColumn(out, convolve(stacked)).drop(
+        "_z", *[f"_z{k}" for k in range(TIME_TAPS)])
 
 
 def channel_mix(frames: DataFrame, value, matrix, bias, grid, out="mixed") -> DataFrame:
-    taps = mix_taps(np.asarray(matrix), *grid)
-    return frames.withColumn(out, apply_taps(F.col(value), taps,
-                                             np.tile(bias, grid[0] * grid[1])))
+    """Linear mix of the channels at every position."""
+    positions = grid[0] * grid[1]
+    mix = linear_map(np.kron(np.eye(positions), np.asarray(matrix).T), np.tile(bias, positions))
+    return frames.withColumn(out, mix(F.col(value)))
 
 
 def activate(frames: DataFrame, value, out="activated") -> DataFrame:
@@ -110,16 +99,16 @@ def gated_blend(frames: DataFrame, value, activated, mixed, gate, bias, grid,
                 out="pred") -> DataFrame:
     """(1 - u) * input + u * mixed, with one gate value u per position."""
     positions, channels = grid[0] * grid[1], len(gate) // 2
-    both = F.concat(F.col(value).cast("array<double>"), F.col(activated))
-    linear = apply_taps(F.col("_both"), gate_taps(np.asarray(gate), *grid), [bias] * positions)
-    blended = F.transform(
-        F.zip_with(F.col(value).cast("array<double>"), mixed,
-                   lambda z, m: F.struct(z.alias("z"), m.alias("m"))),
-        lambda p, i: p["z"] + F.get(F.col("_u"), (i / channels).cast("int"))
-        * (p["m"] - p["z"]))
-    return (frames.withColumn("_both", both)
-            .withColumn("_u", F.transform(linear, sigmoid))
-            .withColumn(out, blended).drop("_both", "_u"))
+    # One linear form per position over [input, activated], repeated for its channels.
+    halves = [np.kron(np.eye(positions), np.outer(g, np.ones(channels)))
+              for g in (gate[:channels], gate[channels:])]
+    linear = linear_map(np.vstack(halves), np.full(positions * channels, bias))
+    z = F.col(value).cast("array<double>")
+    both = F.zip_with(z, mixed, lambda a, b: F.struct(a.alias("z"), b.alias("m")))
+    blended = F.zip_with(both, "_gate", lambda p, g: (1 - sigmoid(g)) * p["z"]
+                         + sigmoid(g) * p["m"])
+    return (frames.withColumn("_gate", linear(F.concat(z, F.col(activated))))
+            .withColumn(out, blended).drop("_gate"))
 
 
 def predict(frames: DataFrame, value, weights: Weights, grid, causal=True,
