@@ -55,10 +55,11 @@ def with_batches(df: DataFrame, size=BATCH_SIZE, order=None) -> DataFrame:
 
 def check_split(train: DataFrame, val: DataFrame, keys) -> DataFrame:
     """One row: distinct keys in each side, in both, and in either."""
-    sides = (train.select(*keys, F.lit(1).alias("t"), F.lit(0).alias("v"))
-             .unionByName(val.select(*keys, F.lit(0).alias("t"), F.lit(1).alias("v"))))
-    return (sides.groupBy(*keys).agg(F.max("t").alias("t"), F.max("v").alias("v"))
-            .agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n_train"),
-                 F.coalesce(F.sum("v"), F.lit(0)).alias("n_val"),
-                 F.count_if((F.col("t") == 1) & (F.col("v") == 1)).alias("n_both"),
+    sides = (train.select(*keys, F.lit(1).alias("_train"), F.lit(0).alias("_val"))
+             .unionByName(val.select(*keys, F.lit(0).alias("_train"), F.lit(1).alias("_val"))))
+    return (sides.groupBy(*keys)
+            .agg(F.max("_train").alias("_train"), F.max("_val").alias("_val"))
+            .agg(F.coalesce(F.sum("_train"), F.lit(0)).alias("n_train"),
+                 F.coalesce(F.sum("_val"), F.lit(0)).alias("n_val"),
+                 F.count_if(F.col("_train") + F.col("_val") == 2).alias("n_both"),
                  F.count("*").alias("n_all")))
