@@ -3,6 +3,7 @@
 import logging
 import tarfile
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -71,11 +72,13 @@ def explode_archives(manifest: DataFrame, path="path") -> DataFrame:
                            T.StructField("size", T.LongType())])
 
     def members(batches):
-        for rows in batches:
-            rows = rows.assign(_m=[list_members(p) for p in rows[path]]).explode("_m")
-            rows = rows[rows["_m"].notna()]
-            rows["member"] = [m[0] for m in rows["_m"]]
-            rows["size"] = [m[1] for m in rows["_m"]]
-            yield rows[names + ["member", "size"]]
-
-    return manifest.mapInPandas(members, schema)
+        for batch in batches:
+            found = [(row, *member) for row, p in enumerate(batch.column(path).to_pylist())
+                     for member in list_members(p)]
+            rows, member, size = zip(*found) if found else ((), (), ())
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(rows) for c in names],
+                 pa.array(member, pa.string()), pa.array(size, pa.int64())], names=schema.names)
+
+    return manifest.mapInArrow(members, schema)
