@@ -4,6 +4,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from driftgate.functions.expressions import latent_id, shuffle_key
@@ -107,7 +108,8 @@ def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
     Closing a shard resets the sum, so this is no running total. It is still parallel: each
     block of a writer's rows is summarised as what happens for every row that could close
     the shard it inherits (`_block_outcomes`); those few rows are chained over the blocks,
-    and each block then numbers its own rows from the bytes it really inherits.
+    and each block then numbers its own rows from the bytes it really inherits. Choose
+    `block_rows` well above the rows of one shard.
 
     Only keys and sizes take part; attach payloads by address afterwards.
     """
@@ -122,9 +124,7 @@ def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
     outcomes = sizes.groupBy(*writer, "_block").applyInPandas(
         lambda pdf: _block_outcomes(pdf, writer, max_bytes),
         with_longs("need", "closed", "carry"))
-    entries = outcomes.groupBy(*writer).applyInPandas(
-        lambda pdf: _chain_blocks(pdf, writer, max_bytes),
-        with_longs("_carry", "_first"))
+    entries = _chain_blocks(outcomes, writer, max_bytes, with_longs("_carry", "_first"))
 
     # Same key as the grouping that follows, compared as a struct so null writers match.
     key = F.struct(*writer, "_block")
@@ -168,16 +168,38 @@ def _block_outcomes(pdf, writer, limit):
     return _with_keys(out, pdf, [*writer, "_block"])
 
 
-def _chain_blocks(pdf, writer, limit):
-    carry, first, made = 0, 0, []
-    for block, rows in pdf.sort_values(["_block", "need"]).groupby("_block", sort=True):
-        made.append((block, carry, first))
-        hits = rows[rows["need"] >= limit - carry]
-        if len(hits):
-            carry, first = int(hits["carry"].iloc[0]), first + int(hits["closed"].iloc[0])
-        else:
-            carry += int(rows.loc[rows["need"].isna(), "carry"].iloc[0])
-    return _with_keys(pd.DataFrame(made, columns=["_block", "_carry", "_first"]), pdf, writer)
+def _chain_blocks(outcomes, writer, limit, schema):
+    """Bytes and shard number each block inherits. A writer's outcomes stream through one
+    task in order, a small share of its rows as long as a block holds many shards; only the
+    open shard is remembered."""
+    ordered = outcomes.repartition(*writer).sortWithinPartitions(
+        *writer, "_block", F.asc_nulls_last("need"))
+
+    def chain(batches):
+        current = carry = first = lacking = None
+        for batch in batches:
+            made = []
+            keys = zip(*[batch.column(c).to_pylist() for c in [*writer, "_block"]])
+            values = zip(*[batch.column(c).to_pylist() for c in ("need", "closed", "carry")])
+            for key, (need, closed, left) in zip(keys, values):
+                if key != current:
+                    if current is None or key[:-1] != current[:-1]:
+                        carry, first = 0, 0
+                    current, lacking = key, limit - carry
+                    made.append((*key, carry, first))
+                if lacking is None:
+                    continue
+                if need is None:
+                    carry, lacking = carry + left, None
+                elif need >= lacking:
+                    carry, first, lacking = left, first + closed, None
+            columns = zip(*made) if made else [()] * len(names)
+            types = [*[batch.schema.field(c).type for c in writer], *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    names = schema.names
+    return ordered.mapInArrow(chain, schema)
 
 
 def _number_block(pdf, limit):

@@ -1,14 +1,16 @@
 """Full calibration: noise floor and gate from a latent table, with one payload pass."""
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from driftgate.functions.expressions import excess_sum
-from driftgate.functions.payload import frame_l1_from_payload
+from driftgate.functions.payload import FLOAT_BYTES, frame_l1_from_payload
 from driftgate.operators.calibration import (
     calibration_record, epsilon, fetch_rows, most_static, psi_stats,
 )
 from driftgate.schema import LATENT_KEYS, ROW_ADDRESS
-from driftgate.session import materialize
+from driftgate.session import materialize, payload_scan
 from driftgate.settings import LATENT_SHAPE, SAMPLE_TAG, STATIC_TARGET
 from driftgate.sources.calibration import guard
 from driftgate.sources.latents import only_tag, with_address
@@ -22,7 +24,8 @@ def frame_changes(latents: DataFrame, shape=LATENT_SHAPE, tag=SAMPLE_TAG) -> Dat
     """
     narrow = [*LATENT_KEYS, "tag", "m_flow", *ROW_ADDRESS]
     changes = frame_l1_from_payload(with_address(only_tag(latents, tag)), narrow, shape)
-    return materialize(changes, "frame-changes")
+    with payload_scan(latents.sparkSession, math.prod(shape) * FLOAT_BYTES):
+        return materialize(changes, "frame-changes")
 
 
 def scores(changes: DataFrame, eps) -> DataFrame:

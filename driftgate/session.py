@@ -4,9 +4,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 256 * 1024 ** 2
+
 
 def build_session(app_name="driftgate", master=None, **conf):
     """A session with the settings the operators expect; `conf` overrides them."""
@@ -64,10 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def payload_scan_conf(spark: SparkSession) -> None:
-    """Reader and Arrow batch limits for rows that carry a full tensor."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+@contextmanager
+def payload_scan(spark: SparkSession, payload_bytes: int):
+    """Read few enough payload rows at a time that a batch stays near 256 MiB. Holds for
+    the actions inside the block. Arrow batches are bounded in bytes by Spark itself."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(int(before), BATCH_BYTES // payload_bytes))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def payload_write_options() -> dict:

@@ -11,7 +11,7 @@ from driftgate.sources.calibration import (
     read_calibration, with_calibration, write_calibration,
 )
 from driftgate.sources.latents import (
-    index_of, only_tag, read_latents, scan_motion, with_address, with_defaults,
+    fetch_payloads, index_of, only_tag, read_latents, scan_motion, with_address, with_defaults,
 )
 from queries.fixtures import (
     EM_EPS, EM_WITH_L1, EM_WITH_LATENTS, EM_WITH_PSI, EV, EV_EPS, EV_FRAMES, EV_WITH_L1,
@@ -200,6 +200,17 @@ def fetch_rows_query(spark, sf_dir):
     return C.fetch_rows(wide, winners).select("event_id", "user_id", "props")
 
 
+@query("fetch_payloads", sql(*EM_WITH_LATENTS, select="""
+SELECT video_index, tubelet_start, tag, 2048 AS n_bytes FROM latents
+WHERE tag = 'iid_sample' AND m_flow >= 0 ORDER BY m_flow LIMIT 20"""))
+def fetch_payloads_query(spark, sf_dir):
+    """Two-phase read: motion first, then payloads from the winners' shards only."""
+    latents = read_latents(spark, latent_store(spark, sf_dir))
+    winners = materialize(C.most_static(scan_motion(latents), 20), "winners")
+    return fetch_payloads(winners).select(
+        "video_index", "tubelet_start", "tag", F.octet_length("latent_bytes").alias("n_bytes"))
+
+
 # --- gate and record ---------------------------------------------------------
 
 PSI_STATS = """round(avg(psi), 6) AS mean, round(stddev_pop(psi), 6) AS std,

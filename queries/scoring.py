@@ -12,9 +12,9 @@ from driftgate.operators.frames import channels_first, flow_magnitude, frame_dif
 from driftgate.operators.evaluation import eval_summary
 from driftgate.settings import CHANNEL_MEAN, CHANNEL_STD
 from driftgate.sources.latents import read_latents
-from queries.evaluation import EM_WITH_PAIRS, LOSSES, DELTA, PAIRS
+from queries.evaluation import DELTA, EM_WITH_PAIRS, HUBER, LOSSES, PAIRS
 from queries.fixtures import (
-    EM, EV_WITH_L1, W, em_frames, em_tubelets, ev_tubelets, latent_store, r, table,
+    EM, EV_WITH_L1, W, em_tubelets, ev_tubelets, latent_store, r, table,
 )
 from queries.registry import query, sql
 
@@ -165,18 +165,61 @@ def gated_blend(spark, sf_dir):
 
 # --- scoring -----------------------------------------------------------------
 
-@query("score_persistence", sql(*EM_WITH_PAIRS, LOSSES.replace(
-    "sum(CASE", "sum(CASE").replace("count(DISTINCT (run, start, t))",
-                                    "(16 * count(DISTINCT (run, start, t)))"), select="""
+def predictor_sql(name, used, reach):
+    """The whole predictor over the frames that `used` selects, as subquery `name`."""
+    return f"""{name}_in AS (SELECT * FROM cells WHERE {used}),
+{name}_conv AS (
+  SELECT o.seq_id, o.start, o.t, o.y, o.x, o.c, any_value(o.v) AS z,
+         0.01 * (o.c + 1) + sum(((o.c + 1) + 3 * k - 2 * dy + dx) / 50 * i.v) AS conv
+  FROM {name}_in i
+  JOIN (SELECT k, dy, dx, {reach} AS dt FROM (SELECT unnest(range(3)) AS k),
+          (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) ON TRUE
+  JOIN {name}_in o ON o.seq_id = i.seq_id AND o.start = i.start AND o.c = i.c
+   AND i.t = o.t + dt AND i.y = o.y + dy AND i.x = o.x + dx
+  GROUP BY o.seq_id, o.start, o.t, o.y, o.x, o.c),
+{name}_act AS (SELECT *, conv / (1 + exp(-conv)) AS a FROM {name}_conv),
+{name}_gate AS (
+  SELECT seq_id, start, t, y, x,
+         1 / (1 + exp(-(0.05 + sum((0.3 - 0.1 * c) * z + (0.3 - 0.1 * (4 + c)) * a)))) AS u
+  FROM {name}_act GROUP BY seq_id, start, t, y, x),
+{name}_mix AS (
+  SELECT i.seq_id, i.start, i.t, i.y, i.x, o.c,
+         0.02 * o.c + sum(((o.c - i.c) / 10 + 0.2) * i.a) AS m
+  FROM {name}_act i JOIN (SELECT unnest(range(4)) AS c) o ON TRUE
+  GROUP BY i.seq_id, i.start, i.t, i.y, i.x, o.c),
+{name} AS (
+  SELECT seq_id, start, t, y, x, c, (1 - u) * z + u * m AS pred
+  FROM {name}_act JOIN {name}_mix USING (seq_id, start, t, y, x, c)
+  JOIN {name}_gate USING (seq_id, start, t, y, x))"""
+
+
+FORWARD = predictor_sql("fwd", f"t < {PAIRS}", "k - 2")
+BACKWARD = predictor_sql("rev", f"t > 0 AND t <= {PAIRS}", "k")
+SUMMARY = """
 SELECT round(sum(loss) / 10, 4) AS mean_requested, round(avg(loss), 4) AS mean_actual,
        count(*) AS n_steps
-FROM (SELECT step, sum(loss) AS loss FROM losses WHERE step < 10 GROUP BY step)"""))
+FROM (SELECT step, sum(loss) AS loss FROM losses WHERE step < 10 GROUP BY step)"""
+
+
+@query("score_persistence", sql(*EM_WITH_PAIRS, LOSSES.replace(
+    "count(DISTINCT (run, start, t))", "(16 * count(DISTINCT (run, start, t)))"),
+    select=SUMMARY))
 def score_persistence(spark, sf_dir):
     """Payload scoring without weights: the prediction is the input."""
     return scored_summary(spark, sf_dir)
 
 
-@query("score_predictor")
+@query("score_predictor", sql(*EM, CELLS, FORWARD, BACKWARD, f"""
+errors AS (
+  SELECT 'fwd' AS direction, p.start // 16 AS step, p.pred - c.v AS e
+  FROM fwd p JOIN cells c ON p.seq_id = c.seq_id AND p.start = c.start AND c.t = p.t + 1
+   AND p.y = c.y AND p.x = c.x AND p.c = c.c
+  UNION ALL
+  SELECT 'rev', p.start // 16, p.pred - c.v
+  FROM rev p JOIN cells c ON p.seq_id = c.seq_id AND p.start = c.start AND c.t = p.t - 1
+   AND p.y = c.y AND p.x = c.x AND p.c = c.c),
+losses AS (SELECT step, direction, sum({HUBER}) / (count(*) / 4) AS loss
+           FROM errors GROUP BY step, direction)""", select=SUMMARY))
 def score_predictor(spark, sf_dir):
     """Payload scoring with the small test predictor in both directions."""
     return scored_summary(spark, sf_dir, WEIGHTS, WEIGHTS)
@@ -191,13 +234,9 @@ def scored_summary(spark, sf_dir, forward=None, backward=None):
         {"mean_requested": r("mean_requested", 4), "mean_actual": r("mean_actual", 4)})
 
 
-def predictions(spark, sf_dir, causal=True):
-    """The whole predictor in column form, on the inputs of the pairs."""
-    inputs = em_tubelets(spark, sf_dir)
-    used = F.col("t") < PAIRS if causal else (F.col("t") > 0) & (F.col("t") <= PAIRS)
-    return S.predict(inputs.where(used), "z", WEIGHTS, GRID, causal)
-
-
-@query("predictor_columns")
+@query("predictor_columns", sql(*EM, CELLS, FORWARD, select="""
+SELECT seq_id, start, t, y * 16 + x * 4 + c AS cell, round(pred, 6) AS pred FROM fwd"""))
 def predictor_columns(spark, sf_dir):
-    return cell_rows(predictions(spark, sf_dir), "pred", "pred")
+    """The whole predictor in column form."""
+    inputs = em_tubelets(spark, sf_dir).where(F.col("t") < PAIRS)
+    return cell_rows(S.predict(inputs, "z", WEIGHTS, GRID), "pred", "pred")
