@@ -70,10 +70,12 @@ def first_n(df: DataFrame, group, order, n, name="pos", salts=TOP_N_SALTS) -> Da
     """Keep the first `n` rows of each group and add their 0-based position.
 
     A row among a group's first n is among the first n of any part of it, so each group is
-    cut to n rows per salt before its rows meet. `n` is an int or a column.
+    cut to n rows per salt before its rows meet. The salt follows the input partition: for
+    small n, Spark then cuts each group to n rows inside every scan task already. `n` is an
+    int or a column.
     """
     limit = n if not isinstance(n, int) else F.lit(n)
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    salt = F.spark_partition_id() % salts
     per_salt = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order))
     position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return (df.withColumn("_salt", salt)

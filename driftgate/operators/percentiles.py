@@ -6,11 +6,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from driftgate.session import materialize
-from driftgate.settings import MAX_TASK_ROWS
+from driftgate.settings import MAX_PERCENTILE_ROWS
 
 
 def exact_percentiles(df: DataFrame, value, probs: dict, row_bound=None,
-                      max_rows=MAX_TASK_ROWS, more=()) -> DataFrame:
+                      max_rows=MAX_PERCENTILE_ROWS, more=()) -> DataFrame:
     """One row with one column per entry of `probs` (column name to fraction), and the
     further aggregates `more`.
 
@@ -108,7 +108,7 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
 
 def _cuts(df, pieces):
     """Approximate quantiles of the values: at most a few thousand numbers on the driver."""
-    n = min(max(pieces or 64, 8), 4096)
+    n = min(max(pieces or 64, 64), 4096)
     # NaN would be taken for a border, and only finite borders are needed.
     finite = df.where(~F.isnan("value"))
     return sorted(set(finite.approxQuantile("value", [i / n for i in range(1, n)], 0.5 / n)))

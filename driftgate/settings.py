@@ -65,6 +65,8 @@ CHANNEL_STD = (0.229, 0.224, 0.225)
 # --- scale limits -----------------------------------------------------------
 # Scalar rows one task may sort or hold; larger groups are split.
 MAX_TASK_ROWS = 4_000_000
+# Values the built-in exact percentile may hold in its one buffer.
+MAX_PERCENTILE_ROWS = 1_000_000
 # Upper bound on the number of keys sent to every executor.
 MAX_HOT_KEYS = 65_536
 # Sub-groups used to spread one group's top-n over tasks.

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from driftgate.functions.payload import check_payload
 from driftgate.operators import curation as C
 from driftgate.operators.frames import min_length, with_duration
+from driftgate.plans.calibrate import scores
 from driftgate.plans.epoch import epoch_sample
 from driftgate.session import materialize
 from driftgate.sources.latents import read_latents
 from queries.fixtures import (
-    EM_FRAMES, EV_EPS, EV_FRAMES, EV_PSI, EV_WITH_META, EV_WITH_PSI, SHAPE, ev_frames, ev_meta,
-    ev_psi, latent_store, r, rows, table,
+    EM_FRAMES, EV_EPS, EV_PSI, EV_WITH_META, EV_WITH_PSI, SHAPE, ev_meta, ev_psi, latent_store,
+    r, table,
 )
-from driftgate.plans.calibrate import scores
 from queries.registry import query, sql
 
 SEED = 42
