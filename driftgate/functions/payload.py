@@ -44,6 +44,17 @@ def decode_latent(length: int):
     return decode
 
 
+def permute_payload(shape=LATENT_SHAPE):
+    """A UDF from time-major [t, y, x, c] bytes to channel-major [c, t, y, x] bytes."""
+    @F.pandas_udf(T.BinaryType())
+    def permute(payloads: pd.Series) -> pd.Series:
+        def swap(b):
+            z = np.frombuffer(b, dtype=np.float32).reshape(shape)
+            return np.moveaxis(z, -1, 0).tobytes()
+        return payloads.map(swap)
+    return permute
+
+
 def check_payload(df: DataFrame, shape=LATENT_SHAPE):
     """Split rows into (well formed, quarantined) by payload length."""
     expected = math.prod(shape) * FLOAT_BYTES

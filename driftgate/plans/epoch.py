@@ -2,10 +2,14 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftgate.functions.payload import permute_payload
 from driftgate.operators.curation import (
     assign_workers, cap_per_worker, kinetic_gate, with_batches, with_split,
 )
-from driftgate.settings import BATCH_SIZE, SEED, TUBELETS_PER_EPOCH
+from driftgate.schema import ROW_ADDRESS
+from driftgate.session import materialize
+from driftgate.settings import BATCH_SIZE, LATENT_SHAPE, SEED, TUBELETS_PER_EPOCH
+from driftgate.sources.latents import fetch_payloads
 
 
 def epoch_sample(scored: DataFrame, tau, split="train", seed=SEED, n_workers=4,
@@ -23,3 +27,15 @@ def epoch_sample(scored: DataFrame, tau, split="train", seed=SEED, n_workers=4,
     dealt = kept.join(files.select(shard, "pos", "worker"), shard)
     capped = cap_per_worker(dealt, ["pos", row], cap, scope)
     return with_batches(capped, batch_size)
+
+
+def epoch_payloads(sample: DataFrame, shape=LATENT_SHAPE) -> DataFrame:
+    """The tensors of an epoch sample in channel-major order, with worker, row and batch.
+
+    The sample is at most the cap times the workers, so its addresses are broadcast and the
+    payloads never leave the tasks that scan them.
+    """
+    place = ["worker", "row", "batch_id"]
+    stored = materialize(sample.select(*ROW_ADDRESS, *place), "epoch-sample")
+    rows = fetch_payloads(stored, place)
+    return rows.withColumn("latent_bytes", permute_payload(shape)("latent_bytes"))

@@ -1,7 +1,7 @@
 """Latent table: scans, shard listing, row addresses, identity index."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.schema import LATENT, LATENT_KEYS, ROW_ADDRESS
 from driftgate.settings import UNKNOWN, UNKNOWN_INDEX, UNMEASURED_FLOW
@@ -51,18 +51,24 @@ def scan_motion(latents: DataFrame, motion="m_flow", tag="tag") -> DataFrame:
                           F.col(tag).alias("tag"), F.col(motion).alias("m_flow"))
 
 
-def fetch_payloads(winners: DataFrame, schema=LATENT) -> DataFrame:
-    """Full rows at the addresses of `winners`, opening only the shards that hold one.
+def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT) -> DataFrame:
+    """Full rows at the addresses of `winners`, opening only the shards that hold one, with
+    the columns `keep` of `winners` added.
 
     `winners` is a top-n or a capped sample: its size, and so the list of files and the
     broadcast, is bounded by that n. Store it first if it is costly to compute.
     """
+    spark = winners.sparkSession
     files = [row[0] for row in winners.select("file_path").distinct().collect()]
     if not files:
-        return winners.sparkSession.createDataFrame([], T.StructType(
-            [*schema.fields, *winners.select(*ROW_ADDRESS).schema.fields]))
-    rows = with_address(winners.sparkSession.read.schema(schema).parquet(*files))
-    return rows.join(F.broadcast(winners.select(*ROW_ADDRESS)), ROW_ADDRESS, "left_semi")
+        return with_fields(spark.createDataFrame([], schema), winners, [*ROW_ADDRESS, *keep])
+    rows = with_address(spark.read.schema(schema).parquet(*files))
+    return rows.join(F.broadcast(winners.select(*ROW_ADDRESS, *keep)), ROW_ADDRESS)
+
+
+def with_fields(df: DataFrame, other: DataFrame, names) -> DataFrame:
+    """`df` with null columns typed like those of `other`."""
+    return df.withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in names})
 
 
 def latent_index(spark: SparkSession, root) -> DataFrame:

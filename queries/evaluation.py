@@ -11,11 +11,12 @@ from driftgate.functions.udfs import huber_mean
 from driftgate.operators import evaluation as E
 from driftgate.operators.frames import shift_pairs
 from queries.fixtures import (
-    EM, EV_TUB, EV_FRAMES, em_tubelets, ev_tubelets, r, table,
+    EM, EV_TUB, EV_FRAMES, em_tubelets, ev_tubelets, r, rows, table,
 )
 from queries.registry import query, sql
 
 PAIRS = 6
+PART_ROWS = 50_000
 DELTA = 0.1
 KEYS = ["run", "step", "direction"]
 
@@ -167,10 +168,11 @@ FROM (SELECT event_type AS tag, lead(x) OVER (PARTITION BY seq_id, start ORDER B
       FROM ev_tub) WHERE t < 6 GROUP BY tag"""))
 def huber_udaf(spark, sf_dir):
     """The Python aggregate per tag. It has no partial form, so each tag is cut into salted
-    parts first and the means are combined."""
+    parts of bounded size first and the means are combined."""
     pairs = shift_pairs(ev_tubelets(spark, sf_dir), "x", PAIRS).where(
         F.col("direction") == "fwd")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("seq_id", "start"), F.lit(64)))
+    parts = max(64, rows(spark, sf_dir, "events") // PART_ROWS)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("seq_id", "start"), F.lit(parts)))
     parts = salted.groupBy(F.col("event_type").alias("tag"), "salt").agg(
         huber_mean("input", "target", F.lit(20.0)).alias("mean"), group_size("t").alias("n"))
     return parts.groupBy("tag").agg(

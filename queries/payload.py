@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.payload import decode_latent, encode_latent, psi_from_payload
 from driftgate.functions.udfs import register
-from driftgate.session import scratch_path
+from driftgate.plans.epoch import epoch_payloads, epoch_sample
+from driftgate.session import materialize, scratch_path
 from driftgate.sources.archives import create_shared, explode_archives
 from driftgate.sources.latents import (
-    list_shards, only_tag, read_latents, skipped_shards,
+    list_shards, only_tag, read_latents, skipped_shards, with_address,
 )
+from driftgate.sources.shards import write_shards
 from queries.fixtures import (
-    DIM, EM_EPS, EM_WITH_LATENTS, EM_PSI, SHAPE, W, latent_rows, latent_store, r, table,
+    DIM, EM, EM_EPS, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
 )
 from queries.registry import query, sql
 
@@ -90,16 +92,24 @@ def archives(spark, sf_dir):
     return docs.groupBy("part").applyInPandas(pack, "part long, path string")
 
 
-@query("archive_members", f"""
+ARCHIVE_MEMBERS = f"""
 SELECT doc_id // {MEMBERS_PER_ARCHIVE} AS part, doc_id || '.mp4' AS member,
-       strlen(text) AS size FROM documents WHERE doc_id % 5 != 0""")
+       strlen(text) AS size FROM documents WHERE doc_id % 5 != 0"""
+
+
+@query("archive_members", ARCHIVE_MEMBERS)
 def archive_members(spark, sf_dir):
-    path = scratch_path(spark, "manifest")
     # The archives exist once the manifest is written; listing reads the manifest.
-    written = archives(spark, sf_dir)
-    written.write.parquet(path)
-    manifest = spark.read.schema(written.schema).parquet(path)
-    return explode_archives(manifest).drop("path")
+    return explode_archives(materialize(archives(spark, sf_dir), "manifest")).drop("path")
+
+
+@query("archive_members_sql", ARCHIVE_MEMBERS)
+def archive_members_sql(spark, sf_dir):
+    """The same listing as a SQL table function."""
+    register(spark)
+    materialize(archives(spark, sf_dir), "manifest").createOrReplaceTempView("archive_manifest")
+    return spark.sql("SELECT part, member, size FROM archive_manifest, "
+                     "LATERAL archive_members(archive_manifest.path)")
 
 
 @query("tolerant_scan", sql(*EM_WITH_LATENTS, select="""
@@ -113,3 +123,41 @@ def tolerant_scan(spark, sf_dir):
         F.count("*").alias("n_rows"))
     skipped = skipped_shards(spark, store, glob="part-*").agg(F.count("*"))
     return read.withColumn("n_skipped", skipped.scalar())
+
+
+@query("shard_sink", sql(*EM_WITH_LATENTS, select="""
+SELECT count(*) AS n_rows, TRUE AS bounded FROM latents"""))
+def shard_sink(spark, sf_dir):
+    """Shards that close with the row that brings them to 5000 bytes: three payloads."""
+    path = scratch_path(spark, "shards")
+    write_shards(latent_rows(spark, sf_dir), path, SHAPE[0] * SHAPE[1] * 4, max_bytes=5000)
+    per_file = read_latents(spark, path).groupBy(
+        F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 3).alias("bounded"))
+
+
+@query("epoch_payloads", sql(*EM, *EM_WITH_LATENTS[2:], EM_PSI, select="""
+SELECT l.video_index, l.tubelet_start, 2048 AS n_bytes, round(s.head, 4) AS head,
+       round(s.next, 4) AS next
+FROM latents l JOIN em_psi p ON l.seq_id = p.seq_id AND l.start = p.start
+JOIN (SELECT seq_id, start, sum(CAST(z[1] AS DOUBLE)) AS head,
+             sum(CAST(z[2] AS DOUBLE)) AS next FROM em_tub GROUP BY seq_id, start) s
+  ON l.seq_id = s.seq_id AND l.start = s.start
+WHERE tag = 'iid_sample' AND NOT psi < 0.1 AND ('0x' || substr(
+  md5(l.factory_id || '_' || l.video_index), 1, 8))::UBIGINT % 10 != 0"""))
+def epoch_payloads_query(spark, sf_dir):
+    """Scores first, then one epoch on keys, then only the kept payloads, channel-major:
+    the first values are one channel over time."""
+    latents = only_tag(read_latents(spark, latent_store(spark, sf_dir)), "iid_sample")
+    keep = ["factory_id", "video_index", "file_path", "row_index"]
+    scored = materialize(psi_from_payload(with_address(latents), EM_EPS, keep, SHAPE), "psi")
+    sample = epoch_sample(scored, 0.1, n_workers=2)
+    series = decode_latent(W * DIM)("latent_bytes")
+    out = epoch_payloads(sample, SHAPE).withColumn("z", series)
+
+    def channel(i):
+        values = F.slice(F.col("z"), i * W + 1, W)
+        return r(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), 4)
+    return out.select("video_index", "tubelet_start",
+                      F.octet_length("latent_bytes").alias("n_bytes"),
+                      channel(0).alias("head"), channel(1).alias("next"))
