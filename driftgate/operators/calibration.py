@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from driftgate.operators.ordering import index_rows
 from driftgate.operators.percentiles import exact_percentiles, prefix_percentiles
 from driftgate.schema import CALIBRATION, ROW_ADDRESS
+from driftgate.session import broadcast_bounded
 from driftgate.settings import (
     CHECKPOINT_STEP, CONVERGENCE_TOLERANCE, EPSILON_PERCENTILE, FILE_STOP_PATIENCE,
     MIN_TUBELETS_FOR_EPSILON, ROW_STOP_MIN_CHECKPOINTS, ROW_STOP_MIN_SAMPLES, SAMPLE_TAG,
@@ -29,10 +30,11 @@ def winners_by_shard(top: DataFrame, shard="file_path", row="row_index") -> Data
                                   F.count("*").alias("n_rows"))
 
 
-def fetch_rows(latents: DataFrame, winners: DataFrame, address=ROW_ADDRESS) -> DataFrame:
-    """Full rows at the winners' addresses. `winners` is a top-n, which bounds the
-    broadcast; the wide side stays in the tasks that scan it."""
-    return latents.join(F.broadcast(winners.select(*address)), address, "left_semi")
+def fetch_rows(latents: DataFrame, winners: DataFrame, n=STATIC_TARGET,
+               address=ROW_ADDRESS) -> DataFrame:
+    """Full rows at the addresses of `winners`, a top-n. That bounds the broadcast; the wide
+    side stays in the tasks that scan it."""
+    return latents.join(broadcast_bounded(winners.select(*address), n), address, "left_semi")
 
 
 def epsilon(l1: DataFrame, pct=EPSILON_PERCENTILE, row_bound=None) -> DataFrame:

@@ -37,7 +37,9 @@ def tubelets(frames: DataFrame, size=TUBELET_RAW_FRAMES, stride=None) -> DataFra
             "start", F.explode(F.sequence(first.cast("long"), last.cast("long"),
                                           F.lit(stride).cast("long"))))
         placed = placed.where(idx < F.col("start") + size)
-    whole = F.count("*").over(Window.partitionBy(*TUBELET)) == size
+    # Ordered like the windows that follow, so the rows are sorted once for all of them.
+    whole = F.count("*").over(_in_order(*TUBELET).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)) == size
     return (placed.withColumn("t", idx - F.col("start"))
             .withColumn("_whole", whole).where("_whole").drop("_whole"))
 

@@ -38,7 +38,7 @@ def scores(changes: DataFrame, eps) -> DataFrame:
 def calibrate(changes: DataFrame, n_static=STATIC_TARGET, tag=SAMPLE_TAG) -> DataFrame:
     """The calibration record from a table of frame changes. Raises without any sample."""
     winners = most_static(changes.select(*ROW_ADDRESS, "tag", "m_flow"), n_static, tag)
-    chosen = materialize(fetch_rows(changes, winners).select("l1"), "static-changes")
+    chosen = materialize(fetch_rows(changes, winners, n_static).select("l1"), "static-changes")
     static = chosen.select(F.explode("l1").alias("l1"))
     guard(static)
     eps = epsilon(static)

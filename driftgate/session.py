@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from driftgate.settings import MAX_BROADCAST_ROWS
 
 BATCH_BYTES = 256 * 1024 ** 2
 
@@ -67,6 +69,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast `df` if its known row bound allows it; otherwise leave the join to Spark."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 @contextmanager
 def payload_scan(spark: SparkSession, payload_bytes: int):
     """Read few enough payload rows at a time that a batch stays near 256 MiB. Holds for

@@ -69,5 +69,7 @@ MAX_TASK_ROWS = 4_000_000
 MAX_PERCENTILE_ROWS = 1_000_000
 # Upper bound on the number of keys sent to every executor.
 MAX_HOT_KEYS = 65_536
+# Row addresses sent to every executor; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 # Sub-groups used to spread one group's top-n over tasks.
 TOP_N_SALTS = 64

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.schema import LATENT, LATENT_KEYS, ROW_ADDRESS
+from driftgate.session import broadcast_bounded
 from driftgate.settings import UNKNOWN, UNKNOWN_INDEX, UNMEASURED_FLOW
 
 SHARDS = "*.parquet"
@@ -63,7 +64,8 @@ def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT) -> DataFrame:
     if not files:
         return with_fields(spark.createDataFrame([], schema), winners, [*ROW_ADDRESS, *keep])
     rows = with_address(spark.read.schema(schema).parquet(*files))
-    return rows.join(F.broadcast(winners.select(*ROW_ADDRESS, *keep)), ROW_ADDRESS)
+    chosen = broadcast_bounded(winners.select(*ROW_ADDRESS, *keep), winners.count())
+    return rows.join(chosen, ROW_ADDRESS)
 
 
 def with_fields(df: DataFrame, other: DataFrame, names) -> DataFrame:

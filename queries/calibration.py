@@ -197,7 +197,7 @@ ORDER BY m_flow, event_id LIMIT {N_STATIC}""")
 def fetch_rows_query(spark, sf_dir):
     winners = C.most_static(event_motion(spark, sf_dir), N_STATIC, SAMPLED)
     wide = with_address(table(spark, sf_dir, "events"))
-    return C.fetch_rows(wide, winners).select("event_id", "user_id", "props")
+    return C.fetch_rows(wide, winners, N_STATIC).select("event_id", "user_id", "props")
 
 
 @query("fetch_payloads", sql(*EM_WITH_LATENTS, select="""
