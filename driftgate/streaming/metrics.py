@@ -7,8 +7,9 @@ def write_with_metrics(df: DataFrame, path, counters: dict, mode="append") -> Da
     """Write `df` and return its counters as one row. They are gathered by the write itself,
     so nothing is read twice. `counters` maps names to aggregate expressions."""
     observed = Observation()
-    (df.observe(observed, *[c.alias(n) for n, c in counters.items()])
-     .write.mode(mode).parquet(path))
+    named = [c.alias(n) for n, c in counters.items()]
+    df.observe(observed, *named).write.mode(mode).parquet(path)
     found = observed.get
     return df.sparkSession.range(1).select(
-        *[F.lit(found[n]).alias(n) for n in counters])
+        *[F.lit(found[f.name]).cast(f.dataType).alias(f.name)
+          for f in df.agg(*named).schema])

@@ -131,7 +131,7 @@ def with_defaults_query(spark, sf_dir):
 
 
 @query("latent_id", """
-SELECT count(*) AS n_ids, sum(n) AS n_rows, max(n) AS most
+SELECT count(*) AS n_ids, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS most
 FROM (SELECT user_id % 8, user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3)""")
 def latent_id_query(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("factory", F.col("user_id") % 8)

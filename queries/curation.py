@@ -76,7 +76,8 @@ def min_length_query(spark, sf_dir):
 
 
 @query("payload_check", sql(EM_FRAMES, select="""
-SELECT worker_id, count_if(n = 8) AS n_good, count_if(n != 8) AS n_bad
+SELECT worker_id, count(CASE WHEN n = 8 THEN 1 END) AS n_good,
+       count(CASE WHEN n != 8 THEN 1 END) AS n_bad
 FROM (SELECT 'worker_' || seq_id AS worker_id, idx - idx % 8 AS start, count(*) AS n
       FROM em_frames GROUP BY ALL) GROUP BY worker_id"""))
 def payload_check(spark, sf_dir):

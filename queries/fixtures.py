@@ -178,7 +178,7 @@ def latent_store(spark, sf_dir, whole=True):
 
 LATENTS = """latents AS (
   SELECT 'factory_' || (w.seq_id % 4) AS factory_id, 'worker_' || w.seq_id AS worker_id,
-         w.seq_id AS video_index, w.start AS tubelet_start,
+         CAST(w.seq_id AS INTEGER) AS video_index, CAST(w.start AS INTEGER) AS tubelet_start,
          CASE WHEN min(vec_id) % 3 = 0 THEN 'other' ELSE 'iid_sample' END AS tag,
          CASE WHEN min(vec_id) % 5 = 0 THEN -1.0 ELSE avg(l.l1) END AS m_flow,
          w.seq_id, w.start

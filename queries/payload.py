@@ -20,13 +20,13 @@ from queries.fixtures import (
 from queries.registry import query, sql
 
 SAMPLED_PSI = sql(*EM_WITH_LATENTS, EM_PSI, select="""
-SELECT l.seq_id AS video_index, l.start AS tubelet_start, round(psi, 4) AS psi
+SELECT video_index, tubelet_start, round(psi, 4) AS psi
 FROM latents l JOIN em_psi p ON l.seq_id = p.seq_id AND l.start = p.start
 WHERE tag = 'iid_sample'""")
 
 
 @query("codec_roundtrip", """
-SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS head,
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS head,
        CAST(embedding[64] AS DOUBLE) AS tail, 256 AS n_bytes FROM embeddings""")
 def codec_roundtrip(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -56,7 +56,8 @@ def psi_sql_function(spark, sf_dir):
 
 
 @query("list_shards", """
-SELECT DISTINCT 'factory_' || (label % 4) AS factory_id, 1 AS n_shards, TRUE AS sized
+SELECT DISTINCT 'factory_' || (label % 4) AS factory_id, CAST(1 AS BIGINT) AS n_shards,
+       TRUE AS sized
 FROM embeddings""")
 def list_shards_query(spark, sf_dir):
     """One shard per factory is written, then found again by listing."""
@@ -113,7 +114,7 @@ def archive_members_sql(spark, sf_dir):
 
 
 @query("tolerant_scan", sql(*EM_WITH_LATENTS, select="""
-SELECT count(*) AS n_rows, 1 AS n_skipped FROM latents"""))
+SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS n_skipped FROM latents"""))
 def tolerant_scan(spark, sf_dir):
     """A store with one unreadable shard: the rest is read, the shard is reported."""
     store = latent_store(spark, sf_dir)

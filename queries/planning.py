@@ -96,7 +96,7 @@ def plan_more_shards(spark, sf_dir):
 
 
 @query("progress", """
-SELECT count(*) AS done, 50000 AS target, greatest(0, 50000 - count(*)) AS remaining,
+SELECT count(*) AS done, CAST(50000 AS BIGINT) AS target, greatest(0, 50000 - count(*)) AS remaining,
        count(*) >= 50000 AS reached
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
 def progress(spark, sf_dir):
@@ -201,7 +201,9 @@ WITH chosen AS (
 windows AS (SELECT factory_id, worker_id, video_index,
                    unnest(range(0, n_frames - 64 + 1, 64)) AS tubelet_start FROM chosen),
 stored AS (SELECT * FROM windows WHERE tubelet_start % 128 = 0)
-SELECT * FROM windows WHERE tubelet_start % 128 != 0
+SELECT factory_id, worker_id, CAST(video_index AS INTEGER) AS video_index,
+       CAST(tubelet_start AS INTEGER) AS tubelet_start
+FROM windows WHERE tubelet_start % 128 != 0
 ORDER BY factory_id, video_index, tubelet_start
 LIMIT greatest(0, 3000 - (SELECT count(*) FROM stored))""")
 def work_list_query(spark, sf_dir):

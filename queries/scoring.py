@@ -47,7 +47,7 @@ def channels_first_query(spark, sf_dir):
         F.transform("series", lambda v, i: (i + 1) * v.cast("double")), F.lit(0.0),
         lambda acc, x: acc + x)
     return series.select("seq_id", "start", F.col("channel").cast("long").alias("channel"),
-                         r(weighted).alias("weighted"), F.size("series").alias("n"))
+                         r(weighted).alias("weighted"), F.size("series").cast("long").alias("n"))
 
 
 @query("flow_magnitude", """

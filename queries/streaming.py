@@ -75,8 +75,9 @@ def stream_dedup(spark, sf_dir):
 
 
 @query("run_metrics", f"""
-SELECT count(*) AS n_rows, count_if(event_type = '{SAMPLED}') AS n_samples,
-       count_if({EVENT_FLOW} >= 0) AS n_measured, sum(strlen(props)) AS n_bytes FROM events""")
+SELECT count(*) AS n_rows, count(CASE WHEN event_type = '{SAMPLED}' THEN 1 END) AS n_samples,
+       count(CASE WHEN {EVENT_FLOW} >= 0 THEN 1 END) AS n_measured,
+       CAST(sum(strlen(props)) AS BIGINT) AS n_bytes FROM events""")
 def run_metrics(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("m_flow", F.expr(EVENT_FLOW))
     return write_with_metrics(events, scratch_path(spark, "measured"), {
