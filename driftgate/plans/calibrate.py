@@ -36,11 +36,13 @@ def scores(changes: DataFrame, eps) -> DataFrame:
 
 
 def calibrate(changes: DataFrame, n_static=STATIC_TARGET, tag=SAMPLE_TAG) -> DataFrame:
-    """The calibration record from a table of frame changes. Raises without any sample."""
+    """The calibration record from a table of frame changes. Raises without any sample,
+    and on NaN."""
     winners = most_static(changes.select(*ROW_ADDRESS, "tag", "m_flow"), n_static, tag)
     chosen = materialize(fetch_rows(changes, winners, n_static).select("l1"), "static-changes")
     static = chosen.select(F.explode("l1").alias("l1"))
     guard(static)
     eps = epsilon(static)
     psi = materialize(scores(changes, eps.scalar()).select("psi"), "psi")
+    guard(psi, "psi")
     return calibration_record(eps, chosen.agg(F.count("*").alias("n")), psi_stats(psi))

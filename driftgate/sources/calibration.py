@@ -41,8 +41,12 @@ def thresholds(record: DataFrame):
 
 
 def guard(samples: DataFrame, value="l1") -> DataFrame:
-    """Number of usable samples; raises when there is none to calibrate from."""
+    """Number of usable samples. Raises when there is none to calibrate from, and on NaN,
+    which a percentile would silently rank as the largest value."""
     counted = samples.agg(F.count(value).alias("n"))
-    if counted.first()["n"] == 0:
-        raise RuntimeError("no frame differences: the noise floor cannot be estimated")
+    n, n_nan = samples.agg(F.count(value), F.count_if(F.isnan(value))).first()
+    if n == 0:
+        raise RuntimeError(f"no value of {value} to calibrate from")
+    if n_nan:
+        raise ValueError(f"{n_nan} of {n} values of {value} are NaN")
     return counted

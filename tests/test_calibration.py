@@ -35,6 +35,8 @@ def test_sufficiency_and_guard(spark):
     assert guard(few).first().n == 99
     with pytest.raises(RuntimeError):
         guard(empty)
+    with pytest.raises(ValueError):
+        guard(few.withColumn("l1", F.lit(NAN)))
 
 
 def record(spark):
