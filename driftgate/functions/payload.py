@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from driftgate.settings import LATENT_SHAPE
 
 FLOAT_BYTES = 4
+SLICE = 1 << 20
 
 
 @F.pandas_udf(T.BinaryType())
@@ -112,6 +113,8 @@ def moments_from_payload(df: DataFrame, keep) -> DataFrame:
     def moments(buffer):
         z = np.frombuffer(buffer, dtype=np.float32)
         mean = z.mean(dtype=np.float64)
+        # In slices, so that no second copy of the tensor is made in double.
+        slices = np.array_split(z, max(1, z.size // SLICE))
         return {"n": float(z.size), "mean": mean,
-                "m2": float(np.square(z - mean, dtype=np.float64).sum())}
+                "m2": float(sum(np.square(part - mean).sum() for part in slices))}
     return _reduce_payload(df, keep, fields, moments)

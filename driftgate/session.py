@@ -20,6 +20,8 @@ def build_session(app_name="driftgate", master=None, **conf):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Lets `first_n` cut groups inside the scan tasks for caps of up to 10,000 rows.
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         **conf,
     }
     builder = SparkSession.builder.appName(app_name)

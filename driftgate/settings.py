@@ -71,5 +71,5 @@ MAX_PERCENTILE_ROWS = 1_000_000
 MAX_HOT_KEYS = 65_536
 # Row addresses sent to every executor; more are joined by shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
-# Sub-groups used to spread one group's top-n over tasks.
-TOP_N_SALTS = 64
+# Parts one group's top-n is cut in before its rows meet.
+TOP_N_SALTS = 256
