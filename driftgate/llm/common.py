@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from driftgate.session import materialize
 
@@ -20,9 +19,15 @@ def utf8(column="text"):
     return text_or_empty(column).cast("binary")
 
 
-def replace_columns(df: DataFrame, columns: dict) -> DataFrame:
-    """Add columns; an input column of the same name gives way."""
-    return df.withColumns(columns)
+def shielded(df: DataFrame, *own):
+    """The frame with all columns but `own` under neutral names, and the way back, so that an
+    operator's working columns cannot clash with the input's."""
+    names = {c: c if c in own else f"_column_{i}" for i, c in enumerate(df.columns)}
+
+    def back(out, *more):
+        return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in more], *more)
+
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
 
 
 def without(df: DataFrame, *names) -> DataFrame:
@@ -105,7 +110,3 @@ def whole_groups(batches, keys):
 
 def log2_ceil(n) -> int:
     return max(0, math.ceil(math.log2(max(1, n))))
-
-
-DOC_KEY = StructType([StructField("doc_id", LongType())])
-STRING = StringType()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from driftgate.llm.common import text_or_empty, utf8, without
+from driftgate.llm.common import shielded, text_or_empty, utf8, without
 from driftgate.session import materialize
 
 WINDOW = 10
@@ -251,9 +251,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window=WINDOW, max_coverage
                   text_col="text", **options) -> DataFrame:
     """The documents with every hit span removed, without those of which more than
     `max_coverage` of the words were hit. Columns as they came."""
-    found = find_leaks(docs, items, window, text_col=text_col, with_text=True, **options)
+    plain, back = shielded(docs, text_col)
+    found = find_leaks(plain, items, window, text_col=text_col, with_text=True, **options)
     kept = found.where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-    return kept.withColumn(text_col, F.col("clean_text")).select(*docs.columns)
+    return back(kept.withColumn(text_col, F.col("clean_text")))
 
 
 def digest(found: DataFrame, id_col="doc_id") -> DataFrame:

@@ -11,12 +11,11 @@ input outgrows it, more rows count as possibly repeated and shuffle; the result
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftgate.llm.common import log2_ceil, text_or_empty, without
+from driftgate.llm.common import log2_ceil, shielded, text_or_empty
 from driftgate.session import materialize
 
 BITS_PER_ROW = 16
 MAX_FILTER_BITS = 1 << 27
-_MARKS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalized(column="text"):
@@ -90,7 +89,7 @@ def drop_copies(docs: DataFrame, id_col="doc_id", text_col="text",
     """The documents that stay, all columns as they came. Rows that are surely alone do not
     shuffle."""
     words = _filter_words(docs, max_filter_bits)
-    plain = without(docs, "_sha", "_word", "_bits", "_mask", "_keep", "_size")
+    plain, back = shielded(docs, id_col, text_col)
     keyed = _keyed(plain, text_col, words)
     keys = materialize(keyed.select(F.col(id_col).alias("doc_id"), "_sha", "_word", "_bits"),
                        "text-keys")
@@ -100,7 +99,7 @@ def drop_copies(docs: DataFrame, id_col="doc_id", text_col="text",
     together = (_maybe_repeated(keyed, second, True).join(groups, "_sha", "left")
                 .where(F.col("_size").isNull() | F.col(id_col).eqNullSafe(F.col("_keep")))
                 .drop("_sha", "_word", "_bits", "_keep", "_size"))
-    return alone.unionByName(together)
+    return back(alone.unionByName(together))
 
 
 SQL = r"""

@@ -8,7 +8,7 @@ b (2 - t) / t. Everything happens inside the row that holds the text, without an
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftgate.llm.common import replace_columns, text_or_empty
+from driftgate.llm.common import text_or_empty
 
 MIN_DICE = 0.8
 # Names and notices of public licences.
@@ -87,7 +87,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_dice=MIN_DICE,
     found = (docs.withColumn("_words", words).withColumn("_grams", F.expr(grams))
              .withColumn("_found", F.expr(f"filter({scores}, m -> m.dice >= {min_dice})")))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return replace_columns(found, {
+    return found.withColumns({
         "n_lines": n_lines, "n_matches": F.size("_found").cast("long"),
         "license": F.array_max("_found")["name"], "dice": F.array_max("_found")["dice"],
         "licenses": F.array_join(F.array_sort(F.array_distinct(

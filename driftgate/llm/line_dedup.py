@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from driftgate.llm.common import (
-    blockwise_groups, log2_ceil, mix64, offsets, runs, utf8, whole_groups, without,
+    blockwise_groups, log2_ceil, mix64, offsets, runs, shielded, utf8, whole_groups,
 )
 from driftgate.llm.decontaminate import words_of
 from driftgate.session import materialize
@@ -374,7 +374,7 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", **options) ->
     found = removed_lines(docs, id_col, text_col, **options).dropDuplicates([id_col, "_h"])
     found = found.where(F.size("removed") > 0).select(F.col(id_col).alias("_gone_id"),
                                                       F.col("_h").alias("_gone_h"), "removed")
-    plain = without(docs, "_h", "_gone_id", "_gone_h", "removed")
+    plain, back = shielded(docs, id_col, text_col)
     keyed = plain.withColumn("_h", F.xxhash64(F.col(id_col), F.col(text_col)))
     joined = keyed.join(found, keyed[id_col].eqNullSafe(found["_gone_id"])
                         & (keyed["_h"] == found["_gone_h"]), "left")
@@ -382,8 +382,8 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", **options) ->
         F.split(F.col(text_col), "\n").alias("x"),
         F.sequence(F.lit(0), F.size(F.split(F.col(text_col), "\n")) - 1).alias("k")),
         lambda e: ~F.array_contains(F.col("removed"), e["k"])), lambda e: e["x"]), "\n")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col))
-                             .otherwise(rest)).select(*plain.columns)
+    return back(joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col))
+                                  .otherwise(rest)))
 
 
 def digest(found: DataFrame, id_col="doc_id") -> DataFrame:

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftgate.llm.common import text_or_empty, without
+from driftgate.llm.common import shielded, text_or_empty
 from driftgate.operators.ordering import index_rows
 from driftgate.session import materialize
 
@@ -214,10 +214,10 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", seed=SEED, **options)
     plan = plan_mix(docs, id_col, text_col, seed=seed, **options).where("copies > 0").select(
         F.col("row_hash").alias("_h"), F.col("doc_id").alias("_id"), "shards")
     plan = plan.dropDuplicates(["_h", "_id"])
-    plain = without(docs, "shard", "shard_order", "shards", "_h", "_id", "_copy")
+    plain, back = shielded(docs, id_col, text_col)
     keyed = plain.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     taken = keyed.join(plan, (keyed["_h"] == plan["_h"])
                        & keyed[id_col].eqNullSafe(plan["_id"])).drop(plan["_h"], plan["_id"])
     taken = taken.select("*", F.posexplode("shards").alias("_copy", "shard")).drop("shards")
-    return taken.withColumn("shard_order", F.xxhash64(
-        F.lit(seed + 3), "_h", "_copy")).drop("_h", "_copy")
+    return back(taken.withColumn("shard_order", F.xxhash64(F.lit(seed + 3), "_h", "_copy")),
+                "shard", "shard_order")

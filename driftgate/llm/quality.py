@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftgate.llm.common import utf8, without
+from driftgate.llm.common import shielded, utf8
 from driftgate.session import materialize
 
 #: Labelled rows that the toxic terms are learned from, rows that the scorer is fitted to, and the
@@ -348,5 +348,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="tex
     together."""
     judged = score_documents(docs, labels, id_col, text_col, **options)
     gone = judged.where("not keep").select(F.col("doc_id").alias("_gone")).distinct()
-    plain = without(docs, "_gone")
-    return plain.join(gone, plain[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    plain, back = shielded(docs, id_col, text_col)
+    return back(plain.join(gone, plain[id_col].eqNullSafe(gone["_gone"]), "left_anti"))

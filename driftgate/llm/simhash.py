@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftgate.llm.common import blockwise_groups, utf8, whole_groups, runs, without
+from driftgate.llm.common import blockwise_groups, runs, shielded, utf8, whole_groups, without
 from driftgate.llm.components import components
 from driftgate.session import materialize
 
@@ -212,4 +212,5 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> Da
     they came."""
     found = near_duplicates(docs, id_col, text_col, **options)
     later = found.where("doc_id != component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, docs[id_col] == later["_later"], "left_anti")
+    plain, back = shielded(docs, id_col, text_col)
+    return back(plain.join(later, plain[id_col] == later["_later"], "left_anti"))
