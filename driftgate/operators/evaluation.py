@@ -31,18 +31,20 @@ def validation_delta(frames: DataFrame, value, batch="batch_id",
 
 
 def merge_moments(moments: DataFrame, keys) -> DataFrame:
-    """Sample variance per group from (n, mean, m2) of its parts."""
-    total = moments.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("m2").alias("within"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("raw"))
-    between = F.col("raw") - F.col("n") * F.col("mean") * F.col("mean")
-    return total.select(*keys, ((F.col("within") + F.greatest(F.lit(0.0), between))
-                                / (F.col("n") - 1)).alias("var"))
+    """Sample variance per group from (n, mean, m2) of its parts. Means enter as deviations from
+    the group's mean, so a large mean does not cancel a small variance."""
+    group = Window.partitionBy(*keys)
+    mean = F.sum(F.col("n") * F.col("mean")).over(group) / F.sum("n").over(group)
+    off = F.col("mean") - F.col("_mean")
+    total = moments.withColumn("_mean", mean).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.col("m2") + F.col("n") * off * off).alias("squares"))
+    return total.select(*keys, (F.col("squares") / (F.col("n") - 1)).alias("var"))
 
 
 def next_delta(delta, sigma):
-    """One update of the adaptive threshold; the first volatility initialises it."""
+    """One update of the adaptive threshold; the first volatility initialises it. A missing one
+    (a batch of a single value) is NaN, which the threshold keeps from then on."""
+    sigma = math.nan if sigma is None else sigma
     if delta is None:
         delta = sigma
     shock = abs(sigma - delta) / (delta + HUBER_ETA)

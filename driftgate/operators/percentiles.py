@@ -24,11 +24,11 @@ def exact_percentiles(df: DataFrame, value, probs: dict, row_bound=None,
                         for name, p in probs.items()], *more)
     values = df.select(F.lit(0).cast("long").alias("block"), F.col(value).alias("value"))
     wide = prefix_percentiles(values, probs, pieces=math.ceil(total / max_rows))
-    if not more:
-        return wide.select(*probs)
-    # Two one-row results: a scalar subquery joins them without a join.
+    # A scalar subquery is null without values, so there is one row for any input, and two one-row
+    # results meet without a join.
     points = wide.select(F.struct(*probs)).scalar()
-    return df.agg(*more).withColumn("_p", points).select("_p.*", "*").drop("_p")
+    one = df.agg(*more) if more else df.sparkSession.range(1).select()
+    return one.withColumn("_p", points).select("_p.*", *[c for c in one.columns])
 
 
 def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:

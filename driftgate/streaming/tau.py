@@ -23,13 +23,16 @@ def online_tau(psi: DataFrame, store, checkpoint, step=CHECKPOINT_STEP,
     spark = psi.sparkSession
     scores, checks = f"{store}/scores", f"{store}/checks"
 
-    def stored_checks():
+    def stored(path, schema):
         try:
-            return spark.read.schema(CHECK).parquet(checks)
+            return spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], CHECK)
+            return spark.createDataFrame([], schema)
+
+    def stored_checks():
+        return stored(checks, CHECK)
 
     def decide(final):
         return converge_by_file(stored_checks(), final, tol, patience)
@@ -42,6 +45,9 @@ def online_tau(psi: DataFrame, store, checkpoint, step=CHECKPOINT_STEP,
             return
         batch.select("psi").write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
         seen = spark.read.schema("psi double").parquet(scores)
+        # A file without scores is no occasion for a check, even if marks were passed before.
+        if spark.read.schema("psi double").parquet(f"{scores}/batch={batch_id}").isEmpty():
+            return
         total = seen.count()
         earlier = stored_checks().where(F.col("pos") < batch_id).count()
         if total >= (earlier + 1) * step:
@@ -57,4 +63,6 @@ def online_tau(psi: DataFrame, store, checkpoint, step=CHECKPOINT_STEP,
     while not query.awaitTermination(1):
         if stop:
             query.stop()
-    return decide(tau(spark.read.schema("psi double").parquet(scores), pct))
+    if decide(no_final()).first()["converged"]:
+        return decide(no_final())
+    return decide(tau(stored(scores, "psi double"), pct))

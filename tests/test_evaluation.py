@@ -123,3 +123,16 @@ def test_early_stop(spark, losses, patience):
     df = spark.createDataFrame(rows[::-1], "run string, epoch long, val_loss double")
     got = E.early_stop(df, patience).first()
     assert (got.best_epoch, got.last_epoch, got.stopped) == stop(losses, patience)
+
+
+def test_merged_variance_does_not_cancel(spark):
+    values = [np.random.default_rng(i).normal(1e5, 0.014, 50) for i in range(40)]
+    parts = spark.createDataFrame(
+        [(0, len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum())) for v in values],
+        "batch_id int, n long, mean double, m2 double")
+    got = E.merge_moments(parts, ["batch_id"]).first()["var"]
+    assert got == pytest.approx(np.concatenate(values).var(ddof=1), rel=1e-6)
+
+
+def test_a_missing_volatility_is_nan():
+    assert math.isnan(E.next_delta(1.0, None)) and math.isnan(E.next_delta(None, None))

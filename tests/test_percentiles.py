@@ -56,3 +56,10 @@ def test_prefixes(spark, kind):
         prefix = values[: (x.block + 1) * step]
         assert x.n == len(prefix)
         assert x.tau == pytest.approx(np.percentile(prefix, 20), abs=1e-12)
+
+
+@pytest.mark.parametrize("max_rows", [1, 100])
+def test_no_values_give_one_row_on_both_ways(spark, max_rows):
+    df = spark.createDataFrame([(None,)], "x double")
+    got = exact_percentiles(df, "x", {"p": 0.5}, 2, max_rows).collect()
+    assert [r.p for r in got] == [None]

@@ -90,3 +90,23 @@ def test_counters(spark, tmp_path):
         "rows": F.count("*"), "odd": F.sum("tag")}).first()
     assert (got["rows"], got.odd) == (10, 5)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_online_tau_checks_only_after_new_scores(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rng = np.random.default_rng(5)
+    for n in (500, 0, 0, 0, 50):
+        spark.createDataFrame([(float(v),) for v in rng.exponential(size=n)], "psi double").coalesce(
+            1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("psi double").option("maxFilesPerTrigger", 1).parquet(source)
+    got = online_tau(stream, str(tmp_path / "store"), str(tmp_path / "state"), step=100,
+                     tol=0.5).first()
+    assert not got["converged"]
+
+
+def test_online_tau_of_an_empty_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("psi double").parquet(source)
+    got = online_tau(stream, str(tmp_path / "store"), str(tmp_path / "state")).first()
+    assert not got["converged"] and got["tau"] is None
