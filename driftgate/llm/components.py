@@ -8,14 +8,14 @@ from driftgate.session import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the larger (or the smaller and own) neighbours of a node to its least neighbour.
 
-    The least neighbour is a minimum, combined before the exchange, and is joined back to the
-    edges, so a node with very many neighbours is never collected.
+    The least neighbour is a minimum, combined before the exchange. It is written and joined back
+    to the edges, so a node with very many neighbours is never collected and both sides of the join
+    come straight from an exchange, where adaptive execution can split that node.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         both = both.where("v <= u")
-    both = materialize(both, "star-edges")
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(
         "u", F.least("u", "m").alias("m")), "star-least")
     linked = both.join(least, "u")
