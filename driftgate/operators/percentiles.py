@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from driftgate.session import materialize
 from driftgate.settings import MAX_PERCENTILE_ROWS
 
+#: Buckets of the first level, and parts that the values of one bucket are dealt into.
+MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+SLICES = 16
+
 
 def exact_percentiles(df: DataFrame, value, probs: dict, row_bound=None,
                       max_rows=MAX_PERCENTILE_ROWS, more=()) -> DataFrame:
@@ -23,7 +27,7 @@ def exact_percentiles(df: DataFrame, value, probs: dict, row_bound=None,
         return df.agg(*[F.percentile(F.col(value), F.lit(p)).alias(name)
                         for name, p in probs.items()], *more)
     values = df.select(F.lit(0).cast("long").alias("block"), F.col(value).alias("value"))
-    wide = prefix_percentiles(values, probs, pieces=math.ceil(total / max_rows))
+    wide = prefix_percentiles(values, probs)
     # A scalar subquery is null without values, so there is one row for any input, and two one-row
     # results meet without a join.
     points = wide.select(F.struct(*probs)).scalar()
@@ -41,14 +45,17 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
        bucket tells, for every block, which bucket holds the wanted order statistic;
     2. only that bucket's distinct values, with counts per block, are looked at.
 
-    With B buckets and K blocks this handles K*B counts and about N*K/B values. Bucket
-    borders need not be accurate: they change the work, not the result.
+    With B buckets and K blocks this handles K*B counts and about N*K/B values, least at
+    B = sqrt(N), which is the default. Bucket borders need not be accurate: they change the work,
+    not the result. Most blocks want the same few buckets, so a bucket's values are dealt out in
+    slices, and every wanted statistic goes to all slices of its bucket.
     """
     cells = (df.where(F.col("value").isNotNull())
              .groupBy("block", F.col("value").cast("double").alias("value"))
              .agg(F.count("*").alias("n")))
     # Read five times below, so written once: value, block and count only.
     cells = materialize(cells, "percentile-cells")
+    pieces = pieces or math.isqrt(cells.count())
     cells = _with_bucket(cells, _cuts(cells, pieces))
 
     # Totals per block and the order statistics wanted there.
@@ -84,8 +91,10 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
                       (F.col("rank") - F.col("below")).alias("local")))
 
     # Level 2: the wanted value among the bucket's values of earlier or equal blocks.
-    seen = (target.join(
-        cells.select("bucket", F.col("block").alias("from_block"), "value", "n"), "bucket")
+    sliced = cells.select("bucket", F.pmod(F.hash("value"), F.lit(SLICES)).alias("slice"),
+                          F.col("block").alias("from_block"), "value", "n")
+    target = target.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    seen = (target.join(sliced, ["bucket", "slice"])
         .where(F.col("from_block") <= F.col("block"))
         .groupBy("block", "total", "name", "at", "rank", "local", "value")
         .agg(F.sum("n").alias("n")))
@@ -108,7 +117,7 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
 
 def _cuts(df, pieces):
     """Approximate quantiles of the values: at most a few thousand numbers on the driver."""
-    n = min(max(pieces or 64, 64), 4096)
+    n = min(max(pieces, MIN_BUCKETS), MAX_BUCKETS)
     # NaN would be taken for a border, and only finite borders are needed.
     finite = df.where(~F.isnan("value"))
     return sorted(set(finite.approxQuantile("value", [i / n for i in range(1, n)], 0.5 / n)))

@@ -31,14 +31,26 @@ def list_shards(spark: SparkSession, root, glob=SHARDS) -> DataFrame:
             .option("pathGlobFilter", glob).load(root).select("path", "length"))
 
 
-def skipped_shards(spark: SparkSession, root, glob=SHARDS, schema=LATENT) -> DataFrame:
-    """Listed shards that a tolerant scan got no row from (unreadable, or empty)."""
+def shard_rows(spark: SparkSession, root, glob=SHARDS, schema=LATENT) -> DataFrame:
+    """Every listed shard (path, length) with `rows_stored`, which its footer states, and
+    `rows_read`, which a tolerant scan of all columns gets. Both are 0 for an unreadable or empty
+    shard. This reads every payload once, since damage shows nowhere else."""
     rows = read_latents(spark, root, "skip", glob, schema)
-    # A footer and one narrow column are read, never a payload.
-    seen = rows.select(F.col("_metadata.file_path").alias("path"),
-                       F.col(schema[0].name).alias("_probe")).groupBy("path").agg(
-                           F.count("_probe").alias("_n"))
-    return list_shards(spark, root, glob).join(seen, "path", "left_anti")
+    path = F.col("_metadata.file_path").alias("path")
+    stored = rows.select(path).groupBy("path").agg(F.count("*").alias("rows_stored"))
+    # A count alone would be answered from the footer: the hash makes the scan read all columns.
+    whole = F.xxhash64(*schema.names).alias("_whole")
+    read = rows.select(path, whole).groupBy("path").agg(
+        (F.count_if(F.col("_whole") >= 0) + F.count_if(F.col("_whole") < 0)).alias("rows_read"))
+    return list_shards(spark, root, glob).join(stored, "path", "left").join(
+        read, "path", "left").fillna(0, ["rows_stored", "rows_read"])
+
+
+def skipped_shards(spark: SparkSession, root, glob=SHARDS, schema=LATENT) -> DataFrame:
+    """Listed shards of which a tolerant scan loses rows or gets none (unreadable, damaged or
+    empty), with the counts of `shard_rows`."""
+    return shard_rows(spark, root, glob, schema).where(
+        (F.col("rows_read") < F.col("rows_stored")) | (F.col("rows_stored") == 0))
 
 
 def with_address(df: DataFrame) -> DataFrame:

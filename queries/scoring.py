@@ -227,7 +227,7 @@ def score_predictor(spark, sf_dir):
 
 def scored_summary(spark, sf_dir, forward=None, backward=None):
     latents = read_latents(spark, latent_store(spark, sf_dir)).withColumn(
-        "step", F.floor(F.col("tubelet_start") / 16))
+        "step", F.floor(F.col("tubelet_start") / 16)).where(F.col("step") < 10)
     losses = S.score(latents, ["step"], DELTA, forward, backward, TENSOR, PAIRS)
     per_step = losses.groupBy("step", "direction").agg(F.avg("loss").alias("loss"))
     return eval_summary(per_step, 10, "step").withColumns(

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,26 @@ def test_damaged_shard(spark, tmp_path):
         "broken.parquet"]
 
 
+def test_partly_damaged_shard_is_reported(spark, tmp_path):
+    path = tmp_path / "store"
+    rows = latent_rows(spark, tensors(400)).coalesce(1)
+    rows.write.option("parquet.block.size", 16384).parquet(str(path))
+    rows.limit(3).write.mode("append").parquet(str(path))
+    shard = max(path.glob("*.parquet"), key=lambda f: f.stat().st_size)
+    footer = pq.ParquetFile(shard).metadata
+    group = footer.row_group(footer.num_row_groups - 1)
+    chunk = next(group.column(i) for i in range(group.num_columns)
+                 if group.column(i).path_in_schema == "latent_bytes")
+    data = bytearray(shard.read_bytes())
+    at = chunk.data_page_offset + chunk.total_compressed_size // 2
+    data[at:at + 64] = b"\xff" * 64
+    shard.write_bytes(data)
+    got = skipped_shards(spark, str(path)).collect()
+    read = read_latents(spark, str(path), on_error="skip").collect()
+    assert [(x.rows_stored, x.rows_read) for x in got] == [(400, len(read) - 3)]
+    assert len(read) < 403
+
+
 def test_shard_files_close_at_the_limit(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = latent_rows(spark, tensors(10)).coalesce(1)

@@ -44,13 +44,14 @@ def test_nulls_are_ignored_and_nan_is_largest(spark):
         assert exact_percentiles(df, "v", {"p": 0.5}, max_rows=max_rows).first().p == 3.0
 
 
+@pytest.mark.parametrize("pieces", [16, None])
 @pytest.mark.parametrize("kind", ["spread", "ties"])
-def test_prefixes(spark, kind):
+def test_prefixes(spark, kind, pieces):
     values = samples(kind, 730)
     step = 100
     rows = [(i // step, float(v)) for i, v in enumerate(values)]
     out = prefix_percentiles(spark.createDataFrame(rows, "block long, value double"),
-                             {"tau": 0.2}, pieces=16).collect()
+                             {"tau": 0.2}, pieces=pieces).collect()
     assert sorted(x.block for x in out) == list(range(8))
     for x in out:
         prefix = values[: (x.block + 1) * step]
