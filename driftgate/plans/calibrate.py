@@ -20,10 +20,12 @@ def frame_changes(latents: DataFrame, shape=LATENT_SHAPE, tag=SAMPLE_TAG) -> Dat
     """Per-frame changes of every sampled tubelet, written once.
 
     The payload is read here and nowhere else: noise floor, scores, gate and every later
-    recalibration need only these doubles. The tag filter reaches the scan.
+    recalibration need only these doubles. The tag filter reaches the scan; `tag=None` takes rows
+    of every tag, as an epoch over the whole store needs.
     """
     narrow = [*LATENT_KEYS, "tag", "m_flow", *ROW_ADDRESS]
-    changes = frame_l1_from_payload(with_address(only_tag(latents, tag)), narrow, shape)
+    tagged = latents if tag is None else only_tag(latents, tag)
+    changes = frame_l1_from_payload(with_address(tagged), narrow, shape)
     with payload_scan(latents.sparkSession, math.prod(shape) * FLOAT_BYTES):
         return materialize(changes, "frame-changes")
 

@@ -14,15 +14,17 @@ from driftgate.sources.latents import fetch_payloads
 
 def epoch_sample(scored: DataFrame, tau, split="train", seed=SEED, n_workers=4,
                  cap=TUBELETS_PER_EPOCH, batch_size=BATCH_SIZE, shard="file_path",
-                 row="row_index", scope="per_worker") -> DataFrame:
+                 row="row_index", scope="per_worker", listing: DataFrame = None) -> DataFrame:
     """Rows of one epoch: worker, position and batch of each kept tubelet.
 
     Scores do not depend on the seed, so they are stored once and every epoch touches keys
     and scalars only. Split and gate run before the shard join; the payloads of the rows
     kept are fetched by address afterwards. Files count for the shuffle even if none of
-    their rows is kept.
+    their rows is kept; with `listing` (one column `shard` per listed file) so do those without a
+    scored row.
     """
-    files = assign_workers(scored.select(shard).distinct(), n_workers, seed, shard)
+    files = (scored if listing is None else listing).select(shard).distinct()
+    files = assign_workers(files, n_workers, seed, shard)
     kept = kinetic_gate(with_split(scored).where(F.col("split") == split), tau)
     dealt = kept.join(files.select(shard, "pos", "worker"), shard)
     capped = cap_per_worker(dealt, ["pos", row], cap, scope)

@@ -63,6 +63,18 @@ def test_epoch_against_brute_force(spark):
     assert sorted((x.worker, x.row, x.batch_id, x.video_index) for x in out) == sorted(want)
 
 
+def test_epoch_deals_listed_files_without_scores(spark):
+    rows = [(f"f{i % 5}", i, f"s{2 * (i % 3)}", i // 3, 9.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "factory_id string, video_index int, file_path string, "
+                                     "row_index long, psi double")
+    names = [f"s{i}" for i in range(6)]  # three of them have no scored row
+    listing = spark.createDataFrame([(s,) for s in names], "file_path string")
+    out = epoch_sample(df, 3.0, "train", 9, 2, 100, 8, listing=listing).collect()
+    order = sorted(names, key=lambda s: (hashlib.md5(f"9:{s}".encode()).hexdigest(), s))
+    assert out and {(x.file_path, x.worker) for x in out} <= {
+        (s, p % 2) for p, s in enumerate(order)}
+
+
 def test_scope_and_short_batch(spark):
     df = spark.range(20).select((F.col("id") % 2).alias("worker"), "id")
     assert C.cap_per_worker(df, ["id"], 3).count() == 6

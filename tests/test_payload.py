@@ -155,6 +155,15 @@ def test_damaged_shard(spark, tmp_path):
         "broken.parquet"]
 
 
+def test_frame_changes_of_every_tag(spark, tmp_path):
+    path = str(tmp_path / "store")
+    latent_rows(spark, tensors(6), tag=lambda i: ["iid_sample", "other", None][i % 3]).write.parquet(
+        path)
+    latents = read_latents(spark, path)
+    assert frame_changes(latents, SHAPE).count() == 2
+    assert frame_changes(latents, SHAPE, tag=None).count() == 6
+
+
 def test_partly_damaged_shard_is_reported(spark, tmp_path):
     path = tmp_path / "store"
     rows = latent_rows(spark, tensors(400)).coalesce(1)
