@@ -7,6 +7,7 @@ segment is a row of a Parquet file, so files are written and committed by Spark
 any store; `part` and `segment` give the order. A document is never split over segments.
 """
 
+import functools
 import itertools
 import os
 import zlib
@@ -23,7 +24,9 @@ from driftgate.session import scratch_path
 END_ID = 1
 #: Ids of a segment before the next one starts, unless one document is longer.
 SEGMENT_IDS = 2048 * BLOCK
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+#: New words that go to the tokenizer as one text.
+WORDS_AT_ONCE = 500
 VERSION = 1
 _SCHEMA = ("version int, part int, segment int, n_ids long, docs array<struct<id: {id}, n: long>>, "
            "blocks array<struct<crc32: long, n: int, data: binary>>")
@@ -54,15 +57,30 @@ class WordTokenizer:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         split = [t.split() for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new],
-                                                 add_special_tokens=False)
-        for word, encoded in zip(new, found):
-            self.known[word] = np.array(encoded.ids, "<u2").tobytes()
+        self._learn(list(set(itertools.chain.from_iterable(split)).difference(self.known)))
         end = np.array([end_id], "<u2").tobytes()
         look = self.known.__getitem__
         return [b"".join(map(look, words)) + end for words in split]
 
+    def _learn(self, new):
+        """Encode words line by line in one text: a token belongs to the line it starts in."""
+        groups = [new[i:i + WORDS_AT_ONCE] for i in range(0, len(new), WORDS_AT_ONCE)]
+        lines = [[w.decode("utf-8", "replace") for w in group] for group in groups]
+        found = self.tokenizer.encode_batch(["\n".join(x) for x in lines], add_special_tokens=False)
+        for group, texts, encoded in zip(groups, lines, found):
+            ids = np.array(encoded.ids, "<u2").tobytes()
+            starts = np.array([a for a, _ in encoded.offsets], np.int64)
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            cuts = [0, *(2 * np.searchsorted(starts, ends)).tolist()]
+            for word, a, b in zip(group, cuts, cuts[1:]):
+                self.known[word] = ids[a:b]
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(path) -> WordTokenizer:
+    """One per Python worker: later tasks find the words that earlier ones met."""
+    return WordTokenizer(path)
+
 
 def _segment_row(part, number, ids, doc_ids, counts):
     values = np.frombuffer(b"".join(ids), "<u2")
@@ -77,7 +95,7 @@ def _segment_row(part, number, ids, doc_ids, counts):
 
 
 def _encode(batches, path, end_id, segment_ids, schema):
-    tokenizer, part, number = WordTokenizer(path), TaskContext.get().partitionId(), 0
+    tokenizer, part, number = word_tokenizer(path), TaskContext.get().partitionId(), 0
     ids, doc_ids, counts, held = [], [], [], 0
 
     def flush():
