@@ -251,9 +251,26 @@ def _location(name, line):
     return xxhash.xxh64_intdigest(f"{name}:{line}", 42)
 
 
+def _rank_type(common):
+    return "<u2" if len(common) <= 1 << 16 else "<u4"
+
+
+def _packed(keys, width) -> bytes:
+    """A sorted word set in bytes: how many rare words, their hashes, the ranks of common words."""
+    n = int(np.searchsorted(keys, _COMMON))
+    return b"".join([n.to_bytes(4, "little"), keys[:n].astype("<u8").tobytes(),
+                     (keys[n:] ^ _COMMON).astype(width).tobytes()])
+
+
+def _unpacked(data, width) -> frozenset:
+    n = int.from_bytes(data[:4], "little")
+    ranks = np.frombuffer(data, width, offset=4 + 8 * n).astype(np.uint64) | _COMMON
+    return frozenset(np.frombuffer(data, "<u8", n, 4).tolist() + ranks.tolist())
+
+
 def _fetch_rows(batches, common, bitmap):
     """The word sets of the lines whose place is in the bitmap, which holds all wanted ones."""
-    order, mask = WordOrder(common), len(bitmap) * 8 - 1
+    order, mask, width = WordOrder(common), len(bitmap) * 8 - 1, _rank_type(common)
     for batch in batches:
         lines = []
         for i, text in enumerate(batch.column("_utf8")):
@@ -267,12 +284,12 @@ def _fetch_rows(batches, common, bitmap):
         yield pa.RecordBatch.from_arrays(
             [pa.array(sets.classes[fresh].view(np.int64)),
              pa.array(sets.signatures[fresh].view(np.int64)),
-             pa.array([sets.keys[sets.starts[i]:sets.starts[i + 1]].view(np.int64)
-                       for i in fresh.tolist()], pa.list_(pa.int64()))],
+             pa.array([_packed(sets.keys[sets.starts[i]:sets.starts[i + 1]], width)
+                       for i in fresh.tolist()], pa.binary())],
             names=["class", "signature", "words"])
 
 
-def _later_rows(batches, ratio):
+def _later_rows(batches, ratio, width):
     """Classes with a verified match among the earlier ones of the same piece of work."""
     p, q = ratio.numerator, ratio.denominator
     for table in whole_groups(batches, ["key", "part"]):
@@ -283,7 +300,7 @@ def _later_rows(batches, ratio):
         for start, end in zip(starts.tolist(), ends.tolist()):
             earlier = []
             for i in range(start, end):
-                own = frozenset(words[i].values.to_numpy().tolist())
+                own = _unpacked(words[i].as_py(), width)
                 for other in earlier:
                     if min(len(own), len(other)) * q >= max(len(own), len(other)) * p and len(
                             own & other) * (p + q) >= p * (len(own) + len(other)):
@@ -325,6 +342,7 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     kind = base.schema["_id"].dataType.simpleString()
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common_words(base, common))
+    width = _rank_type(shared.value)
     schema = f"key long, class long, signature long, place long, _id {kind}, _h long, line int"
     rows = base.mapInArrow(lambda b: _index_rows(b, shared.value, ratio, kind), schema)
     rows = rows.repartition("key").sortWithinPartitions("key", F.col("line").isNull(), "place")
@@ -348,13 +366,13 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("first.*"), wanted.count()))
     sets = base.where("not _null").select("_id", "_utf8").mapInArrow(
         lambda b: _fetch_rows(b, shared.value, bitmap.value),
-        "class long, signature long, words array<long>")
+        "class long, signature long, words binary")
     sets = materialize(sets.dropDuplicates(who).join(wanted, who), "sets")
     # Partners are brought together by word; a class without one in its word is alone there.
     paired = blockwise_groups(candidates, "key", group, "pairs")
     checked = paired.join(sets, who).repartition("key", "part").sortWithinPartitions(
         "key", "part", "first").select("key", "part", *who, "words")
-    later = materialize(checked.mapInArrow(lambda b: _later_rows(b, ratio),
+    later = materialize(checked.mapInArrow(lambda b: _later_rows(b, ratio, width),
                                            "class long, signature long").distinct(), "later")
 
     judged = materialize(classes.join(later.withColumn("_later", F.lit(True)), who, "left"), "judged")
