@@ -18,6 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,6 +35,8 @@ GROUP = 20_000
 MAX_FETCH_BITS = 1 << 27
 _COMMON = np.uint64(1 << 63)
 _POSITIONS = 20
+#: Text that is taken apart into words at once.
+SLICE_BYTES = 1 << 22
 
 
 def _word_hash(word: bytes) -> int:
@@ -124,11 +127,20 @@ def _lines(data: bytes):
     return data.split(b"\n")
 
 
+def _slices(batches, size=SLICE_BYTES):
+    """The batches in pieces of about `size` bytes of text, or of one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("_utf8")).to_numpy(zero_copy_only=False))
+        starts, stops = runs(ends // size)
+        for start, end in zip(starts.tolist(), stops.tolist()):
+            yield batch.slice(start, end - start)
+
+
 def _index_rows(batches, common, ratio, id_type):
     """Rows (key, class, signature, place, _id, _h, line): one per line with its class as key, one per
-    document with line -1 and the number of lines as place, and index rows without id."""
+    document with its hash as key, line -1 and the number of lines as place, and index rows without id."""
     order, seen = WordOrder(common), set()
-    for batch in batches:
+    for batch in _slices(batches):
         owner, numbers, lines, counts = [], [], [], []
         for i, text in enumerate(batch.column("_utf8")):
             if not batch.column("_null")[i].as_py():
@@ -157,8 +169,8 @@ def _index_rows(batches, common, ratio, id_type):
                         mask=np.arange(len(own) + len(docs) + n_index) >= len(own) + len(docs))
         blank = np.zeros(len(docs), np.uint64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([sets.classes, docs.astype(np.uint64) << np.uint64(40), keys])
-                     .view(np.int64)),
+            pa.array(np.concatenate([sets.classes, batch.column("_h").to_numpy().view(np.uint64),
+                                     keys]).view(np.int64)),
             pa.array(np.concatenate([sets.classes, blank, sets.classes[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.signatures, blank, sets.signatures[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.sizes << _POSITIONS, np.array(counts, np.int64),
