@@ -9,7 +9,8 @@ has). A line that keeps a partner is a candidate with that word; whole sets are
 candidates alone and verified inside the groups. No pairs are emitted: a group reports
 which of its classes have an earlier match.
 
-A word with very many classes is cut into chunks, and every pair of chunks is work of its own.
+Rows of lines and documents are written from the scan; only index rows are exchanged by word. A word
+with very many classes is cut into chunks before that, and every pair of chunks is work of its own.
 """
 
 import itertools
@@ -26,7 +27,7 @@ from driftgate.llm.common import (
     blockwise_groups, log2_ceil, mix64, offsets, runs, shielded, utf8, whole_groups,
 )
 from driftgate.llm.decontaminate import words_of
-from driftgate.session import materialize
+from driftgate.session import broadcast_bounded, materialize
 
 SIMILARITY = 0.8
 #: Words with at least this share of all words are ordered by count: as many at most.
@@ -60,16 +61,31 @@ def _count_rows(batches, flush=400_000):
     yield rows()
 
 
-def common_words(base: DataFrame, limit=COMMON_WORDS) -> np.ndarray:
+def word_counts(base: DataFrame) -> DataFrame:
+    return materialize(base.select("_utf8").mapInArrow(_count_rows, "word long, n long")
+                       .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def common_words(counts: DataFrame, limit=COMMON_WORDS) -> np.ndarray:
     """Hashes of the words that make up at least one in `limit` of all words, rarest first; there
     are `limit` of them at most."""
-    counts = materialize(base.select("_utf8").mapInArrow(_count_rows, "word long, n long")
-                         .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counts.where(F.col("n") * limit >= total).orderBy("n", "word").collect()
     return np.array([r.word for r in rows], np.uint64)
 
 
+def hot_words(index: DataFrame, counts: DataFrame, common, group) -> DataFrame:
+    """The keys with more than `group` index rows. A word has no more of them than it has places
+    in the texts, so only the words with that many places are counted."""
+    ranks = (_COMMON | np.arange(len(common), dtype=np.uint64)).view(np.int64)
+    ranks = counts.sparkSession.createDataFrame(
+        list(zip(common.tolist(), ranks.tolist())), "word long, rank long")
+    frequent = counts.where(F.col("n") > group).join(ranks, "word", "left").select(
+        F.coalesce("rank", "word").alias("key"))
+    found = index.select("key").join(frequent, "key", "left_semi").groupBy("key").count()
+    return materialize(found.where(F.col("count") > group).select("key"), "hot-keys")
+
+
 class WordOrder:
     """A word's place in the order as an unsigned integer; remembers a bounded number."""
 
@@ -137,8 +153,8 @@ def _slices(batches, size=SLICE_BYTES):
 
 
 def _index_rows(batches, common, ratio, id_type):
-    """Rows (key, class, signature, place, _id, _h, line): one per line with its class as key, one per
-    document with its hash as key, line -1 and the number of lines as place, and index rows without id."""
+    """Rows (key, class, signature, place, _id, _h, line): one per line, one per document with line -1 and
+    the number of lines as place, and index rows, which have a key but no id and no line."""
     order, seen = WordOrder(common), set()
     for batch in _slices(batches):
         owner, numbers, lines, counts = [], [], [], []
@@ -165,19 +181,19 @@ def _index_rows(batches, common, ratio, id_type):
         docs = np.arange(len(counts))
         n_index = len(keys)
         zeros = np.zeros(n_index, np.int64)
-        take = pa.array(np.concatenate([own, docs, zeros]),
-                        mask=np.arange(len(own) + len(docs) + n_index) >= len(own) + len(docs))
+        is_index = np.arange(len(own) + len(docs) + n_index) >= len(own) + len(docs)
+        take = pa.array(np.concatenate([own, docs, zeros]), mask=is_index)
         blank = np.zeros(len(docs), np.uint64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([sets.classes, batch.column("_h").to_numpy().view(np.uint64),
-                                     keys]).view(np.int64)),
+            pa.array(np.concatenate([np.zeros(len(own) + len(docs), np.uint64), keys]).view(np.int64),
+                     mask=~is_index),
             pa.array(np.concatenate([sets.classes, blank, sets.classes[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.signatures, blank, sets.signatures[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.sizes << _POSITIONS, np.array(counts, np.int64),
                                      (sets.sizes[line] << _POSITIONS) | position]).astype(np.int64)),
             batch.column("_id").take(take), batch.column("_h").take(take),
             pa.array(np.concatenate([np.array(numbers, np.int64), docs * 0 - 1, zeros]).astype(
-                np.int32), mask=np.arange(len(own) + len(docs) + n_index) >= len(own) + len(docs)),
+                np.int32), mask=is_index),
         ], names=["key", "class", "signature", "place", "_id", "_h", "line"])
 
 
@@ -225,31 +241,8 @@ def _open_right(left, found, keys):
     return last_open[run_end] > left
 
 
-def _candidate_rows(batches, ratio, group):
-    """Lines and documents pass through; of index rows, those with a possible partner, and all rows
-    of words with more than `group` of them, marked by a line of -2."""
-    for table in whole_groups(batches, ["key"]):
-        table = table.combine_chunks()
-        is_index = np.asarray(table.column("line").is_null())
-        rows = np.flatnonzero(is_index)
-        keys = table.column("key").to_numpy()[rows]
-        starts, ends = runs(keys)
-        long = np.repeat(ends - starts > group, ends - starts) if len(rows) else np.zeros(0, bool)
-        keep = ~is_index
-        short = rows[~long]
-        columns = [table.column(c).to_numpy()[short] for c in ("key", "class", "signature", "place")]
-        keep[short] = _partnered(columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64),
-                                 columns[3], ratio)
-        keep[rows[long]] = True
-        marks = np.where(is_index, -3, 0)
-        marks[rows[long]] = -2
-        line = table.column("line").fill_null(0).to_numpy() * ~is_index + marks
-        table = table.set_column(table.schema.get_field_index("line"), "line",
-                                 pa.array(line.astype(np.int32)))
-        yield from table.filter(pa.array(keep)).to_batches()
-
-
-def _part_candidates(batches, ratio):
+def _candidate_rows(batches, ratio):
+    """The index rows with a possible partner in their piece of work."""
     for table in whole_groups(batches, ["key", "part"]):
         columns = [table.column(c).to_numpy() for c in ("key", "class", "signature", "place", "part")]
         joint = mix64(columns[0].view(np.uint64)) ^ columns[4].astype(np.uint64)
@@ -353,26 +346,28 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
                        F.col(text_col).isNull().alias("_null"), utf8(text_col).alias("_utf8"))
     kind = base.schema["_id"].dataType.simpleString()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common_words(base, common))
+    counts = word_counts(base)
+    shared = spark.sparkContext.broadcast(common_words(counts, common))
     width = _rank_type(shared.value)
     schema = f"key long, class long, signature long, place long, _id {kind}, _h long, line int"
     rows = base.mapInArrow(lambda b: _index_rows(b, shared.value, ratio, kind), schema)
-    rows = rows.repartition("key").sortWithinPartitions("key", F.col("line").isNull(), "place")
-    rows = materialize(rows.mapInArrow(lambda b: _candidate_rows(b, ratio, group), schema), "lines")
+    rows = materialize(rows, "lines")
     who = ["class", "signature"]
-    lines = rows.where("line >= 0")
-    classes = materialize(lines.where(F.col("place") > 0).groupBy(*who).agg(
-        F.min(F.struct("_id", "_h", "line")).alias("first")), "classes")
-
-    # Words with very many classes, in pairs of chunks.
-    hot = rows.where("line = -2").select("key", *who, "place").distinct()
-    pieces = blockwise_groups(hot, "key", group, "hot-words").repartition("key", "part")
-    pieces = pieces.sortWithinPartitions("key", "part", "place").select(
-        "key", *who, "place", "part")
-    more = pieces.mapInArrow(lambda b: _part_candidates(b, ratio),
-                             "key long, class long, signature long, place long")
-    candidates = materialize(rows.where("line = -3").select("key", *who, "place").unionByName(more)
-                             .select("key", *who).distinct(), "candidates")
+    lines = rows.where("line >= 0 and place > 0").select(*who, "_id", "_h", "line")
+    classes = materialize(lines.groupBy(*who).agg(
+        F.min(F.struct("_id", "_h", "line")).alias("first"), F.count("*").alias("n")), "classes")
+
+    # Words with very many classes, in pairs of chunks; a class counts once in each.
+    index = rows.where("line is null").select("key", *who, "place")
+    hot = hot_words(index, counts, shared.value, group)
+    hot = broadcast_bounded(hot, hot.count())
+    pieces = blockwise_groups(index.join(hot, "key", "left_semi").distinct(), "key", group,
+                              "hot-words")
+    pieces = index.join(hot, "key", "left_anti").withColumn("part", F.lit(0)).unionByName(pieces)
+    pieces = pieces.repartition("key", "part").sortWithinPartitions("key", "part", "place")
+    found = pieces.mapInArrow(lambda b: _candidate_rows(b, ratio),
+                              "key long, class long, signature long, place long")
+    candidates = materialize(found.select("key", *who).distinct(), "candidates")
 
     wanted = materialize(candidates.select(*who).distinct().join(classes, who), "wanted")
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("first.*"), wanted.count()))
@@ -387,8 +382,13 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     later = materialize(checked.mapInArrow(lambda b: _later_rows(b, ratio, width),
                                            "class long, signature long").distinct(), "later")
 
-    judged = materialize(classes.join(later.withColumn("_later", F.lit(True)), who, "left"), "judged")
-    gone = lines.where(F.col("place") > 0).join(judged, who).where(
+    judged = materialize(classes.join(later.withColumn("_later", F.lit(True)), who, "left").where(
+        F.col("_later") | (F.col("n") > 1)), "judged")
+    # The lines of a class of very many are not brought together.
+    many = judged.where(F.col("n") > group)
+    many = broadcast_bounded(many, many.count())
+    gone = lines.join(many, who).unionByName(lines.join(many.select(*who), who, "left_anti").join(
+        judged.where(F.col("n") <= group), who)).where(
         F.col("_later") | (F.struct("_id", "_h", "line") != F.col("first")))
     gone = gone.groupBy(F.col("_id").alias("_gone_id"), F.col("_h").alias("_gone_h")).agg(
         F.array_sort(F.collect_set("line")).alias("removed"))

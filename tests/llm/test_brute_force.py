@@ -250,3 +250,18 @@ def test_pipeline_equals_plain_steps(spark, docs, texts):
     ends = sorted((r.start, r.start + r.n_tokens) for r in got)
     assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert max(Counter(r.doc_id for r in got).values()) <= 3
+
+
+def test_lines_of_a_hot_group_stay_spread(spark, monkeypatch):
+    """Most lines are blank or one line, and most others share their rarest word."""
+    texts = {i: "\n".join(["", "the very same line here"] * 20 + [
+        f"hot x{i % 7} y{(i + k) % 11} z{k}" for k in range(4)]) for i in range(80)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize",
+                        lambda df, name: kept.setdefault(name, write(df, name)))
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs, group=20).collect()}
+    assert got == _plain_lines(texts)
+    files = [r["count"] for r in kept["lines"].where("line >= 0").groupBy(
+        F.input_file_name()).count().collect()]
+    assert len(files) >= 4 and max(files) < sum(files) / 2
