@@ -252,8 +252,9 @@ def _candidate_rows(batches, ratio):
             pa.array(found)).combine_chunks().to_batches()
 
 
-def _location(name, line):
-    return xxhash.xxh64_intdigest(f"{name}:{line}", 42)
+def _location(doc, line):
+    """As `_bitmap` has it. `_h` stands for the document, since an id may be null."""
+    return xxhash.xxh64_intdigest(f"{doc}:{line}", 42)
 
 
 def _rank_type(common):
@@ -279,9 +280,9 @@ def _fetch_rows(batches, common, bitmap):
     for batch in batches:
         lines = []
         for i, text in enumerate(batch.column("_utf8")):
-            name = batch.column("_id")[i].as_py()
+            doc = batch.column("_h")[i].as_py()
             for k, line in enumerate(_lines(text.as_py())):
-                slot = _location(name, k) & mask
+                slot = _location(doc, k) & mask
                 if bitmap[slot >> 3] >> (slot & 7) & 1:
                     lines.append(words_of(line))
         sets = LineSets(lines, order)
@@ -319,7 +320,7 @@ def _later_rows(batches, ratio, width):
 def _bitmap(places: DataFrame, count: int) -> np.ndarray:
     """The places' bits, 16 MiB at most: with more lines more of them look wanted."""
     bits = 1 << min(log2_ceil(MAX_FETCH_BITS), max(15, log2_ceil(16 * count)))
-    slot = F.pmod(F.xxhash64(F.concat_ws(":", F.col("_id").cast("string"),
+    slot = F.pmod(F.xxhash64(F.concat_ws(":", F.col("_h").cast("string"),
                                          F.col("line").cast("string"))), F.lit(bits))
     packed = places.select(slot.alias("s")).groupBy(
         F.shiftright("s", 15).alias("page")).agg(
@@ -371,7 +372,7 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
 
     wanted = materialize(candidates.select(*who).distinct().join(classes, who), "wanted")
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("first.*"), wanted.count()))
-    sets = base.where("not _null").select("_id", "_utf8").mapInArrow(
+    sets = base.where("not _null").select("_h", "_utf8").mapInArrow(
         lambda b: _fetch_rows(b, shared.value, bitmap.value),
         "class long, signature long, words binary")
     sets = materialize(sets.dropDuplicates(who).join(wanted, who), "sets")

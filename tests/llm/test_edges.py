@@ -117,6 +117,16 @@ def test_lines(docs, none):
     assert {r.doc_id: r.text for r in left.collect()}[7] == ""
 
 
+@pytest.mark.parametrize("kind", ["long", "boolean"])
+def test_lines_near_those_of_a_null_id(spark, kind):
+    words = "one two three four five six seven eight nine ten"
+    later = 7 if kind == "long" else True
+    docs = spark.createDataFrame([(None, f"first {words}"), (later, f"x\nlast {words}")],
+                                 f"doc_id {kind}, text string")
+    found = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()}
+    assert found == {None: [], later: [1]}
+
+
 def test_tokens(docs, none):
     found = sorted(token_files.round_trip(docs).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in found] == [None, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]
