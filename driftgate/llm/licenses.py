@@ -4,8 +4,15 @@ Each line of a text, and the text as a whole, is normalised to lower-case words
 every template whose size makes the wanted coefficient possible: with sizes a and b the
 coefficient is at most 2 min(a, b) / (a + b), so a must lie between b t / (2 - t) and
 b (2 - t) / t. Everything happens inside the row that holds the text, without an exchange.
+
+A notice wrapped over lines, or inside a longer line or a whole licence, is found as a window of the
+text's words: any run of bigrams that starts and ends with one of the template's and is at most
+(2 - t) / t times as long as the template. It needs b t / (2 - t) of the template's bigrams, so a
+text is looked at by window only if it has enough of the template's words, then of its bigrams.
 """
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from driftgate.llm.common import text_or_empty
@@ -38,9 +45,13 @@ TEMPLATES = (
 )
 
 
+def _words_of(text):
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split()
+
+
 def _bigrams_of(text):
     """The distinct word bigrams of a template, as the expressions below make them."""
-    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split()
+    words = _words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -57,12 +68,51 @@ def _template_sql(templates):
     return f"array({', '.join(rows)})"
 
 
+def _array_sql(texts):
+    return f"array({', '.join(map(_quoted, texts))})"
+
+
+def _windows_sql(templates, min_dice):
+    """Templates with what a window needs: `need` bigrams, so one of the words `any` and `least` of all
+    words; at most `most` bigrams."""
+    rows = []
+    for name, text in templates:
+        words, grams = _words_of(text), _bigrams_of(text)
+        need = max(1, math.ceil(len(grams) * min_dice / (2 - min_dice) - 1e-9))
+        # Without these words, the longest first, too few bigrams are left.
+        left, some = grams, []
+        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+            if len(left) < need:
+                break
+            some.append(word)
+            left = [g for g in left if word not in g.split()]
+        least = len(set(words)) - 2 * (len(grams) - need)
+        most = math.floor((len(words) - 1) * (2 - min_dice) / min_dice + 1e-9)
+        rows.append(f"named_struct('name', {_quoted(name)}, 'n', {len(grams)}, 'need', {need}, "
+                    f"'least', {least}, 'most', {most}, 'any', {_array_sql(some)}, "
+                    f"'words', {_array_sql(sorted(set(words)))}, 'grams', {_array_sql(grams)})")
+    return f"array({', '.join(rows)})"
+
+
+def _best_window():
+    """The best window of template t, of `_pairs`, as (dice, name). p: where t's bigrams are."""
+    dice = """transform(filter(slice(p, i + t.need, t.most), e -> e - p[i] < t.most), e ->
+        transform(array(slice(_pairs, p[i] + 1, e - p[i] + 1)), w ->
+            2.0D * size(array_intersect(w, t.grams)) / (size(array_distinct(w)) + t.n))[0])"""
+    places = """filter(transform(_pairs, (g, i) -> if(array_contains(t.grams, g), i, -1)),
+        i -> i >= 0)"""
+    return f"""transform(array({places}), p -> named_struct('dice', array_max(transform(
+        filter(sequence(0, size(p) - t.need), i -> p[i + t.need - 1] - p[i] < t.most),
+        i -> array_max({dice}))), 'name', t.name))[0]"""
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_dice=MIN_DICE,
                   text_col="text") -> DataFrame:
     """Add n_lines, n_matches, license, dice, licenses to every document.
 
-    A line matches when its best template reaches `min_dice`; `license` is the best over lines
-    and the whole text (ties: the later name), `dice` its coefficient, `licenses` the distinct
+    A line matches when its best template reaches `min_dice`. A name that neither a line nor the whole
+    text gives counts as one match more when a window of the text reaches `min_dice`. `license` is
+    the best of all matches (ties: the later name), `dice` its coefficient, `licenses` the distinct
     names comma-joined in order. Lines of fewer than two words have no bigrams and match nothing.
     Null texts have no lines. Input columns of these names give way. `templates` is a parameter
     of the call, not a table.
@@ -86,13 +136,28 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_dice=MIN_DICE,
             'name', t.name))))"""
     found = (docs.withColumn("_words", words).withColumn("_grams", F.expr(grams))
              .withColumn("_found", F.expr(f"filter({scores}, m -> m.dice >= {min_dice})")))
+    whole = "coalesce(try_element_at(_words, -1), cast(array() as array<string>))"
+    names = sorted({w for _, text in templates for w in _words_of(text)})
+    found = found.withColumn("_present", F.expr(f"array_intersect({_array_sql(names)}, {whole})"))
+    found = found.withColumn("_near", F.expr(f"""filter({_windows_sql(templates, min_dice)}, t ->
+        arrays_overlap(t.any, _present) and size(array_intersect(t.words, _present)) >= t.least
+        and not exists(_found, m -> m.name = t.name))"""))
+    found = found.withColumn("_pairs", F.expr(f"""if(size(_near) = 0, cast(array() as array<string>),
+        zip_with(slice({whole}, 1, size({whole}) - 1), slice({whole}, 2, size({whole}) - 1),
+                 (a, b) -> a || ' ' || b))"""))
+    # The best window of each name.
+    found = found.withColumn("_more", F.expr(f"""filter(transform(filter(_near, t ->
+        size(array_intersect(t.grams, _pairs)) >= t.need), t -> {_best_window()}),
+        m -> m.dice >= {min_dice})"""))
+    found = found.withColumn("_found", F.expr("""concat(_found, array_distinct(filter(_more, m ->
+        not exists(_more, o -> o.name = m.name and o.dice > m.dice))))"""))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     return found.withColumns({
         "n_lines": n_lines, "n_matches": F.size("_found").cast("long"),
         "license": F.array_max("_found")["name"], "dice": F.array_max("_found")["dice"],
         "licenses": F.array_join(F.array_sort(F.array_distinct(
             F.transform("_found", lambda m: m["name"]))), ","),
-    }).drop("_words", "_grams", "_found")
+    }).drop("_words", "_grams", "_found", "_present", "_near", "_pairs", "_more")
 
 
 def _sql():

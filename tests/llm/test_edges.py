@@ -149,6 +149,25 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_over_lines_and_inside_lines(spark):
+    notice = dict(reversed(licenses.TEMPLATES))  # the first of each name
+    long = {name: text for name, text in licenses.TEMPLATES}
+    prose = " ".join(f"other{i} words{i}" for i in range(150)) + " "
+    mit = long["MIT"].split()
+    texts = [
+        prose + "\n" + "\n".join("# " + " ".join(mit[i:i + 9]) for i in range(0, len(mit), 9)) + "\n" + prose,
+        prose + notice["Apache-2.0"] + " " + prose,
+        "Copyright 2020\n\n" + long["MIT"] + " The above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the Software. " + prose,
+        prose + long["GPL-3.0"].replace("and/or modify", "and, if you so wish, modify") + prose,
+        prose, notice["MIT"] + "\n" + prose]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: (r.licenses, r.n_matches, r.dice) for r in licenses.scan_licenses(docs).collect()}
+    assert [found[i][0] for i in range(6)] == ["MIT", "Apache-2.0", "MIT", "GPL-3.0", "", "MIT"]
+    assert [found[i][1] for i in range(6)] == [1, 1, 1, 1, 0, 1]
+    assert found[0][2] == found[1][2] == found[2][2] == 1.0 and 0.8 <= found[3][2] < 1
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, None, "x"), (2, "", "x"), (3, "no scheme", "x"), (4, "http://", "x"), (4, "http://", "x"),
