@@ -38,8 +38,9 @@ def scores(changes: DataFrame, eps) -> DataFrame:
 
 
 def calibrate(changes: DataFrame, n_static=STATIC_TARGET, tag=SAMPLE_TAG) -> DataFrame:
-    """The calibration record from a table of frame changes. Raises without any sample,
-    and on NaN."""
+    """The calibration record from the rows of `tag` in a table of frame changes. Raises without any
+    sample, and on NaN."""
+    changes = only_tag(changes, tag)
     winners = most_static(changes.select(*ROW_ADDRESS, "tag", "m_flow"), n_static, tag)
     chosen = materialize(fetch_rows(changes, winners, n_static).select("l1"), "static-changes")
     static = chosen.select(F.explode("l1").alias("l1"))

@@ -6,10 +6,11 @@ from driftgate.functions.payload import permute_payload
 from driftgate.operators.curation import (
     assign_workers, cap_per_worker, kinetic_gate, with_batches, with_split,
 )
+from driftgate.plans.calibrate import frame_changes, scores
 from driftgate.schema import ROW_ADDRESS
 from driftgate.session import materialize
 from driftgate.settings import BATCH_SIZE, LATENT_SHAPE, SEED, TUBELETS_PER_EPOCH
-from driftgate.sources.latents import fetch_payloads
+from driftgate.sources.latents import fetch_payloads, list_shards, read_latents
 
 
 def epoch_sample(scored: DataFrame, tau, split="train", seed=SEED, n_workers=4,
@@ -31,6 +32,17 @@ def epoch_sample(scored: DataFrame, tau, split="train", seed=SEED, n_workers=4,
     return with_batches(capped, batch_size)
 
 
+def store_epoch(spark, root, eps, tau, changes: DataFrame = None, shape=LATENT_SHAPE,
+                **options) -> DataFrame:
+    """One epoch over a whole store: the rows of every tag, dealt by all shards listed below `root`,
+    as `epoch_sample` does with `options`. `changes` are the stored frame changes of every tag
+    (`frame_changes` with `tag=None`), which are made here if they are not given."""
+    if changes is None:
+        changes = frame_changes(read_latents(spark, root), shape, tag=None)
+    listing = list_shards(spark, root).select(F.col("path").alias("file_path"))
+    return epoch_sample(scores(changes, eps), tau, listing=listing, **options)
+
+
 def epoch_payloads(sample: DataFrame, shape=LATENT_SHAPE) -> DataFrame:
     """The tensors of an epoch sample in channel-major order, with worker, row and batch.
 

@@ -162,3 +162,29 @@ def epoch_payloads_query(spark, sf_dir):
     return out.select("video_index", "tubelet_start",
                       F.octet_length("latent_bytes").alias("n_bytes"),
                       channel(0).alias("head"), channel(1).alias("next"))
+
+
+LISTED = f"""
+latent_psi AS (SELECT l.*, psi, 'shard_' || l.video_index AS shard, ('0x' || substr(
+    md5(l.factory_id || '_' || l.video_index), 1, 8))::UBIGINT % 10 AS bucket
+  FROM latents l JOIN em_psi p ON l.seq_id = p.seq_id AND l.start = p.start),
+shards AS (SELECT shard, row_number() OVER (ORDER BY md5('42:' || shard), shard) - 1 AS pos
+           FROM (SELECT DISTINCT shard FROM latent_psi))"""
+
+
+@query("epoch_sample_tags", sql(*EM_WITH_LATENTS, EM_PSI, LISTED, select="""
+SELECT video_index, tubelet_start, tag, pos % 2 AS worker, row_number() OVER w - 1 AS row,
+       (row_number() OVER w - 1) // 8 AS batch_id
+FROM latent_psi JOIN shards USING (shard)
+WHERE video_index % 3 != 1 AND bucket != 0 AND NOT psi < 0.1
+WINDOW w AS (PARTITION BY pos % 2 ORDER BY pos, tubelet_start)
+QUALIFY row_number() OVER w <= 100"""))
+def epoch_sample_tags(spark, sf_dir):
+    """Rows of every tag; the shards of a third of the videos are listed but lose all rows."""
+    latents = read_latents(spark, latent_store(spark, sf_dir))
+    keep = ["factory_id", "video_index", "tubelet_start", "tag"]
+    scored = materialize(psi_from_payload(latents, EM_EPS, keep, SHAPE), "psi").withColumn(
+        "shard", F.concat(F.lit("shard_"), F.col("video_index").cast("string")))
+    sample = epoch_sample(scored.where("video_index % 3 != 1"), 0.1, "train", 42, 2, 100, 8, "shard",
+                          "tubelet_start", listing=scored.select("shard"))
+    return sample.select("video_index", "tubelet_start", "tag", "worker", "row", "batch_id")

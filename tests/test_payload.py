@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -11,7 +13,9 @@ from driftgate.functions.udfs import register
 from driftgate.operators.evaluation import merge_moments
 from driftgate.operators.frames import frame_diff, frame_l1, psi
 from driftgate.plans.calibrate import calibrate, frame_changes
+from driftgate.plans.epoch import store_epoch
 from driftgate.schema import LATENT, LATENT_KEYS
+from driftgate.settings import SEED
 from driftgate.sources.calibration import thresholds
 from driftgate.sources.latents import (
     index_of, latent_index, list_shards, read_latents, scan_motion, skipped_shards,
@@ -164,6 +168,24 @@ def test_frame_changes_of_every_tag(spark, tmp_path):
     assert frame_changes(latents, SHAPE, tag=None).count() == 6
 
 
+def test_store_epoch_of_every_tag_and_shard(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = tensors(6)
+    latent_rows(spark, rows, tag=lambda i: ["iid_sample", "other", None][i % 3]).coalesce(
+        1).write.parquet(path)
+    latent_rows(spark, rows).limit(0).coalesce(1).write.mode("append").parquet(path)
+    every = [x for split in ("train", "val") for x in store_epoch(
+        spark, path, F.lit(0.0), -1.0, shape=SHAPE, split=split, n_workers=2).collect()]
+    assert len(every) == 6
+    names = sorted(x.path for x in list_shards(spark, path).collect())
+    order = sorted(names, key=lambda s: (hashlib.md5(f"{SEED}:{s}".encode()).hexdigest(), s))
+    assert len(names) == 2 and {(x.file_path, x.worker) for x in every} <= {
+        (s, p % 2) for p, s in enumerate(order)}
+    changes = frame_changes(read_latents(spark, path), SHAPE, tag=None)
+    alone = frame_changes(read_latents(spark, path), SHAPE)
+    assert calibrate(changes, 2).collect() == calibrate(alone, 2).collect()
+
+
 def test_partly_damaged_shard_is_reported(spark, tmp_path):
     path = tmp_path / "store"
     rows = latent_rows(spark, tensors(400)).coalesce(1)
