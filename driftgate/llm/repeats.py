@@ -7,7 +7,8 @@ to the next trigger) followed by the parse suffix from that trigger on, and the
 suffixes is the order of parse suffixes refined by the phrase suffixes before them. Two suffixes
 share their first `length` bytes only if they share the trigger's place and both of these parts.
 
-So suffixes are sorted into classes in that order, and only where classes may still differ:
+So suffixes are put into the classes of that order by hashes, without sorting the classes (no suffix array of
+dictionary or parse is built), and refined only where classes may still differ:
 parse suffixes are bucketed by the bytes that all suffixes of the phrase have in common (most
 buckets hold one suffix, which is settled); inside a bucket, equal phrase contexts are one class of the
 dictionary; where a bucket holds several classes, one of each is refined with runs of 16
