@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every query that SQL can state against that SQL, on the smallest tables; the others must run."""
 
 import os
 
@@ -21,12 +21,18 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     result, _ = compare(spark, con, name, SF_DIR)
     assert result.startswith("ok"), result
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    """Only that it runs and has rows: its own tests compare it with a plain version."""
+    assert entry.queries()[name](spark, SF_DIR).count() > 0
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
