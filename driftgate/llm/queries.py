@@ -5,8 +5,8 @@ import functools
 from pyspark.sql import functions as F
 
 from driftgate.llm import (
-    decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, repeats, simhash,
-    token_files, url_reputation,
+    decontaminate, exact_dedup, licenses, line_dedup, mixing, periodic, quality, repeats,
+    simhash, token_files, url_reputation,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -89,6 +89,12 @@ def op10(spark, sf_dir):
         "page_id", "host", "path", "rule", "verdict")
 
 
+@_query("op13_periodic_runs", periodic.SQL)
+def op13(spark, sf_dir):
+    docs = periodic.plant_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digest(periodic.find_runs(docs, keep_text=False))
+
+
 def add_pipeline(pipeline):
     """Register the pipeline's run as a query."""
     QUERIES["pipeline"] = pipeline.run
