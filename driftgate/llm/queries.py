@@ -5,8 +5,8 @@ import functools
 from pyspark.sql import functions as F
 
 from driftgate.llm import (
-    decontaminate, exact_dedup, licenses, line_dedup, mixing, periodic, prefix_trie, quality,
-    repeats, simhash, token_files, url_reputation,
+    decontaminate, exact_dedup, licenses, line_dedup, mixing, packing, periodic, prefix_trie,
+    quality, repeats, simhash, token_files, url_reputation,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -89,6 +89,11 @@ def op10(spark, sf_dir):
         "page_id", "host", "path", "rule", "verdict")
 
 
+@_query("op11_pack_sequences")
+def op11(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query("op12_prefix_trie", prefix_trie.SQL)
 def op12(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
