@@ -7,7 +7,7 @@ from driftgate.operators.curation import (
     assign_workers, cap_per_worker, kinetic_gate, with_batches, with_split,
 )
 from driftgate.plans.calibrate import frame_changes, scores
-from driftgate.schema import ROW_ADDRESS
+from driftgate.schema import LATENT_KEYS, ROW_ADDRESS
 from driftgate.session import materialize
 from driftgate.settings import BATCH_SIZE, LATENT_SHAPE, SEED, TUBELETS_PER_EPOCH
 from driftgate.sources.latents import fetch_payloads, list_shards, read_latents
@@ -47,9 +47,11 @@ def epoch_payloads(sample: DataFrame, shape=LATENT_SHAPE) -> DataFrame:
     """The tensors of an epoch sample in channel-major order, with worker, row and batch.
 
     The sample is at most the cap times the workers, so its addresses are broadcast and the
-    payloads never leave the tasks that scan them.
+    payloads never leave the tasks that scan them. A sample with the identities also skips the row
+    groups of a shard that it has no row of.
     """
     place = ["worker", "row", "batch_id"]
-    stored = materialize(sample.select(*ROW_ADDRESS, *place), "epoch-sample")
+    known = [c for c in LATENT_KEYS if c in sample.columns]
+    stored = materialize(sample.select(*ROW_ADDRESS, *place, *known), "epoch-sample")
     rows = fetch_payloads(stored, place)
     return rows.withColumn("latent_bytes", permute_payload(shape)("latent_bytes"))

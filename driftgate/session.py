@@ -90,9 +90,14 @@ def payload_scan(spark: SparkSession, payload_bytes: int):
 
 
 def payload_write_options() -> dict:
-    """Parquet writer options that keep row groups to a few full-size payload rows."""
+    """Parquet writer options that keep row groups to a few full-size payload rows, and give each
+    group a Bloom filter of the identity columns that vary inside a shard."""
+    bloom = {f"parquet.bloom.filter.{option}#{name}": value
+             for name in ("worker_id", "video_index", "tubelet_start")
+             for option, value in (("enabled", "true"), ("expected.ndv", "64"))}
     return {
         "parquet.enable.dictionary": "false",
         "parquet.page.size.row.check.min": "1",
         "parquet.page.size.row.check.max": "1",
+        **bloom,
     }

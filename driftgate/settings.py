@@ -71,5 +71,10 @@ MAX_PERCENTILE_ROWS = 1_000_000
 MAX_HOT_KEYS = 65_536
 # Row addresses sent to every executor; more are joined by shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
+# Identities pushed into one scan of payloads, and scans of a fetch that has them pushed.
+MAX_PUSHED_KEYS = 500
+MAX_PUSHED_SCANS = 64
+# Buckets of a store that is laid out by identity.
+STORE_BUCKETS = 64
 # Parts one group's top-n is cut in before its rows meet.
 TOP_N_SALTS = 256

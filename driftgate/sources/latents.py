@@ -1,11 +1,16 @@
 """Latent table: scans, shard listing, row addresses, identity index."""
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.schema import LATENT, LATENT_KEYS, ROW_ADDRESS
 from driftgate.session import broadcast_bounded
-from driftgate.settings import UNKNOWN, UNKNOWN_INDEX, UNMEASURED_FLOW
+from driftgate.settings import (
+    MAX_BROADCAST_ROWS, MAX_PUSHED_KEYS, MAX_PUSHED_SCANS, UNKNOWN, UNKNOWN_INDEX, UNMEASURED_FLOW,
+)
 
 SHARDS = "*.parquet"
 
@@ -58,26 +63,63 @@ def with_address(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.col(f"_metadata.{c}").alias(c) for c in ROW_ADDRESS])
 
 
-def scan_motion(latents: DataFrame, motion="m_flow", tag="tag") -> DataFrame:
-    """Motion and tag of every row with its address; the payload column is never read."""
-    return latents.select(*[F.col(f"_metadata.{c}").alias(c) for c in ROW_ADDRESS],
+def scan_motion(latents: DataFrame, motion="m_flow", tag="tag", keep=()) -> DataFrame:
+    """Motion and tag of every row with its address and the columns `keep`; the payload column is
+    never read. With the identity kept, `fetch_payloads` skips row groups."""
+    return latents.select(*[F.col(f"_metadata.{c}").alias(c) for c in ROW_ADDRESS], *keep,
                           F.col(tag).alias("tag"), F.col(motion).alias("m_flow"))
 
 
-def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT) -> DataFrame:
+def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT, keys=LATENT_KEYS,
+                   max_rows=MAX_BROADCAST_ROWS, max_pushed=MAX_PUSHED_KEYS) -> DataFrame:
     """Full rows at the addresses of `winners`, opening only the shards that hold one, with
-    the columns `keep` of `winners` added.
+    the columns `keep` of `winners` added. Store `winners` first: it is read several times.
 
-    `winners` is a top-n or a capped sample: its size, and so the list of files and the
-    broadcast, is bounded by that n. Store it first if it is costly to compute.
+    The addresses go to the scan tasks, so payloads stay in the tasks that read them, however many
+    winners there are: touched shards are taken in groups of at most `max_rows` addresses, each with
+    its own broadcast. Where `winners` has the identity `keys` and is not too large, a group is cut to
+    `max_pushed` rows and its identities are pushed into the scan, which then skips the row groups
+    that hold none by their statistics and Bloom filters (see `payload_write_options`).
     """
     spark = winners.sparkSession
-    files = [row[0] for row in winners.select("file_path").distinct().collect()]
-    if not files:
+    per_file = {f: n for f, n in winners.groupBy("file_path").count().collect()}
+    if not per_file:
         return with_fields(spark.createDataFrame([], schema), winners, [*ROW_ADDRESS, *keep])
-    rows = with_address(spark.read.schema(schema).parquet(*files))
-    chosen = broadcast_bounded(winners.select(*ROW_ADDRESS, *keep), winners.count())
-    return rows.join(chosen, ROW_ADDRESS)
+    pushed = ({*keys} <= {*winners.columns} and {*keys} <= {*schema.names}
+              and sum(per_file.values()) <= max_pushed * MAX_PUSHED_SCANS)
+    parts = []
+    for files in _file_groups(per_file, max_pushed if pushed else max_rows):
+        rows = with_address(spark.read.schema(schema).parquet(*files))
+        chosen = winners.where(F.col("file_path").isin(files)) if len(per_file) > len(files) else winners
+        held = sum(per_file[f] for f in files)
+        if pushed and held <= max_pushed:
+            rows = rows.where(any_identity(chosen.select(*keys).distinct().collect(), keys))
+        parts.append(rows.join(broadcast_bounded(chosen.select(*ROW_ADDRESS, *keep), held), ROW_ADDRESS))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _file_groups(per_file: dict, limit):
+    """Lists of files, in order, that hold at most `limit` rows in all or are one file."""
+    group, held = [], 0
+    for file in sorted(per_file):
+        if group and held + per_file[file] > limit:
+            yield group
+            group, held = [], 0
+        group.append(file)
+        held += per_file[file]
+    yield group
+
+
+def any_identity(rows, keys):
+    """The condition that a row's identity is one of `rows`, as comparisons that reach the scan."""
+    def one(row):
+        return reduce(and_, [F.col(k).isNull() if row[k] is None else F.col(k) == F.lit(row[k])
+                             for k in keys])
+
+    conditions = [one(row) for row in rows]
+    while len(conditions) > 1:  # in pairs, so that the tree is not deep
+        conditions = [reduce(or_, conditions[i:i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
 
 
 def with_fields(df: DataFrame, other: DataFrame, names) -> DataFrame:

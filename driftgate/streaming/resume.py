@@ -1,35 +1,40 @@
 """Streaming resume: an identity already stored is not written again."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame
 
-from driftgate.operators.planning import dedup, todo
-from driftgate.schema import LATENT_KEYS
+from driftgate.operators.planning import todo
+from driftgate.schema import LATENT_KEYS, ROW_ADDRESS
+from driftgate.session import materialize
+from driftgate.settings import STORE_BUCKETS
+from driftgate.sources.latents import fetch_payloads, with_address
+from driftgate.sources.store import (
+    IDENTITY, identity, not_stored, open_store, pick_rows, write_batch,
+)
 
 
 def dedup_stream(stream: DataFrame, store, checkpoint, order, keys=LATENT_KEYS,
-                 stored: DataFrame = None) -> None:
-    """Append the new identities of a stream to the table at `store`.
+                 stored: DataFrame = None, buckets=STORE_BUCKETS) -> None:
+    """Append the new identities of a stream of shards to the store at `store`.
 
-    There is no event time to expire state by, so the stored table is the state: each
-    micro-batch is reduced to one row per identity and anti-joined with what earlier batches
-    (and `stored`, if given) hold. A replayed batch overwrites its own folder only.
+    `stream` is a file stream, or columns and rows chosen from one. Only keys, order and row addresses
+    pass through the query. There is no event time to expire state by, so the store is the state: each
+    micro-batch is reduced to one row per identity, those in earlier batches (or in `stored`, if
+    given) go, and the rows that are left are fetched by address and written where they are read. No
+    payload crosses an exchange and no stored payload is read. A replayed batch overwrites itself.
     """
-    spark = stream.sparkSession
-    with_batch = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    schema = stream.schema
+    open_store(stream.sparkSession, store, schema, buckets)
+    narrow = with_address(stream).select(*dict.fromkeys([*keys, *order, *ROW_ADDRESS]))
 
     def add(batch, batch_id):
-        new = dedup(batch, order, keys)
+        table = open_store(batch.sparkSession, store, schema, buckets)
+        new = pick_rows(batch, order, keys)
         if stored is not None:
             new = todo(new, stored, keys)
-        try:
-            before = spark.read.schema(with_batch).parquet(store)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            new = todo(new, before.where(F.col("batch") < batch_id), keys)
-        new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        new = materialize(new.withColumn(IDENTITY, identity(*keys)), "new-identities")
+        new = materialize(not_stored(new, table, batch_id), "new-rows")
+        rows = fetch_payloads(new, [IDENTITY], schema, keys)
+        write_batch(rows, table, batch_id)
 
-    (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    (narrow.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

@@ -6,6 +6,7 @@ from driftgate.functions.expressions import latent_id
 from driftgate.operators import calibration as C
 from driftgate.operators.frames import psi, tubelets
 from driftgate.plans.calibrate import calibrate, frame_changes, scores
+from driftgate.schema import LATENT_KEYS
 from driftgate.session import materialize, scratch_path
 from driftgate.sources.calibration import (
     read_calibration, with_calibration, write_calibration,
@@ -204,9 +205,10 @@ def fetch_rows_query(spark, sf_dir):
 SELECT video_index, tubelet_start, tag, 2048 AS n_bytes FROM latents
 WHERE tag = 'iid_sample' AND m_flow >= 0 ORDER BY m_flow LIMIT 20"""))
 def fetch_payloads_query(spark, sf_dir):
-    """Two-phase read: motion first, then payloads from the winners' shards only."""
+    """Two-phase read: motion first, then payloads from the winners' shards and row groups only."""
     latents = read_latents(spark, latent_store(spark, sf_dir))
-    winners = materialize(C.most_static(scan_motion(latents), 20), "winners")
+    motion = scan_motion(latents, keep=LATENT_KEYS)
+    winners = materialize(C.most_static(motion, 20), "winners")
     return fetch_payloads(winners).select(
         "video_index", "tubelet_start", "tag", F.octet_length("latent_bytes").alias("n_bytes"))
 

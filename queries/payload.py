@@ -14,6 +14,7 @@ from driftgate.sources.latents import (
     list_shards, only_tag, read_latents, skipped_shards, with_address,
 )
 from driftgate.sources.shards import write_shards
+from driftgate.sources.store import dedup_rows
 from queries.fixtures import (
     DIM, EM, EM_EPS, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
 )
@@ -164,6 +165,25 @@ def epoch_payloads_query(spark, sf_dir):
                       channel(0).alias("head"), channel(1).alias("next"))
 
 
+@query("dedup_payloads", sql(*EM, *EM_WITH_LATENTS[2:], select="""
+SELECT l.video_index, l.tubelet_start, CASE WHEN l.video_index % 2 = 0 THEN 'again' ELSE tag END AS tag,
+       2048 AS n_bytes, round(s.head, 4) AS head
+FROM latents l JOIN (SELECT seq_id, start, sum(CAST(z[1] AS DOUBLE)) AS head FROM em_tub
+                     GROUP BY seq_id, start) s ON l.seq_id = s.seq_id AND l.start = s.start"""))
+def dedup_payloads(spark, sf_dir):
+    """A store that holds the windows of every second video twice, the second time with less motion."""
+    store = latent_store(spark, sf_dir)
+    again = latent_rows(spark, sf_dir).where(F.col("video_index") % 2 == 0).withColumns(
+        {"m_flow": (F.col("m_flow") - 5).cast("float"), "tag": F.lit("again")})
+    again.write.mode("append").parquet(store)
+    out = dedup_rows(read_latents(spark, store), ["m_flow"]).withColumn(
+        "z", decode_latent(W * DIM)("latent_bytes"))
+    first = F.transform(F.sequence(F.lit(0), F.lit(W - 1)), lambda t: F.col("z")[t * DIM])
+    head = F.aggregate(first, F.lit(0.0), lambda acc, x: acc + x)
+    return out.select("video_index", "tubelet_start", "tag",
+                      F.octet_length("latent_bytes").alias("n_bytes"), r(head, 4).alias("head"))
+
+
 LISTED = f"""
 latent_psi AS (SELECT l.*, psi, 'shard_' || l.video_index AS shard, ('0x' || substr(
     md5(l.factory_id || '_' || l.video_index), 1, 8))::UBIGINT % 10 AS bucket

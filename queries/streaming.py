@@ -60,18 +60,28 @@ LINE = ["l_orderkey", "l_linenumber"]
 
 
 @query("stream_dedup", """
-SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem
+WITH arrived AS (
+  SELECT l_orderkey, l_linenumber, l_partkey + 1000000 * batch AS part, batch
+  FROM lineitem, (SELECT unnest([0, 1, 2]) AS batch) WHERE l_orderkey % 3 <= batch),
+picked AS (SELECT l_orderkey, l_linenumber, min(batch) AS batch, min(part) AS part
+           FROM arrived GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey, l_linenumber, part, batch FROM picked
 WHERE (l_orderkey, l_linenumber) NOT IN (
   SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_suppkey % 10 = 0)""")
 def stream_dedup(spark, sf_dir):
-    """Rows of some suppliers are stored already; the stream brings everything."""
+    """Three micro-batches, each with all identities of those before; rows of some suppliers are stored
+    elsewhere already. What is kept is the first arrival's row with the least part."""
     items = table(spark, sf_dir, "lineitem").select(*LINE, "l_partkey", "l_suppkey")
     stored = items.where(F.col("l_suppkey") % 10 == 0).select(*LINE)
-    stream = spark.readStream.schema(items.schema).option(
-        "pathGlobFilter", "lineitem.parquet").parquet(sf_dir).select(*LINE, "l_partkey")
-    store = scratch_path(spark, "dedup")
-    dedup_stream(stream, store, scratch_path(spark, "dedup-state"), ["l_partkey"], LINE, stored)
-    return spark.read.parquet(store).select(*LINE)
+    source, store, state = (scratch_path(spark, f"dedup-{n}") for n in ("in", "store", "state"))
+    schema = items.select(*LINE, F.col("l_partkey").alias("part")).schema
+    for batch in range(3):
+        part = F.col("l_partkey") + 1_000_000 * batch
+        items.where(F.col("l_orderkey") % 3 <= batch).select(*LINE, part.alias("part")).write.mode(
+            "append").parquet(source)
+        dedup_stream(spark.readStream.schema(schema).parquet(source), store, state, ["part"], LINE,
+                     stored, buckets=8)
+    return spark.read.parquet(store).select(*LINE, "part", F.col("batch").cast("int").alias("batch"))
 
 
 @query("run_metrics", f"""
