@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from driftgate.operators.ordering import index_rows
 from driftgate.operators.percentiles import exact_percentiles, prefix_percentiles
 from driftgate.schema import CALIBRATION, ROW_ADDRESS
-from driftgate.session import broadcast_bounded
+from driftgate.session import broadcast_bounded, materialize
 from driftgate.settings import (
     CHECKPOINT_STEP, CONVERGENCE_TOLERANCE, EPSILON_PERCENTILE, FILE_STOP_PATIENCE,
     MIN_TUBELETS_FOR_EPSILON, ROW_STOP_MIN_CHECKPOINTS, ROW_STOP_MIN_SAMPLES, SAMPLE_TAG,
@@ -79,19 +79,52 @@ def calibration_record(eps: DataFrame, n_static: DataFrame, stats: DataFrame,
 
 # --- convergence -------------------------------------------------------------
 
+#: What a checkpoint states of the scores before it, apart from their number and the gate.
+STATS = ("mean", "std", "p20", "p50", "p80")
+
+
+def _prefix_stats(blocks: DataFrame, pct, stats) -> DataFrame:
+    """The gate after each block, and with `stats` the moments and percentiles of the same scores.
+
+    Moments come from one row per block, merged in order: deviations are taken from the mean of all
+    scores, so a large mean does not cancel a small deviation.
+    """
+    probs = {"tau": pct} | ({"p20": 0.2, "p50": 0.5, "p80": 0.8} if stats else {})
+    curve = prefix_percentiles(blocks, probs)
+    if not stats:
+        return curve
+    value = F.col("value").cast("double")
+    blocks = blocks.where(F.col("value").isNotNull())
+    centre = blocks.agg(F.avg(value)).scalar()
+    moments = blocks.withColumn("_off", value - centre).groupBy("block").agg(
+        F.count("*").alias("_n"), F.sum("_off").alias("_s"),
+        F.sum(F.col("_off") * F.col("_off")).alias("_q"))
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    n, s, q = (F.sum(c).over(upto) for c in ("_n", "_s", "_q"))
+    off = F.col("_s_all") / F.col("_n_all")
+    moments = moments.withColumns({"_n_all": n, "_s_all": s, "_q_all": q}).select(
+        "block", (off + centre).alias("mean"),
+        F.sqrt(F.greatest(F.col("_q_all") / F.col("_n_all") - off * off, F.lit(0.0))).alias("std"))
+    return curve.join(moments, "block")
+
+
 def tau_checkpoints(psi: DataFrame, order, step=CHECKPOINT_STEP, pct=TAU_PERCENTILE,
-                    row_bound=None) -> DataFrame:
-    """The gate after every `step` samples in the given total order: (n_samples, tau).
+                    row_bound=None, stats=False) -> DataFrame:
+    """The gate after every `step` samples in the given total order: (n_samples, tau), and with `stats`
+    the mean, population deviation, p20, p50 and p80 of those samples.
 
     Choose a step that gives at most some thousands of checkpoints.
     """
     numbered = index_rows(psi, [], order, "_pos", row_bound=row_bound)
     blocks = numbered.select(F.floor(F.col("_pos") / step).cast("long").alias("block"),
                              F.col("psi").alias("value"))
-    curve = prefix_percentiles(blocks, {"tau": pct})
+    if stats:
+        blocks = materialize(blocks, "checkpoint-blocks")
+    curve = _prefix_stats(blocks, pct, stats)
     # A block that is not full is not a checkpoint.
     return (curve.withColumn("n_samples", (F.col("block") + 1) * step)
-            .where(F.col("n") == F.col("n_samples")).select("n_samples", "tau"))
+            .where(F.col("n") == F.col("n_samples"))
+            .select("n_samples", "tau", *STATS[:len(STATS) * stats]))
 
 
 def converge_by_row(checkpoints: DataFrame, final_tau: DataFrame,
@@ -107,11 +140,13 @@ def converge_by_row(checkpoints: DataFrame, final_tau: DataFrame,
              .where((F.col("_d1") < tol) & (F.col("_d2") < tol)
                     & (F.col("_n") >= ROW_STOP_MIN_CHECKPOINTS)
                     & (F.col("n_samples") >= min_samples)))
-    return _stopped(stops.agg(F.min(F.struct("n_samples", "tau")).alias("s")), final_tau)
+    return _stopped(_first(stops), final_tau)
 
 
-def file_checks(psi: DataFrame, file, step=CHECKPOINT_STEP, pct=TAU_PERCENTILE) -> DataFrame:
-    """Gate checks at file ends: (pos, n_samples, tau), files in order of `file`.
+def file_checks(psi: DataFrame, file, step=CHECKPOINT_STEP, pct=TAU_PERCENTILE,
+                stats=False) -> DataFrame:
+    """Gate checks at file ends: (pos, n_samples, tau), files in order of `file`, and with `stats` the
+    same of the samples so far as `tau_checkpoints`.
 
     A file end is a check when the samples so far reach the moving mark; the mark then moves
     by one step, even if several were passed. With m = whole steps reached at file i, the
@@ -134,9 +169,12 @@ def file_checks(psi: DataFrame, file, step=CHECKPOINT_STEP, pct=TAU_PERCENTILE)
     checks = checks.withColumn("block", block)
     values = psi.join(checks.select("_file", "block"), psi[file] == F.col("_file")).select(
         "block", F.col("psi").alias("value"))
-    curve = prefix_percentiles(values, {"tau": pct})
-    return (checks.where("_is_check").join(curve.select("block", "tau"), "block")
-            .select(F.col("_pos").alias("pos"), "n_samples", "tau"))
+    if stats:
+        values = materialize(values, "check-blocks")
+    names = ["tau", *STATS[:len(STATS) * stats]]
+    curve = _prefix_stats(values, pct, stats)
+    return (checks.where("_is_check").join(curve.select("block", *names), "block")
+            .select(F.col("_pos").alias("pos"), "n_samples", *names))
 
 
 def converge_by_file(checks: DataFrame, final_tau: DataFrame, tol=CONVERGENCE_TOLERANCE,
@@ -148,11 +186,29 @@ def converge_by_file(checks: DataFrame, final_tau: DataFrame, tol=CONVERGENCE_TO
         "_small", F.abs(F.col("tau") - F.lag("tau", 1, 0.0).over(in_order)) < tol)
     recent = F.count_if("_small").over(in_order.rowsBetween(-(patience - 1), 0))
     stops = small.withColumn("_streak", recent).where(F.col("_streak") >= patience)
-    return _stopped(stops.agg(F.min(F.struct("n_samples", "tau")).alias("s")), final_tau)
+    return _stopped(_first(stops), final_tau)
+
+
+def _first(stops):
+    """The first stop as one row `s`, null if there is none."""
+    names = ["n_samples", "tau", *[c for c in STATS if c in stops.columns]]
+    return stops.agg(F.min(F.struct(*names)).alias("s"))
 
 
 def _stopped(first_stop, final_tau):
+    """Statistics of the scores at the stop are added where the checkpoints have them."""
+    fields = first_stop.schema["s"].dataType.names
     return first_stop.select(
         F.col("s").isNotNull().alias("converged"),
         F.col("s.n_samples").alias("n_samples"),
-        F.coalesce(F.col("s.tau"), final_tau.scalar()).alias("tau"))
+        F.coalesce(F.col("s.tau"), final_tau.scalar()).alias("tau"),
+        *[F.col(f"s.{c}").alias(c) for c in STATS if c in fields])
+
+
+def stats_at_stop(stop: DataFrame, stats: DataFrame) -> DataFrame:
+    """The row of `psi_stats` as of the stop, or over everything where there was none."""
+    both = stop.select("converged", F.col("n_samples").alias("_n"),
+                       *[F.col(c).alias(f"_{c}") for c in STATS]).withColumn(
+        "_all", stats.select(F.struct(*STATS, "n")).scalar())
+    return both.select(*[F.when(F.col("converged"), F.col(f"_{c}")).otherwise(F.col(f"_all.{c}"))
+                         .alias(c) for c in [*STATS, "n"]])

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from driftgate.functions.payload import psi_from_payload
-from driftgate.session import scratch_path
+from driftgate.session import materialize, scratch_path
 from driftgate.sources.latents import only_tag
 from driftgate.streaming.delta import adaptive_delta_stream
 from driftgate.streaming.metrics import write_with_metrics
 from driftgate.streaming.resume import dedup_stream
 from driftgate.streaming.shards import run_available, stream_latents
 from driftgate.streaming.tau import online_tau
-from queries.calibration import EVENT_FLOW
+from queries.calibration import EVENT_FLOW, FILE_STOP, FILE_TOL, STEP, STOPPED
 from queries.evaluation import ADAPTIVE, sigmas
 from queries.fixtures import (
     EM_EPS, EV_WITH_PSI, SAMPLED, SHAPE, ev_psi, latent_store, r, table,
@@ -43,17 +43,18 @@ def stream_delta(spark, sf_dir):
         {"sigma": r("sigma"), "delta": r("delta")})
 
 
-@query("stream_tau", sql(*EV_WITH_PSI, select="""
-SELECT FALSE AS converged, CAST(NULL AS BIGINT) AS n_samples,
-       round(quantile_cont(psi, 0.2), 6) AS tau FROM ev_psi"""))
+@query("stream_tau", sql(*EV_WITH_PSI, FILE_STOP, select=STOPPED))
 def stream_tau(spark, sf_dir):
-    """Scores arrive as files; with no tolerance the stream runs dry and uses them all."""
+    """Scores arrive file by file until the gate changes by less than the tolerance."""
     source = scratch_path(spark, "scores")
-    ev_psi(spark, sf_dir).select("psi").write.parquet(source)
-    stream = (spark.readStream.schema("psi double").option("maxFilesPerTrigger", 2)
+    scored = materialize(ev_psi(spark, sf_dir).withColumn("file", F.col("seq_id") % 16), "psi")
+    for file in sorted(r["file"] for r in scored.select("file").distinct().collect()):
+        scored.where(F.col("file") == file).select("psi").coalesce(1).write.mode("append").parquet(
+            source)
+    stream = (spark.readStream.schema("psi double").option("maxFilesPerTrigger", 1)
               .parquet(source))
     return online_tau(stream, scratch_path(spark, "tau"), scratch_path(spark, "tau-state"),
-                      step=100, tol=0.0).withColumn("tau", r("tau"))
+                      step=STEP, tol=FILE_TOL, limit=256).withColumn("tau", r("tau"))
 
 
 LINE = ["l_orderkey", "l_linenumber"]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgate.operators import calibration as C
+from driftgate.plans.calibrate import calibrate
 from driftgate.sources.calibration import (
     guard, read_calibration, thresholds, with_calibration, write_calibration,
 )
@@ -125,3 +126,51 @@ def test_first_check_is_compared_with_zero(spark):
     moved = checks.withColumn("tau", F.col("tau") + 1)
     got = C.converge_by_file(moved, final, 1e-4).first()
     assert (got.converged, got.tau) == (False, 9.0)
+
+
+def test_checkpoints_state_what_came_before(spark):
+    values = np.random.default_rng(8).exponential(size=230) + 1e6
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, psi double")
+    points = C.tau_checkpoints(df, ["i"], step=50, stats=True).collect()
+    assert sorted(x.n_samples for x in points) == [50, 100, 150, 200]
+    for x in points:
+        seen = values[:x.n_samples]
+        assert x.tau == x.p20 == pytest.approx(np.percentile(seen, 20))
+        assert (x.p50, x.p80) == pytest.approx(tuple(np.percentile(seen, [50, 80])))
+        assert x["mean"] == pytest.approx(seen.mean()) and x["std"] == pytest.approx(seen.std(), rel=1e-6)
+
+
+@pytest.mark.parametrize("policy,tol", [("exact", 1.0), ("row", 0.2), ("row", 0.0), ("file", 0.2),
+                                        ("file", 0.0)])
+def test_calibration_at_a_stop(spark, policy, tol):
+    rng = np.random.default_rng(6)
+    rows, by_file = [], []
+    for f in range(9):
+        own = rng.exponential(size=(40 + 7 * f, 3))
+        rows += [(f"shard_{f}", i, "iid_sample", float(i if f == 0 else -1), v.tolist())
+                 for i, v in enumerate(own)]
+        by_file.append(own)
+    df = spark.createDataFrame(rows, "file_path string, row_index long, tag string, m_flow double, "
+                                     "l1 array<double>").repartition(4)
+    got = calibrate(df, n_static=10, policy=policy, step=30, tol=tol, min_samples=90).first()
+    eps = np.percentile(by_file[0][:10], 95)
+    psis = [np.maximum(0, own - eps).sum(axis=1) for own in by_file]
+    everything = np.concatenate(psis)
+    if policy == "row":
+        stopped, n, gate = brute_by_row(everything, 30, tol, 90)
+    elif policy == "file":
+        stopped, n, gate = brute_by_file([p.tolist() for p in psis], 30, tol, 3)
+    else:
+        stopped, n, gate = False, None, np.percentile(everything, 20)
+    assert stopped == (policy != "exact" and tol > 0)
+    used = everything[:n] if stopped else everything
+    assert n is None or n < len(everything)
+    assert got.epsilon_noise_floor == pytest.approx(eps) and got.tau_kinetic_gate == pytest.approx(gate)
+    assert (got.samples_used_for_epsilon, got.samples_used_for_tau) == (10, len(used))
+    assert [got.psi_stats[c] for c in ("mean", "std", "p20", "p50", "p80")] == pytest.approx(
+        [used.mean(), used.std(), *np.percentile(used, [20, 50, 80])])
+
+
+def test_unknown_policy(spark):
+    with pytest.raises(ValueError):
+        calibrate(spark.range(1), policy="soon")
