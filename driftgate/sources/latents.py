@@ -82,7 +82,9 @@ def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT, keys=LATENT_KEYS,
     that hold none by their statistics and Bloom filters (see `payload_write_options`).
     """
     spark = winners.sparkSession
-    per_file = {f: n for f, n in winners.groupBy("file_path").count().collect()}
+    per_file, hashes = {}, {}
+    for file, value, n in winners.groupBy("file_path", F.xxhash64("file_path")).count().collect():
+        per_file[file], hashes[file] = n, value
     if not per_file:
         return with_fields(spark.createDataFrame([], schema), winners, [*ROW_ADDRESS, *keep])
     pushed = ({*keys} <= {*winners.columns} and {*keys} <= {*schema.names}
@@ -94,7 +96,12 @@ def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT, keys=LATENT_KEYS,
         held = sum(per_file[f] for f in files)
         if pushed and held <= max_pushed:
             rows = rows.where(any_identity(chosen.select(*keys).distinct().collect(), keys))
-        parts.append(rows.join(broadcast_bounded(chosen.select(*ROW_ADDRESS, *keep), held), ROW_ADDRESS))
+        # A path is sent as a hash, which tells the files of the group apart.
+        distinct = len({hashes[f] for f in files}) == len(files)
+        hashed = (F.xxhash64("file_path") if distinct else F.col("file_path")).alias("_file")
+        chosen = broadcast_bounded(chosen.select(hashed, "row_index", *keep), held)
+        parts.append(rows.withColumn("_file", hashed).join(chosen, ["_file", "row_index"]).select(
+            *schema.names, *ROW_ADDRESS, *keep))
     return reduce(DataFrame.unionByName, parts)
 
 

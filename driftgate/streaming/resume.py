@@ -33,8 +33,8 @@ def dedup_stream(stream: DataFrame, store, checkpoint, order, keys=LATENT_KEYS,
             new = todo(new, stored, keys)
         new = materialize(new.withColumn(IDENTITY, identity(*keys)), "new-identities")
         new = materialize(not_stored(new, table, batch_id), "new-rows")
-        rows = fetch_payloads(new, [IDENTITY], schema, keys)
-        write_batch(rows, table, batch_id)
+        rows = fetch_payloads(new, schema=schema, keys=keys)
+        write_batch(rows.withColumn(IDENTITY, identity(*keys)), table, batch_id)
 
     (narrow.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

@@ -351,84 +351,90 @@ def tau_converged_row(spark, sf_dir):
                              ROW_MIN).withColumn("tau", r("tau"))
 
 
-FILE_STOP = f"""
-per_file AS (SELECT seq_id % 16 AS file, count(*) AS n FROM ev_psi GROUP BY 1),
+def file_stop(source, file, step, tol):
+    """Stops at file ends, as subqueries over a table of scores."""
+    return f"""
+per_file AS (SELECT {file} AS file, count(*) AS n FROM {source} GROUP BY 1),
 files AS (SELECT file, row_number() OVER w AS i, sum(n) OVER w AS n_samples
           FROM per_file WINDOW w AS (ORDER BY file)),
-marks AS (SELECT *, i + least(0, min(n_samples // {STEP} - i) OVER (ORDER BY i)) AS checks
+marks AS (SELECT *, i + least(0, min(n_samples // {step} - i) OVER (ORDER BY i)) AS checks
           FROM files),
 points AS (
   SELECT m.i, m.n_samples,
-         (SELECT quantile_cont(psi, 0.2) FROM ev_psi p WHERE p.seq_id % 16 <= m.file) AS tau
+         (SELECT quantile_cont(psi, 0.2) FROM {source} p WHERE {file} <= m.file) AS tau
   FROM (SELECT * FROM marks QUALIFY checks > lag(checks, 1, 0) OVER (ORDER BY i)) m),
-small AS (SELECT *, CAST(abs(tau - lag(tau, 1, 0.0) OVER (ORDER BY i)) < {FILE_TOL} AS INT) AS s
+small AS (SELECT *, CAST(abs(tau - lag(tau, 1, 0.0) OVER (ORDER BY i)) < {tol} AS INT) AS s
           FROM points),
 stops AS (SELECT n_samples, tau FROM (
             SELECT *, sum(s) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS run
             FROM small) WHERE run >= 3 ORDER BY i LIMIT 1)"""
+
+
 STOPPED = """
 SELECT (SELECT count(*) FROM stops) = 1 AS converged,
        (SELECT CAST(n_samples AS BIGINT) FROM stops) AS n_samples,
        round(coalesce((SELECT tau FROM stops),
-                      (SELECT quantile_cont(psi, 0.2) FROM ev_psi)), 6) AS tau"""
+                      (SELECT quantile_cont(psi, 0.2) FROM {source})), {places}) AS tau"""
 
 
-@query("tau_converged_file", sql(*EV_WITH_PSI, FILE_STOP, select=STOPPED))
+@query("tau_converged_file", sql(
+    *EV_WITH_PSI, file_stop("ev_psi", "seq_id % 16", STEP, FILE_TOL),
+    select=STOPPED.format(source="ev_psi", places=6)))
 def tau_converged_file(spark, sf_dir):
     scored = materialize(ev_psi(spark, sf_dir).withColumn("file", F.col("seq_id") % 16), "psi")
     return C.converge_by_file(C.file_checks(scored, "file", STEP), C.tau(scored),
                               FILE_TOL).withColumn("tau", r("tau"))
 
 
+STOP_STEP, STOP_TOL, STOP_MIN = 8, 0.05, 16
 AT_STOP = """
-SELECT '{policy}' AS policy, round((SELECT epsilon FROM eps), 6) AS epsilon_noise_floor,
-       round(coalesce((SELECT tau FROM stops), quantile_cont(psi, 0.2)), 6) AS tau_kinetic_gate,
+SELECT '{policy}' AS policy, round((SELECT epsilon FROM eps), 4) AS epsilon_noise_floor,
+       round(coalesce((SELECT tau FROM stops), quantile_cont(psi, 0.2)), 4) AS tau_kinetic_gate,
        (SELECT n_static FROM eps) AS samples_used_for_epsilon, count(*) AS samples_used_for_tau,
-       {stats} FROM ev_psi WHERE (SELECT count(*) FROM stops) = 0 OR {upto}"""
-STOP_EPS = [RECORD.split("view_psi AS")[0].rstrip(", \n"), """ev_psi AS (
-  SELECT l.seq_id, l.start, m.shard, m.row, sum(greatest(0.0, l.l1 - epsilon)) AS psi
-  FROM ev_l1 l JOIN ev_meta m ON l.seq_id = m.seq_id AND l.start = m.start, eps
-  GROUP BY l.seq_id, l.start, m.shard, m.row)"""]
+       {stats} FROM scored WHERE (SELECT count(*) FROM stops) = 0 OR {upto}"""
+STOP_SCORES = """
+static AS (SELECT * FROM latents WHERE m_flow >= 0 ORDER BY m_flow LIMIT 20),
+eps AS (SELECT quantile_cont(l.l1, 0.95) AS epsilon, count(DISTINCT (l.seq_id, l.start)) AS n_static
+        FROM em_l1 l JOIN static s ON l.seq_id = s.seq_id AND l.start = s.start),
+scored AS (SELECT seq_id, start, sum(greatest(0.0, l1 - epsilon)) AS psi FROM em_l1, eps
+           GROUP BY seq_id, start)"""
 ROW_STOP = f"""
-numbered AS (SELECT *, row_number() OVER (ORDER BY 'shard_' || (10 + shard), row) AS rn FROM ev_psi),
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq_id, start) AS rn FROM scored),
 points AS (SELECT k.rn AS n_samples, quantile_cont(n.psi, 0.2) AS tau
-  FROM numbered k JOIN numbered n ON n.rn <= k.rn WHERE k.rn % {STEP} = 0 GROUP BY k.rn),
+  FROM numbered k JOIN numbered n ON n.rn <= k.rn WHERE k.rn % {STOP_STEP} = 0 GROUP BY k.rn),
 moves AS (SELECT *, row_number() OVER w AS n, abs(tau - lag(tau) OVER w) AS d1,
                  abs(lag(tau) OVER w - lag(tau, 2) OVER w) AS d2
           FROM points WINDOW w AS (ORDER BY n_samples)),
 stops AS (SELECT n_samples, tau FROM moves
-          WHERE d1 < {ROW_TOL} AND d2 < {ROW_TOL} AND n >= 3 AND n_samples >= {ROW_MIN}
+          WHERE d1 < {STOP_TOL} AND d2 < {STOP_TOL} AND n >= 3 AND n_samples >= {STOP_MIN}
           ORDER BY n_samples LIMIT 1)"""
 
 
 def stopped_sql(policy):
-    """One policy's record as a subquery; the shards' names are in the order of their numbers."""
+    """One policy's record as a subquery."""
     stop, upto = {
-        "exact": (["stops AS (SELECT 0 AS n_samples, 0.0 AS tau WHERE FALSE)"], "TRUE"),
-        "row": ([ROW_STOP], "(seq_id, start) IN (SELECT (seq_id, start) FROM numbered WHERE rn <= "
-                            "(SELECT n_samples FROM stops))"),
-        "file": ([FILE_STOP], "seq_id % 16 <= (SELECT file FROM files WHERE n_samples = "
-                              "(SELECT n_samples FROM stops))"),
+        "exact": ("stops AS (SELECT 0 AS n_samples, 0.0 AS tau WHERE FALSE)", "TRUE"),
+        "row": (ROW_STOP, "(seq_id, start) IN (SELECT (seq_id, start) FROM numbered WHERE rn <= "
+                          "(SELECT n_samples FROM stops))"),
+        "file": (file_stop("scored", "seq_id", STOP_STEP, STOP_TOL),
+                 "seq_id <= (SELECT file FROM files WHERE n_samples = "
+                 "(SELECT n_samples FROM stops))"),
     }[policy]
-    return "(" + sql(*EV_STATIC, *STOP_EPS, *stop, select=AT_STOP.format(
-        policy=policy, stats=PSI_STATS, upto=upto)) + ")"
+    return "(" + sql(*EM_WITH_LATENTS, STOP_SCORES, stop, select=AT_STOP.format(
+        policy=policy, stats=PSI_STATS.replace(", 6)", ", 4)"), upto=upto)) + ")"
 
 
 @query("calibration_stopped", " UNION ALL ".join(map(stopped_sql, ("exact", "row", "file"))))
 def calibration_stopped(spark, sf_dir):
-    """The record of each stop policy, with the statistics as of its stop."""
-    meta = ev_meta(spark, sf_dir)
-    shard = F.concat(F.lit("shard_"), (F.col("shard") + 10).cast("string"))
-    stored = materialize(meta.withColumn("sampled", F.col("tag") == SAMPLED).select(
-        shard.alias("file_path"), F.col("row").alias("row_index"), "m_flow", "l1",
-        F.lit("all").alias("tag"), "sampled"), "frame-changes")
-    # Scores of every tag, floor from the sampled ones: more than one hundred scores stop early.
-    changes = stored.withColumn("m_flow", F.when(F.col("sampled"), F.col("m_flow")).otherwise(-1.0))
-    records = [calibrate(changes, N_STATIC, "all", policy, STEP, tol, ROW_MIN)
-               for policy, tol in (("exact", 0.0), ("row", ROW_TOL), ("file", FILE_TOL))]
-    flat = [flat_record(record, 6).withColumn("policy", F.lit(policy))
-            for policy, record in zip(("exact", "row", "file"), records)]
-    return gather(flat)
+    """The record of each stop policy from one pass over the payloads; a shard per video."""
+    latents = read_latents(spark, latent_store(spark, sf_dir))
+    shard = F.format_string("shard_%06d", "video_index")
+    changes = materialize(frame_changes(latents, SHAPE, tag=None).withColumns(
+        {"file_path": shard, "row_index": F.col("tubelet_start").cast("long"), "tag": F.lit("all")}),
+        "by-video")
+    return gather([
+        flat_record(calibrate(changes, 20, "all", policy, STOP_STEP, STOP_TOL, STOP_MIN), 4)
+        .withColumn("policy", F.lit(policy)) for policy in ("exact", "row", "file")])
 
 
 @query("latent_index", sql(*EM_WITH_LATENTS, select="""

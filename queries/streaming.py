@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftgate.functions.payload import psi_from_payload
+from driftgate.operators.frames import psi
 from driftgate.session import materialize, scratch_path
 from driftgate.sources.latents import only_tag
 from driftgate.streaming.delta import adaptive_delta_stream
@@ -10,10 +11,10 @@ from driftgate.streaming.metrics import write_with_metrics
 from driftgate.streaming.resume import dedup_stream
 from driftgate.streaming.shards import run_available, stream_latents
 from driftgate.streaming.tau import online_tau
-from queries.calibration import EVENT_FLOW, FILE_STOP, FILE_TOL, STEP, STOPPED
+from queries.calibration import EVENT_FLOW, STOP_STEP, STOP_TOL, STOPPED, file_stop
 from queries.evaluation import ADAPTIVE, sigmas
 from queries.fixtures import (
-    EM_EPS, EV_WITH_PSI, SAMPLED, SHAPE, ev_psi, latent_store, r, table,
+    EM_EPS, EM_WITH_PSI, SAMPLED, SHAPE, em_l1, latent_store, r, table,
 )
 from queries.payload import SAMPLED_PSI
 from queries.registry import query, sql
@@ -43,46 +44,46 @@ def stream_delta(spark, sf_dir):
         {"sigma": r("sigma"), "delta": r("delta")})
 
 
-@query("stream_tau", sql(*EV_WITH_PSI, FILE_STOP, select=STOPPED))
+@query("stream_tau", sql(
+    *EM_WITH_PSI, file_stop("em_psi", "seq_id", STOP_STEP, STOP_TOL),
+    select=STOPPED.format(source="em_psi", places=4)))
 def stream_tau(spark, sf_dir):
-    """Scores arrive file by file until the gate changes by less than the tolerance."""
+    """Scores arrive in one file per video until the gate changes by less than the tolerance."""
     source = scratch_path(spark, "scores")
-    scored = materialize(ev_psi(spark, sf_dir).withColumn("file", F.col("seq_id") % 16), "psi")
-    for file in sorted(r["file"] for r in scored.select("file").distinct().collect()):
-        scored.where(F.col("file") == file).select("psi").coalesce(1).write.mode("append").parquet(
+    scored = materialize(psi(em_l1(spark, sf_dir), EM_EPS), "psi")
+    for video in sorted(r["seq_id"] for r in scored.select("seq_id").distinct().collect()):
+        scored.where(F.col("seq_id") == video).select("psi").coalesce(1).write.mode("append").parquet(
             source)
     stream = (spark.readStream.schema("psi double").option("maxFilesPerTrigger", 1)
               .parquet(source))
     return online_tau(stream, scratch_path(spark, "tau"), scratch_path(spark, "tau-state"),
-                      step=STEP, tol=FILE_TOL, limit=256).withColumn("tau", r("tau"))
+                      step=STOP_STEP, tol=STOP_TOL, limit=16).withColumn("tau", r("tau", 4))
 
 
-LINE = ["l_orderkey", "l_linenumber"]
+TURN = ["conv_id", "turn"]
 
 
 @query("stream_dedup", """
 WITH arrived AS (
-  SELECT l_orderkey, l_linenumber, l_partkey + 1000000 * batch AS part, batch
-  FROM lineitem, (SELECT unnest([0, 1, 2]) AS batch) WHERE l_orderkey % 3 <= batch),
-picked AS (SELECT l_orderkey, l_linenumber, min(batch) AS batch, min(part) AS part
-           FROM arrived GROUP BY l_orderkey, l_linenumber)
-SELECT l_orderkey, l_linenumber, part, batch FROM picked
-WHERE (l_orderkey, l_linenumber) NOT IN (
-  SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_suppkey % 10 = 0)""")
+  SELECT conv_id, turn, role || batch AS role, text, batch
+  FROM conversations, (SELECT unnest([0, 1, 2]) AS batch) WHERE conv_id % 3 <= batch)
+SELECT conv_id, turn, role, strlen(text) AS n_bytes, md5(text) AS content, CAST(batch AS INTEGER) AS batch
+FROM arrived WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM conversations WHERE turn = 1)
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY batch, role) = 1""")
 def stream_dedup(spark, sf_dir):
-    """Three micro-batches, each with all identities of those before; rows of some suppliers are stored
-    elsewhere already. What is kept is the first arrival's row with the least part."""
-    items = table(spark, sf_dir, "lineitem").select(*LINE, "l_partkey", "l_suppkey")
-    stored = items.where(F.col("l_suppkey") % 10 == 0).select(*LINE)
+    """Three micro-batches, each with all identities of those before; second turns are stored elsewhere
+    already. What is kept is the first arrival, with its text, which no exchange has carried."""
+    turns = table(spark, sf_dir, "conversations")
+    stored = turns.where("turn = 1").select(*TURN)
     source, store, state = (scratch_path(spark, f"dedup-{n}") for n in ("in", "store", "state"))
-    schema = items.select(*LINE, F.col("l_partkey").alias("part")).schema
     for batch in range(3):
-        part = F.col("l_partkey") + 1_000_000 * batch
-        items.where(F.col("l_orderkey") % 3 <= batch).select(*LINE, part.alias("part")).write.mode(
-            "append").parquet(source)
-        dedup_stream(spark.readStream.schema(schema).parquet(source), store, state, ["part"], LINE,
-                     stored, buckets=8)
-    return spark.read.parquet(store).select(*LINE, "part", F.col("batch").cast("int").alias("batch"))
+        turns.where(F.col("conv_id") % 3 <= batch).withColumn(
+            "role", F.concat("role", F.lit(str(batch)))).write.mode("append").parquet(source)
+        dedup_stream(spark.readStream.schema(turns.schema).parquet(source), store, state, ["role"],
+                     TURN, stored, buckets=8)
+    return spark.read.parquet(store).select(
+        *TURN, "role", F.octet_length("text").cast("long").alias("n_bytes"),
+        F.md5(F.col("text").cast("binary")).alias("content"), F.col("batch").cast("int").alias("batch"))
 
 
 @query("run_metrics", f"""
