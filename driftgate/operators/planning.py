@@ -5,13 +5,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from driftgate.functions.expressions import latent_id, shuffle_key
 from driftgate.operators.ordering import first_n, index_rows
 from driftgate.schema import LATENT_KEYS
+from driftgate.session import materialize
 from driftgate.settings import (
-    MAX_TASK_ROWS, MAX_VIDEOS_PER_FACTORY, SEED, SHARD_BYTES, TARGET_TUBELETS,
+    MAX_VIDEOS_PER_FACTORY, SEED, SHARD_BYTES, TARGET_TUBELETS,
 )
 
 
@@ -36,6 +37,46 @@ def select_videos(videos: DataFrame, key, valid, max_n=MAX_VIDEOS_PER_FACTORY, s
     return first_n(accepted, [factory], ["_hash", key], max_n, "video_index").drop("_hash")
 
 
+def select_from_archives(archives: DataFrame, members, valid, most, max_n=MAX_VIDEOS_PER_FACTORY,
+                         seed=SEED, path="path", at="at", factory="factory_id"):
+    """The first `max_n` valid videos of each factory, its archives in seeded order and an archive's
+    videos in the order of `at`, with their `video_index`; and the archives that were opened.
+
+    `members` gives the videos of a DataFrame of archives (with their columns), which is the costly part:
+    no archive beyond a factory's last video is opened. As an archive holds at most `most`
+    videos, a factory that lacks r needs at least r / most further archives. Those are opened, what they
+    held is counted, and so on; the videos lacking shrink by a factor each time.
+    """
+    ordered = materialize(index_rows(archives.withColumn("_hash", shuffle_key(path, seed)), [factory],
+                                     ["_hash", path], "_place").drop("_hash"), "archive-order")
+    found, opened = [], []
+    lacking = ordered.groupBy(factory).agg(F.count("*").alias("_archives")).withColumns(
+        {"_lacking": F.lit(max_n).cast("long"), "_next": F.lit(0).cast("long")})
+    while True:
+        # One row per factory.
+        lacking = materialize(lacking.withColumn("_upto", F.least(
+            F.col("_archives"), F.col("_next") + F.ceil(F.col("_lacking") / most))).where(
+            (F.col("_lacking") > 0) & (F.col("_next") < F.col("_archives"))), "lacking")
+        if lacking.isEmpty():
+            break
+        now = ordered.join(lacking.select(factory, "_next", "_upto"), factory).where(
+            (F.col("_place") >= F.col("_next")) & (F.col("_place") < F.col("_upto"))).drop(
+            "_next", "_upto")
+        videos = materialize(members(now).where(valid), "archive-videos")
+        found.append(videos)
+        opened.append(now)
+        counts = videos.groupBy(factory).agg(F.count("*").alias("_got"))
+        lacking = lacking.join(counts, factory, "left").select(
+            factory, "_archives", (F.col("_lacking") - F.coalesce("_got", F.lit(0))).alias("_lacking"),
+            F.col("_upto").alias("_next"))
+    if not found:
+        empty = members(ordered.limit(0)).where(valid)
+        return empty.withColumn("video_index", F.lit(0).cast("long")).drop("_place"), archives.limit(0)
+    # Each factory has fewer than `max_n` + `most` rows.
+    chosen = first_n(gather(found), [factory], ["_place", at], max_n, "video_index")
+    return chosen.drop("_place"), gather(opened).drop("_place")
+
+
 def dedup(df: DataFrame, order, keys=LATENT_KEYS) -> DataFrame:
     """One row per identity, the least in `order`. A minimum combines before the shuffle,
     so many copies of one identity do not meet in one task."""
@@ -53,11 +94,30 @@ def todo(candidates: DataFrame, index: DataFrame, keys=LATENT_KEYS) -> DataFrame
         stored, "_id", "left_anti").drop("_id")
 
 
-def take_quota(df: DataFrame, n, order) -> DataFrame:
-    """The first n new rows in order."""
-    if n <= MAX_TASK_ROWS:
-        return df.orderBy(*order).limit(n)
-    return index_rows(df, [], order, "_pos").where(F.col("_pos") < n).drop("_pos")
+def take_quota(df: DataFrame, quota, order, group=()) -> DataFrame:
+    """The first rows in `order`, which must be total: `quota` of them, or of each `group` its own
+    quota, from a DataFrame of the group's columns and `quota` (no quota, no rows).
+
+    The rows' ranges are counted first: ranges that end before the quota does stay whole, and only the
+    one range of a group in which it ends is ranked. So no task holds more than a range, whatever the
+    quota, the number of groups or the size of one.
+    """
+    group = list(group)
+    key = F.struct(F.lit(0).alias("_all"), *group)  # null parts match null parts
+    quotas = quota if group else df.sparkSession.range(1).select(F.lit(int(quota)).alias("quota"))
+    # A range's number is only stable once written.
+    ranged = materialize(df.repartitionByRange(*group, *order).select(
+        "*", F.spark_partition_id().alias("_range"), key.alias("_k")), "quota-ranges")
+    counted = ranged.groupBy("_k", "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_range")) - F.col("_n")
+    ranges = counted.withColumn("_before", before).join(
+        quotas.select(key.alias("_k"), "quota"), "_k").where(F.col("_before") < F.col("quota"))
+    ranges = ranges.select("_k", "_range", (F.col("quota") - F.col("_before")).alias("_left"),
+                           (F.col("_before") + F.col("_n") <= F.col("quota")).alias("_whole"))
+    kept = ranged.join(ranges, ["_k", "_range"])
+    rank = F.row_number().over(Window.partitionBy("_k", "_range").orderBy(*order))
+    cut = kept.where(~F.col("_whole")).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
+    return kept.where("_whole").select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def progress(index: DataFrame, target=TARGET_TUBELETS, keys=LATENT_KEYS) -> DataFrame:

@@ -192,24 +192,100 @@ def assign_shards(spark, sf_dir):
     return P.assign_shards(docs, ["source"], ["doc_id"], "n_chars", SHARD_LIMIT).drop("n_chars")
 
 
-@query("work_list", f"""
-WITH chosen AS (
+WORK = f"""
+chosen AS (
   SELECT source AS factory_id, lang AS worker_id, n_chars // 10 AS n_frames,
          row_number() OVER (PARTITION BY source ORDER BY {hash_sql('doc_id')}, doc_id) - 1
            AS video_index
   FROM documents WHERE n_chars // 10 >= 64 QUALIFY video_index < 20),
 windows AS (SELECT factory_id, worker_id, video_index,
                    unnest(range(0, n_frames - 64 + 1, 64)) AS tubelet_start FROM chosen),
-stored AS (SELECT * FROM windows WHERE tubelet_start % 128 = 0)
+stored AS (SELECT * FROM windows WHERE tubelet_start % 128 = 0)"""
+
+
+def work(spark, sf_dir, target, n_shards=1):
+    """Tubelets left to extract when every second window of each video is stored."""
+    listed = videos(spark, sf_dir)
+    chosen = P.select_videos(listed, "doc_id", F.col("n_frames") >= 64, 20, SEED)
+    stored = window_starts(chosen).where(F.col("tubelet_start") % 128 == 0)
+    return work_list(listed, stored, "doc_id", target, 20, 64, SEED, n_shards)
+
+
+@query("work_list", sql(WORK, select="""
 SELECT factory_id, worker_id, CAST(video_index AS INTEGER) AS video_index,
        CAST(tubelet_start AS INTEGER) AS tubelet_start
 FROM windows WHERE tubelet_start % 128 != 0
 ORDER BY factory_id, video_index, tubelet_start
-LIMIT greatest(0, 3000 - (SELECT count(*) FROM stored))""")
+LIMIT greatest(0, 3000 - (SELECT count(*) FROM stored))"""))
 def work_list_query(spark, sf_dir):
-    """Tubelets left to extract when every second window of each video is stored."""
+    return work(spark, sf_dir, 3000).select(
+        "factory_id", "worker_id", "video_index", "tubelet_start")
+
+
+def shard_work_sql(n):
+    """Half of what is left is wanted, so that shards stop inside their factories."""
+    return sql(WORK, f"""
+rest AS (SELECT count(*) // 2 AS n FROM windows WHERE tubelet_start % 128 != 0),
+facts AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS pos, count(*) OVER () // {n} AS size
+          FROM (SELECT DISTINCT source FROM documents)),
+cut AS (SELECT source, CASE WHEN size = 0 THEN {n} - 1
+                       ELSE least(pos // greatest(size, 1), {n} - 1) END AS shard FROM facts),
+ranked AS (SELECT w.*, shard, row_number() OVER (PARTITION BY shard
+             ORDER BY factory_id, video_index, tubelet_start) AS place
+           FROM windows w JOIN cut ON source = factory_id WHERE tubelet_start % 128 != 0)""", select=f"""
+SELECT factory_id, worker_id, CAST(video_index AS INTEGER) AS video_index,
+       CAST(tubelet_start AS INTEGER) AS tubelet_start, shard
+FROM ranked, rest WHERE place <= n // {n} + CASE WHEN shard < n % {n} THEN 1 ELSE 0 END""")
+
+
+def shard_work(spark, sf_dir, n):
     listed = videos(spark, sf_dir)
     chosen = P.select_videos(listed, "doc_id", F.col("n_frames") >= 64, 20, SEED)
-    stored = window_starts(chosen).where(F.col("tubelet_start") % 128 == 0)
-    return work_list(listed, stored, "doc_id", 3000, 20, 64, SEED).select(
-        "factory_id", "worker_id", "video_index", "tubelet_start")
+    by_state = window_starts(chosen).groupBy((F.col("tubelet_start") % 128 == 0).alias("stored")).count()
+    counts = {row["stored"]: row["count"] for row in by_state.collect()}
+    target = counts.get(True, 0) + counts.get(False, 0) // 2
+    return work(spark, sf_dir, target, n).select(
+        "factory_id", "worker_id", "video_index", "tubelet_start", "shard")
+
+
+@query("work_list_shards", shard_work_sql(3))
+def work_list_shards(spark, sf_dir):
+    return shard_work(spark, sf_dir, 3)
+
+
+@query("work_list_more_shards_than_factories", shard_work_sql(32))
+def work_list_more_shards(spark, sf_dir):
+    return shard_work(spark, sf_dir, 32)
+
+
+PER_ARCHIVE = 10
+
+
+@query("select_from_archives", f"""
+WITH videos AS (
+  SELECT source AS factory_id, source || '/part' || (doc_id // {PER_ARCHIVE}) AS path, doc_id,
+         n_chars // 10 >= 64 AS valid FROM documents),
+archives AS (SELECT factory_id, path, {hash_sql('path')} AS h, count(CASE WHEN valid THEN 1 END) AS n
+             FROM videos GROUP BY ALL),
+opened AS (SELECT factory_id, path, h FROM archives
+  QUALIFY coalesce(sum(n) OVER (PARTITION BY factory_id ORDER BY h, path
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 15),
+counted AS (SELECT factory_id, count(*) AS n_opened FROM opened GROUP BY factory_id)
+SELECT factory_id, path, doc_id, n_opened,
+       row_number() OVER (PARTITION BY factory_id ORDER BY h, path, doc_id) - 1 AS video_index
+FROM videos JOIN opened USING (factory_id, path) JOIN counted USING (factory_id) WHERE valid
+QUALIFY video_index < 15""")
+def select_from_archives(spark, sf_dir):
+    """Documents in the part of videos, ten ids to an archive, fifteen videos to a factory."""
+    docs = videos(spark, sf_dir).withColumn("path", F.concat(
+        "factory_id", F.lit("/part"), F.floor(F.col("doc_id") / PER_ARCHIVE).cast("string")))
+
+    def members(archives):
+        return docs.join(archives, ["factory_id", "path"])
+
+    chosen, opened = P.select_from_archives(
+        docs.select("factory_id", "path").distinct(), members, F.col("n_frames") >= 64, PER_ARCHIVE,
+        15, SEED, at="doc_id")
+    n_opened = opened.groupBy("factory_id").agg(F.count("*").alias("n_opened"))
+    return chosen.join(n_opened, "factory_id").select(
+        "factory_id", "path", "doc_id", "n_opened", "video_index")

@@ -109,11 +109,70 @@ def test_work_list_skips_stored_and_keeps_the_quota(spark):
     assert rest.join(stored, LATENT_KEYS, "left_semi").count() == 0
 
 
-def test_quota_by_position_equals_limit(spark, monkeypatch):
-    df = spark.range(100)
-    small = [x.id for x in P.take_quota(df, 10, ["id"]).collect()]
-    monkeypatch.setattr(P, "MAX_TASK_ROWS", 5)
-    assert sorted(x.id for x in P.take_quota(df, 10, ["id"]).collect()) == small
+@pytest.mark.parametrize("n", [0, 1, 10, 99, 100, 500])
+def test_one_quota(spark, n):
+    df = spark.range(100).withColumn("x", 100 - F.col("id")).repartition(3)
+    got = sorted(x.id for x in P.take_quota(df, n, ["x"]).collect())
+    assert got == list(range(max(0, 100 - n), 100))
+
+
+def test_quota_of_each_group(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.random(), i) for g, n in (("hot", 900), ("small", 5), (None, 40), ("none", 30))
+            for i in range(n)]
+    quotas = {"hot": 411, "small": 9, None: 17, "empty": 4}
+    df = spark.createDataFrame(rows, "g string, x double, i int").repartition(5)
+    given = spark.createDataFrame(list(quotas.items()), "g string, quota long")
+    got = sorted(((x.g or "", x.x) for x in P.take_quota(df, given, ["x", "i"], ["g"]).collect()))
+    want = sorted((g or "", x) for g, n in quotas.items()
+                  for x in sorted(r[1] for r in rows if r[0] == g)[:n])
+    assert got == want
+
+
+@pytest.mark.parametrize("most,per", [(4, (1, 4)), (4, (0, 1)), (1, (0, 1)), (50, (0, 9))])
+def test_no_archive_beyond_the_last_video_is_opened(spark, most, per):
+    rng = random.Random(most)
+    rows = [(f, f"{f}/a{k}.tar", i, rng.random() < 0.7) for f, n in (("f1", 40), ("f2", 3), ("f3", 20))
+            for k in range(n) for i in range(rng.randint(*per))]
+    empty = [("f3", "f3/none.tar")]
+    videos = spark.createDataFrame(rows, "factory_id string, path string, at int, ok boolean")
+    archives = spark.createDataFrame(
+        sorted({r[:2] for r in rows} | set(empty)), "factory_id string, path string")
+    chosen, opened = P.select_from_archives(
+        archives, lambda a: videos.join(a, ["factory_id", "path"]), F.col("ok"), most, 12, 7)
+    places = {x.path: x.pos for x in P.shuffle_videos(archives, "path", 7).collect()}
+    want, needed = {}, set()
+    for factory in ("f1", "f2", "f3"):
+        taken = 0
+        for path in sorted((p for p in places if p.startswith(factory)), key=places.get):
+            if taken < 12:
+                needed.add(path)
+            for _, _, at, ok in sorted(r for r in rows if r[1] == path):
+                if ok and taken < 12:
+                    want[path, at] = taken
+                    taken += 1
+    assert {(x.path, x.at): x.video_index for x in chosen.collect()} == want
+    assert sorted(x.path for x in opened.collect()) == sorted(needed)
+
+
+def test_no_archives(spark):
+    none = spark.createDataFrame([], "factory_id string, path string")
+    chosen, opened = P.select_from_archives(
+        none, lambda a: a.withColumns({"at": F.lit(1), "ok": F.lit(True)}), F.col("ok"), 4)
+    assert chosen.count() == opened.count() == 0
+    assert chosen.columns == ["factory_id", "path", "at", "ok", "video_index"]
+
+
+@pytest.mark.parametrize("n_shards", [2, 5])
+def test_work_list_of_each_shard(spark, n_shards):
+    videos = spark.createDataFrame([(f"f{i % 3}", "w", i, 64 * (1 + i % 4)) for i in range(24)],
+                                   "factory_id string, worker_id string, k int, n_frames int")
+    none = window_starts(videos).limit(0).withColumn("video_index", F.lit(0))
+    out = work_list(videos, none, "k", 20, n_shards=n_shards).collect()
+    per_shard = {s: sum(x.shard == s for x in out) for s in range(n_shards)}
+    # With more shards than factories the last shard has them all, but only its own quota.
+    assert per_shard == ({0: 10, 1: 10} if n_shards == 2 else {0: 0, 1: 0, 2: 0, 3: 0, 4: 4})
+    assert {x.factory_id for x in out if x.shard == 0} <= {"f0"}
 
 
 def test_factory_restriction_by_list_and_table(spark):
