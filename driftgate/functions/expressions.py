@@ -92,7 +92,3 @@ def volatility(variance) -> Column:
 
 def silu(x) -> Column:
     return x / (1 + F.exp(-x))
-
-
-def sigmoid(x) -> Column:
-    return 1 / (1 + F.exp(-x))

@@ -3,21 +3,22 @@
 A predictor is a depthwise stencil over time and space, an activation, a channel mix, and a
 gate that blends the result with its input. Two forms:
 
-- columns for small grids: windows and expressions in the JVM, each linear stage one matrix
-  product on Arrow batches;
+- columns of frames: windows in the JVM, each stage a kernel over Arrow batches that works on shifted
+  slices of the grid, so it holds the weights and a bounded slice of a batch;
 - a numpy reduction for full payloads, which leaves only losses per tubelet.
 
 Frames are arrays in row-major [y, x, channel] order.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from driftgate.functions.expressions import sigmoid, silu
+from driftgate.functions.expressions import silu
 from driftgate.operators.frames import TUBELET
 from driftgate.settings import LATENT_SHAPE, SHIFT_PAIRS
 
@@ -38,56 +39,82 @@ class Weights:
 
 # --- column form -------------------------------------------------------------
 
-def linear_map(matrix, bias):
-    """An Arrow UDF applying `values @ matrix + bias` to an array column. The matrix belongs
-    to a small grid, so its size is fixed by the weights and not by the data."""
-    matrix, bias = np.asarray(matrix, dtype=float), np.asarray(bias, dtype=float)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(values: pd.Series) -> pd.Series:
-        if values.empty:
-            return values
-        return pd.Series(list(np.stack(values.to_list()) @ matrix + bias), index=values.index)
+#: Values of each input that a kernel works on at once.
+KERNEL_VALUES = 1 << 21
+
+
+def grid_kernel(fn, grid, channels, inputs=1):
+    """An Arrow UDF that applies `fn` to `inputs` array columns as tensors [row, y, x, channel] and gives
+    an array column. Rows with a null input are null; another number of values raises."""
+    cells = grid[0] * grid[1] * channels
+    step = max(1, KERNEL_VALUES // cells)
+
+    def tensor(column, present):
+        column = column.filter(present)
+        if len(column) and pc.any(pc.not_equal(pc.list_value_length(column), cells)).as_py():
+            raise ValueError(f"frames must have {cells} values for a grid of {grid}")
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, *grid, channels)
+
+    def run(columns):
+        present = reduce(pc.and_, [c.is_valid() for c in columns])
+        tensors = [tensor(c, present) for c in columns]
+        parts = [fn(*[t[i:i + step].astype(np.float64, copy=False) for t in tensors]).reshape(-1)
+                 for i in range(0, len(tensors[0]), step)]
+        values = np.concatenate(parts) if parts else np.zeros(0)
+        offsets = np.zeros(len(columns[0]) + 1, np.int32)
+        np.cumsum(present.to_numpy(zero_copy_only=False) * cells, out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values),
+                                        mask=pc.invert(present))
+
+    kind = T.ArrayType(T.DoubleType())
+    if inputs == 1:
+        @F.arrow_udf(kind)
+        def apply(a: pa.Array) -> pa.Array:
+            return run([a])
+    else:
+        @F.arrow_udf(kind)
+        def apply(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+            return run([a, b, c])
     return apply
 
 
-def stencil_matrix(kernel, height, width):
-    """Matrix of a depthwise stencil over three stacked frames; outside the border is zero."""
-    channels, cells = kernel.shape[0], height * width * kernel.shape[0]
-    matrix = np.zeros((TIME_TAPS * cells, cells))
-    for y, x, k, dy, dx in np.ndindex(height, width, TIME_TAPS, 3, 3):
-        from_y, from_x = y + dy - 1, x + dx - 1
-        if 0 <= from_y < height and 0 <= from_x < width:
-            source = k * cells + (from_y * width + from_x) * channels
-            target = (y * width + x) * channels
-            for c in range(channels):
-                matrix[source + c, target + c] = kernel[c, k, dy, dx]
-    return matrix
+def shifted_sum(frames, weights):
+    """Sum over the nine neighbours of each cell: frames [row, y, x, c], weights [3, 3] or [3, 3, c];
+    outside the border is zero."""
+    height, width = frames.shape[1:3]
+    padded = np.pad(frames, ((0, 0), (1, 1), (1, 1), (0, 0)))
+    out = np.zeros(frames.shape)
+    for dy, dx in np.ndindex(3, 3):
+        out += padded[:, dy:dy + height, dx:dx + width] * weights[dy][dx]
+    return out
 
 
 def stencil(frames: DataFrame, value, kernel, bias, grid, causal=True, keys=TUBELET,
             out="conv") -> DataFrame:
     """Depthwise stencil. Causal looks at t-2..t, anti-causal at t..t+2; frames outside the
     window are zero."""
-    height, width = grid
+    kernel, bias = np.asarray(kernel, dtype=float), np.asarray(bias, dtype=float)
+    channels = len(kernel)
     order = Window.partitionBy(*keys).orderBy("t")
     shift = F.lag if causal else F.lead
     offsets = (2, 1, 0) if causal else (0, 1, 2)
-    zero = F.array_repeat(F.lit(0.0), height * width * kernel.shape[0])
-    shifted = frames.withColumn("_z", F.col(value).cast("array<double>")).withColumns(
-        {f"_z{k}": F.coalesce(shift(F.col("_z"), n).over(order), zero) if n else F.col("_z")
-         for k, n in enumerate(offsets)})
-    stacked = F.concat(*[F.col(f"_z{k}") for k in range(TIME_TAPS)])
-    convolve = linear_map(stencil_matrix(np.asarray(kernel), height, width),
-                          np.tile(bias, height * width))
-    return shifted.withColumn(out, convolve(stacked)).drop(
-        "_z", *[f"_z{k}" for k in range(TIME_TAPS)])
+    z = F.col(value).cast("array<double>")
+    zero = F.array_repeat(F.lit(0.0), grid[0] * grid[1] * channels)
+    taps = [F.when(shift(F.lit(1), n).over(order).isNull(), zero).otherwise(shift(z, n).over(order))
+            if n else z for n in offsets]
+    convolve = grid_kernel(
+        lambda *taps: sum(shifted_sum(z, np.moveaxis(kernel[:, k], 0, -1))
+                          for k, z in enumerate(taps)) + bias,
+        grid, channels, TIME_TAPS)
+    return frames.withColumns({f"_z{k}": tap for k, tap in enumerate(taps)}).withColumn(
+        out, convolve(*[F.col(f"_z{k}") for k in range(TIME_TAPS)])).drop(
+        *[f"_z{k}" for k in range(TIME_TAPS)])
 
 
 def channel_mix(frames: DataFrame, value, matrix, bias, grid, out="mixed") -> DataFrame:
     """Linear mix of the channels at every position."""
-    positions = grid[0] * grid[1]
-    mix = linear_map(np.kron(np.eye(positions), np.asarray(matrix).T), np.tile(bias, positions))
+    matrix, bias = np.asarray(matrix, dtype=float), np.asarray(bias, dtype=float)
+    mix = grid_kernel(lambda z: z @ matrix.T + bias, grid, matrix.shape[1])
     return frames.withColumn(out, mix(F.col(value)))
 
 
@@ -97,18 +124,19 @@ def activate(frames: DataFrame, value, out="activated") -> DataFrame:
 
 def gated_blend(frames: DataFrame, value, activated, mixed, gate, bias, grid,
                 out="pred") -> DataFrame:
-    """(1 - u) * input + u * mixed, with one gate value u per position."""
-    positions, channels = grid[0] * grid[1], len(gate) // 2
-    # One linear form per position over [input, activated], repeated for its channels.
-    halves = [np.kron(np.eye(positions), np.outer(g, np.ones(channels)))
-              for g in (gate[:channels], gate[channels:])]
-    linear = linear_map(np.vstack(halves), np.full(positions * channels, bias))
-    z = F.col(value).cast("array<double>")
-    both = F.zip_with(z, mixed, lambda a, b: F.struct(a.alias("z"), b.alias("m")))
-    blended = F.zip_with(both, "_gate", lambda p, g: (1 - sigmoid(g)) * p["z"]
-                         + sigmoid(g) * p["m"])
-    return (frames.withColumn("_gate", linear(F.concat(z, F.col(activated))))
-            .withColumn(out, blended).drop("_gate"))
+    """(1 - u) * input + u * mixed, with one gate value u per position: a linear form of input and
+    activation there."""
+    gate = np.asarray(gate, dtype=float)
+    channels = len(gate) // 2
+
+    def blend(z, act, mix):
+        linear = z @ gate[:channels] + act @ gate[channels:] + bias
+        with np.errstate(over="ignore"):
+            u = (1 / (1 + np.exp(-linear)))[..., None]
+        return (1 - u) * z + u * mix
+
+    return frames.withColumn(out, grid_kernel(blend, grid, channels, 3)(
+        F.col(value).cast("array<double>"), F.col(activated), F.col(mixed)))
 
 
 def predict(frames: DataFrame, value, weights: Weights, grid, causal=True,
@@ -122,21 +150,12 @@ def predict(frames: DataFrame, value, weights: Weights, grid, causal=True,
                        grid).drop("conv", "activated", "mixed")
 
 
-def neighbor_sum(cells: DataFrame, kernel, keys=("seq_id", "idx", "channel")) -> DataFrame:
-    """Weighted sum over each cell's 3x3 neighbourhood, for cells as rows (.., y, x, v).
-
-    Every cell sends its value to the nine cells that need it and the sums meet there. That
-    equals joining each cell to its neighbours, with one combining shuffle and no join.
-    """
-    sends = F.array(*[
-        F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"),
-                 (F.col("v") * F.lit(float(kernel[dy + 1][dx + 1]))).alias("part"),
-                 F.lit(dy == 0 and dx == 0).alias("own"))
-        for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    return (cells.select(*keys, F.inline(sends))
-            .groupBy(*keys, "y", "x")
-            .agg(F.sum("part").alias("total"), F.max("own").alias("real"))
-            .where("real").drop("real"))
+def neighbor_sum(frames: DataFrame, value, kernel, grid, channels=1, out="total") -> DataFrame:
+    """Weighted sum over each cell's 3x3 neighbourhood, for frames as arrays in [y, x, channel]
+    order. A frame has all its neighbours in its own row, so nothing is exchanged or joined."""
+    weights = np.asarray(kernel, dtype=float)
+    add = grid_kernel(lambda z: shifted_sum(z, weights), grid, channels)
+    return frames.withColumn(out, add(F.col(value)))
 
 
 # --- payload form ------------------------------------------------------------

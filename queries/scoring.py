@@ -125,13 +125,12 @@ FROM cells o JOIN cells i ON o.seq_id = i.seq_id AND o.start = i.start AND o.t =
  AND o.c = i.c AND abs(o.y - i.y) <= 1 AND abs(o.x - i.x) <= 1
 GROUP BY o.seq_id, o.start, o.t, o.c, o.y, o.x"""))
 def neighbor_join(spark, sf_dir):
-    cells = em_tubelets(spark, sf_dir).select(
-        "seq_id", "start", "t", F.posexplode(F.col("z").cast("array<double>")).alias("i", "v"))
-    cells = cells.withColumns({"y": F.floor(F.col("i") / 16), "x": F.floor(F.col("i") / 4) % 4,
-                               "c": (F.col("i") % 4).cast("long")})
     kernel = [[1 + dy * 3 + dx for dx in (-1, 0, 1)] for dy in (-1, 0, 1)]
-    return S.neighbor_sum(cells, kernel, ["seq_id", "start", "t", "c"]).withColumn(
-        "total", r("total"))
+    summed = S.neighbor_sum(em_tubelets(spark, sf_dir), "z", kernel, GRID, CHANNELS)
+    cells = summed.select("seq_id", "start", "t", F.posexplode("total").alias("i", "total"))
+    return cells.select("seq_id", "start", "t", (F.col("i") % 4).cast("long").alias("c"),
+                        F.floor(F.col("i") / 16).alias("y"),
+                        (F.floor(F.col("i") / 4) % 4).alias("x"), r("total").alias("total"))
 
 
 MIXED = """mixed AS (

@@ -105,13 +105,38 @@ def test_evaluation_plan(spark):
 
 
 def test_neighbours(spark):
-    values = np.arange(12.0).reshape(3, 4)
+    values = np.random.default_rng(2).normal(size=(3, 4, 2))
     kernel = [[1, 2, 3], [4, 5, 6], [7, 8, 9]]
-    rows = [(0, 0, 0, y, x, float(values[y, x])) for y, x in np.ndindex(3, 4)]
-    df = spark.createDataFrame(rows, "seq_id long, idx long, channel int, y int, x int, v double")
-    padded = np.pad(values, 1)
-    out = S.neighbor_sum(df, kernel).collect()
-    assert len(out) == 12
-    for cell in out:
-        window = padded[cell.y:cell.y + 3, cell.x:cell.x + 3]
-        assert cell.total == pytest.approx((window * np.array(kernel)).sum())
+    path_rows = [(i, (values * i).ravel().tolist()) for i in range(3)] + [(9, None)]
+    df = spark.createDataFrame(path_rows, "i int, v array<double>")
+    out = S.neighbor_sum(df, "v", kernel, (3, 4), 2)
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    padded = np.pad(values, ((1, 1), (1, 1), (0, 0)))
+    for row in out.collect():
+        if row.i == 9:
+            assert row.total is None
+            continue
+        for y, x, c in np.ndindex(values.shape):
+            window = row.i * padded[y:y + 3, x:x + 3, c]
+            assert row.total[(y * 4 + x) * 2 + c] == pytest.approx((window * np.array(kernel)).sum())
+
+
+def test_frames_of_another_size_are_refused(spark):
+    df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
+    with pytest.raises(Exception, match="must have 12 values"):
+        S.neighbor_sum(df, "v", np.ones((3, 3)), (3, 4)).collect()
+
+
+def test_kernels_hold_weights_and_a_slice_only(monkeypatch):
+    """A full-width grid: dense matrices over all cells would be 24 * 24 * 768 squared values."""
+    import tracemalloc
+    grid, channels = (24, 24), 32
+    z = np.random.default_rng(1).normal(size=(40, *grid, channels))
+    weights = np.random.default_rng(2).normal(size=(3, 3, channels))
+    step = 4
+    tracemalloc.start()
+    parts = [S.shifted_sum(z[i:i + step], weights) for i in range(0, len(z), step)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(np.concatenate(parts), S.shifted_sum(z, weights))
+    assert peak < 1.3 * z.nbytes  # the result and some slices
