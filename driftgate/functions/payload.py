@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from driftgate.settings import LATENT_SHAPE
+from driftgate.settings import LATENT_SHAPE, SHIFT_PAIRS
 
 FLOAT_BYTES = 4
 SLICE = 1 << 20
@@ -112,9 +112,39 @@ def moments_from_payload(df: DataFrame, keep) -> DataFrame:
 
     def moments(buffer):
         z = np.frombuffer(buffer, dtype=np.float32)
-        mean = z.mean(dtype=np.float64)
-        # In slices, so that no second copy of the tensor is made in double.
-        slices = np.array_split(z, max(1, z.size // SLICE))
-        return {"n": float(z.size), "mean": mean,
-                "m2": float(sum(np.square(part - mean).sum() for part in slices))}
+        mean, squares = _frame_moments(z)
+        return {"n": float(z.size), "mean": mean, "m2": squares}
     return _reduce_payload(df, keep, fields, moments)
+
+
+def _frame_moments(frame):
+    """Mean and sum of squared deviations, in slices, so that no second copy is made in double."""
+    mean = frame.mean(dtype=np.float64)
+    slices = np.array_split(frame, max(1, frame.size // SLICE))
+    return mean, float(sum(np.square(part - mean).sum() for part in slices))
+
+
+def target_moments_from_payload(df: DataFrame, keep, shape=LATENT_SHAPE, pairs=SHIFT_PAIRS) -> DataFrame:
+    """Columns `keep`, `direction`, and `n`, `mean` and `m2` of all target values of that direction: frames
+    1 to `pairs` forward, 0 to `pairs` - 1 backward. Both share the moments of their common frames."""
+    if not 0 < pairs < shape[0]:
+        raise ValueError(f"{pairs} pairs need more than {shape[0]} frames")
+    cells = math.prod(shape[1:])
+    names = [f"{d}_{c}" for d in ("fwd", "rev") for c in ("mean", "m2")]
+
+    def moments(buffer):
+        z = np.frombuffer(buffer, dtype=np.float32).reshape(shape[0], -1)
+        means, squares = np.array([_frame_moments(z[t]) for t in range(pairs + 1)]).T
+        found = {}
+        for direction, chosen in (("fwd", slice(1, pairs + 1)), ("rev", slice(0, pairs))):
+            mean = means[chosen].mean()
+            found[f"{direction}_mean"] = mean
+            found[f"{direction}_m2"] = (squares[chosen].sum()
+                                        + cells * np.square(means[chosen] - mean).sum())
+        return found
+
+    made = _reduce_payload(df, keep, [T.StructField(c, T.DoubleType()) for c in names], moments)
+    sides = [F.struct(F.lit(d).alias("direction"), F.lit(float(cells * pairs)).alias("n"),
+                      F.col(f"{d}_mean").alias("mean"), F.col(f"{d}_m2").alias("m2"))
+             for d in ("fwd", "rev")]
+    return made.select(*keep, F.inline(F.array(*sides)))

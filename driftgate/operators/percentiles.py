@@ -45,9 +45,9 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
        bucket tells, for every block, which bucket holds the wanted order statistic;
     2. only that bucket's distinct values, with counts per block, are looked at.
 
-    With B buckets and K blocks this handles K*B counts and about N*K/B values, least at
-    B = sqrt(N), which is the default. Bucket borders need not be accurate: they change the work,
-    not the result. Most blocks want the same few buckets, so a bucket's values are dealt out in
+    With B buckets, K blocks and P probabilities this handles K*B counts and about 2*P*K*N/B values,
+    least at B = sqrt(2*P*N), which is the default. Bucket borders need not be accurate: they change the
+    work, not the result. Most blocks want the same few buckets, so a bucket's values are dealt out in
     slices, and every wanted statistic goes to all slices of its bucket.
     """
     cells = (df.where(F.col("value").isNotNull())
@@ -55,7 +55,7 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
              .agg(F.count("*").alias("n")))
     # Read five times below, so written once: value, block and count only.
     cells = materialize(cells, "percentile-cells")
-    pieces = pieces or math.isqrt(cells.count())
+    pieces = pieces or math.isqrt(2 * len(probs) * cells.count())
     cells = _with_bucket(cells, _cuts(cells, pieces))
 
     # Totals per block and the order statistics wanted there.

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from driftgate.functions.expressions import volatility
-from driftgate.functions.payload import moments_from_payload
+from driftgate.functions.payload import moments_from_payload, target_moments_from_payload
 from driftgate.operators.evaluation import eval_summary, merge_moments
 from driftgate.operators.scoring import score
 from driftgate.settings import LATENT_SHAPE, SHIFT_PAIRS, VALIDATION_VARIANCE_BATCHES
@@ -16,6 +16,15 @@ def fixed_delta(batched: DataFrame, n=VALIDATION_VARIANCE_BATCHES) -> float:
     return variances.agg(volatility(F.avg("var"))).first()[0]
 
 
+def batch_volatility(batched: DataFrame, keys=("batch_id",), shape=LATENT_SHAPE,
+                     pairs=SHIFT_PAIRS) -> DataFrame:
+    """Volatility of the shifted targets of each batch and direction, from one pass over the payloads:
+    `keys`, direction, sigma, which is what `adaptive_delta` takes."""
+    keys = [*keys, "direction"]
+    moments = target_moments_from_payload(batched, keys[:-1], shape, pairs)
+    return merge_moments(moments, keys).select(*keys, volatility(F.col("var")).alias("sigma"))
+
+
 def evaluate(batched: DataFrame, steps, forward=None, backward=None, shape=LATENT_SHAPE,
              pairs=SHIFT_PAIRS) -> DataFrame:
     """Mean loss per step. `batched` has batch_id and latent_bytes."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.payload import decode_latent, encode_latent, psi_from_payload
 from driftgate.functions.udfs import register
+from driftgate.operators.evaluation import adaptive_delta
 from driftgate.plans.epoch import epoch_payloads, epoch_sample
+from driftgate.plans.evaluate import batch_volatility
 from driftgate.session import materialize, scratch_path
 from driftgate.sources.archives import create_shared, explode_archives
 from driftgate.sources.latents import (
@@ -15,6 +17,7 @@ from driftgate.sources.latents import (
 )
 from driftgate.sources.shards import write_shards
 from driftgate.sources.store import dedup_rows
+from queries.evaluation import EM_WITH_PAIRS, PAIRS, SIGMAS, fold_sql
 from queries.fixtures import (
     DIM, EM, EM_EPS, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
 )
@@ -184,6 +187,28 @@ def dedup_payloads(spark, sf_dir):
                       F.octet_length("latent_bytes").alias("n_bytes"), r(head, 4).alias("head"))
 
 
+def payload_sigmas(spark, sf_dir):
+    """Two windows of a video to a batch, as in the column form."""
+    latents = read_latents(spark, latent_store(spark, sf_dir)).select(
+        F.col("video_index").cast("long").alias("run"),
+        F.floor(F.col("tubelet_start") / 16).alias("step"), "latent_bytes")
+    return batch_volatility(latents, ["run", "step"], SHAPE, PAIRS)
+
+
+@query("payload_sigma", sql(*EM_WITH_PAIRS, SIGMAS, select="""
+SELECT run, step, direction, round(sigma, 4) AS sigma FROM sigmas"""))
+def payload_sigma(spark, sf_dir):
+    return payload_sigmas(spark, sf_dir).withColumn("sigma", r("sigma", 4))
+
+
+@query("payload_delta", fold_sql("""
+SELECT run, step, direction, round(sigma, 4) AS sigma, round(delta, 4) AS delta FROM deltas"""))
+def payload_delta(spark, sf_dir):
+    """The adaptive threshold straight from payloads."""
+    return adaptive_delta(payload_sigmas(spark, sf_dir)).withColumns(
+        {"sigma": r("sigma", 4), "delta": r("delta", 4)})
+
+
 LISTED = f"""
 latent_psi AS (SELECT l.*, psi, 'shard_' || l.video_index AS shard, ('0x' || substr(
     md5(l.factory_id || '_' || l.video_index), 1, 8))::UBIGINT % 10 AS bucket

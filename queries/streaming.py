@@ -32,12 +32,12 @@ def stream_psi(spark, sf_dir):
 
 @query("stream_delta", ADAPTIVE)
 def stream_delta(spark, sf_dir):
-    """Two arrivals of steps, one after the other, on one continued state."""
+    """Three arrivals on one continued state; each has steps that come before some of the earlier arrivals'."""
     values = sigmas(spark, sf_dir)
     source, out, state = (scratch_path(spark, f"stream-{n}") for n in ("in", "out", "state"))
-    early = F.col("step") < 2
-    for part in (early, ~early):
-        values.where(part).write.mode("append").parquet(source)
+    forward = (F.col("direction") == "fwd").cast("int")
+    for arrival in (1, 2, 0):
+        values.where((F.col("step") + forward) % 3 == arrival).write.mode("append").parquet(source)
         stream = adaptive_delta_stream(spark.readStream.schema(values.schema).parquet(source))
         run_available(stream, out, state)
     return spark.read.schema(stream.schema).parquet(out).withColumns(

@@ -14,6 +14,7 @@ from driftgate.operators.evaluation import merge_moments
 from driftgate.operators.frames import frame_diff, frame_l1, psi
 from driftgate.plans.calibrate import calibrate, frame_changes
 from driftgate.plans.epoch import store_epoch
+from driftgate.plans.evaluate import batch_volatility
 from driftgate.schema import LATENT, LATENT_KEYS
 from driftgate.settings import SEED
 from driftgate.sources.calibration import thresholds
@@ -258,3 +259,17 @@ def test_changes_keep_the_row_address(spark, tmp_path):
                                 ["row_index", "video_index"], SHAPE).collect()
     assert {x.row_index: x.video_index for x in out} == {0: 0, 1: 1, 2: 2}
     assert all(len(x.l1) == SHAPE[0] - 1 for x in out)
+
+
+def test_volatility_of_shifted_targets(spark):
+    z = tensors(5) + np.float32(1e4)
+    batched = latent_rows(spark, z).withColumn("batch_id", F.col("video_index") % 2)
+    got = {(x.batch_id, x.direction): x.sigma
+           for x in batch_volatility(batched, shape=SHAPE, pairs=3).collect()}
+    for batch in (0, 1):
+        own = z[batch::2].astype(np.float64)
+        for direction, target in (("fwd", own[:, 1:4]), ("rev", own[:, 0:3])):
+            assert got[batch, direction] == pytest.approx(
+                np.sqrt(target.var(ddof=1) + 1e-8), rel=1e-9)
+    with pytest.raises(ValueError):
+        batch_volatility(batched, shape=SHAPE, pairs=4)

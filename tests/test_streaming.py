@@ -46,6 +46,33 @@ def test_delta_state_carries_over(spark, tmp_path):
     assert got == pytest.approx(want, rel=1e-12)
 
 
+def test_early_steps_wait(spark, tmp_path):
+    """Arrivals in any order: the result is that of the ordered fold, each update once."""
+    runs = {k: v for k, v in RUNS.items() if k is not None}
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = sigma_rows(spark, runs)
+    for part in ("step % 3 = 2", "step % 3 = 0 AND direction = 'rev'", "step % 3 = 1",
+                 "step % 3 = 0 AND direction = 'fwd'"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(source)
+        run_available(adaptive_delta_stream(spark.readStream.schema(SIGMA).parquet(source)), out, state)
+    keys = ["run", "step", "direction"]
+    got = {tuple(x[k] for k in keys): x.delta for x in spark.read.parquet(out).collect()}
+    want = {tuple(x[k] for k in keys): x.delta for x in adaptive_delta(rows).collect()}
+    assert got == pytest.approx(want, rel=1e-12) and len(got) == spark.read.parquet(out).count()
+
+
+@pytest.mark.parametrize("late", [("a", 0, "fwd", 1.0), ("a", 3, "rev", 1.0), ("a", 1, "up", 1.0)])
+def test_a_late_step_raises(spark, tmp_path, late):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([("a", 0, "fwd", 0.1), ("a", 3, "rev", 0.2)], [late]):
+        spark.createDataFrame(rows, SIGMA).coalesce(1).write.mode("append").parquet(source)
+        stream = adaptive_delta_stream(spark.readStream.schema(SIGMA).parquet(source))
+        if rows[0] != late:
+            run_available(stream, out, state)
+    with pytest.raises(Exception, match="late or twice|no direction"):
+        run_available(stream, out, state)
+
+
 @pytest.mark.parametrize("tol", [0.2, 0.0])
 def test_online_tau_equals_file_stop(spark, tmp_path, tol):
     source = str(tmp_path / "in")
