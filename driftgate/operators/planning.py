@@ -1,10 +1,10 @@
 """Extraction planning: video selection, resume, quotas, and shard assignment by size."""
 
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from driftgate.functions.expressions import latent_id, shuffle_key
@@ -161,15 +161,15 @@ def merge_index(old: DataFrame, new: DataFrame, keys=LATENT_KEYS) -> DataFrame:
 # --- shard assignment --------------------------------------------------------
 
 def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
-                  block_rows=65_536) -> DataFrame:
+                  block_rows=65_536, fan=256) -> DataFrame:
     """Add `shard`: each writer's rows fill a shard until the row that brings it to
     `max_bytes` or more; the next row opens a new one.
 
     Closing a shard resets the sum, so this is no running total. It is still parallel: each
     block of a writer's rows is summarised as what happens for every row that could close
-    the shard it inherits (`_block_outcomes`); those few rows are chained over the blocks,
-    and each block then numbers its own rows from the bytes it really inherits. Choose
-    `block_rows` well above the rows of one shard.
+    the shard it inherits (`_block_outcomes`). Summaries of neighbours compose to one of the same
+    kind, so a tree of them, `fan` to a node, tells what every block inherits, and each block then
+    numbers its own rows. Choose `block_rows` well above the rows of one shard.
 
     Only keys and sizes take part; attach payloads by address afterwards.
     """
@@ -181,10 +181,11 @@ def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
     def with_longs(*names):
         return T.StructType(keyed + [T.StructField(n, T.LongType()) for n in names])
 
-    outcomes = sizes.groupBy(*writer, "_block").applyInPandas(
+    outcomes = materialize(sizes.groupBy(*writer, "_block").applyInPandas(
         lambda pdf: _block_outcomes(pdf, writer, max_bytes),
-        with_longs("need", "closed", "carry"))
-    entries = _chain_blocks(outcomes, writer, max_bytes, with_longs("_carry", "_first"))
+        with_longs("need", "closed", "carry")), "block-outcomes")
+    last = outcomes.agg(F.max("_block")).first()[0]
+    entries = _inherited(outcomes, writer, max_bytes, fan, (last or 0) + 1, with_longs)
 
     # Same key as the grouping that follows, compared as a struct so null writers match.
     key = F.struct(*writer, "_block")
@@ -228,38 +229,66 @@ def _block_outcomes(pdf, writer, limit):
     return _with_keys(out, pdf, [*writer, "_block"])
 
 
-def _chain_blocks(outcomes, writer, limit, schema):
-    """Bytes and shard number each block inherits. A writer's outcomes stream through one
-    task in order, a small share of its rows as long as a block holds many shards; only the
-    open shard is remembered."""
-    ordered = outcomes.repartition(*writer).sortWithinPartitions(
-        *writer, "_block", F.asc_nulls_last("need"))
-
-    def chain(batches):
-        current = carry = first = lacking = None
-        for batch in batches:
-            made = []
-            keys = zip(*[batch.column(c).to_pylist() for c in [*writer, "_block"]])
-            values = zip(*[batch.column(c).to_pylist() for c in ("need", "closed", "carry")])
-            for key, (need, closed, left) in zip(keys, values):
-                if key != current:
-                    if current is None or key[:-1] != current[:-1]:
-                        carry, first = 0, 0
-                    current, lacking = key, limit - carry
-                    made.append((*key, carry, first))
-                if lacking is None:
-                    continue
-                if need is None:
-                    carry, lacking = carry + left, None
-                elif need >= lacking:
-                    carry, first, lacking = left, first + closed, None
-            columns = zip(*made) if made else [()] * len(names)
-            types = [*[batch.schema.field(c).type for c in writer], *[pa.int64()] * 3]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    names = schema.names
-    return ordered.mapInArrow(chain, schema)
+def _inherited(outcomes, writer, limit, fan, blocks, with_longs):
+    """Bytes in the open shard and its number at the start of each block. Nodes of `fan` blocks are
+    composed, what the nodes inherit is found in the same way, and handed down inside each node. No
+    task holds more than the outcomes of a node."""
+    above = outcomes.withColumn("_node", F.floor(F.col("_block") / fan).cast("long"))
+    if blocks <= fan:
+        start = above.withColumns({"_carry": F.lit(0).cast("long"), "_first": F.lit(0).cast("long")})
+    else:
+        composed = above.groupBy(*writer, "_node").applyInPandas(
+            lambda pdf: _compose_blocks(pdf, writer, limit), with_longs("need", "closed", "carry"))
+        nodes = _inherited(materialize(composed, "block-outcomes"), writer, limit, fan,
+                           -(-blocks // fan), with_longs)
+        node = F.struct(*writer, F.col("_block").alias("_node"))
+        start = above.withColumn("_k", F.struct(*writer, "_node")).join(
+            nodes.select(node.alias("_k"), "_carry", "_first"), "_k").drop("_k")
+    return start.groupBy(*writer, "_node").applyInPandas(
+        lambda pdf: _hand_down(pdf, writer, limit), with_longs("_carry", "_first"))
+
+
+def _blocks_in_order(pdf):
+    """(block, its outcome): the needs that close, what each leaves, and the bytes if none does."""
+    for block, rows in pdf.groupby("_block", sort=True):
+        closing = rows[rows["need"].notna()].sort_values("need")
+        yield int(block), (closing["need"].astype("int64").tolist(),
+                           list(zip(closing["closed"].tolist(), closing["carry"].tolist())),
+                           int(rows.loc[rows["need"].isna(), "carry"].iloc[0]))
+
+
+def _after(outcome, carry, limit):
+    """(shards closed, bytes carried) of a block that inherits `carry` bytes."""
+    needs, left, total = outcome
+    i = bisect_left(needs, limit - carry)
+    return left[i] if i < len(needs) else (0, carry + total)
+
+
+def _compose_blocks(pdf, writer, limit):
+    """The outcome of a node's blocks one after another."""
+    needs, left, total = [], [], 0
+    for _, outcome in _blocks_in_order(pdf):
+        following = [_after(outcome, carry, limit) for _, carry in left]
+        left = [(closed + more, carry) for (closed, _), (more, carry) in zip(left, following)]
+        if not needs or needs[-1] < limit:  # an empty shard may still be open here
+            fresh = [(n + total, x) for n, x in zip(*outcome[:2]) if not needs or n + total > needs[-1]]
+            needs += [n for n, _ in fresh]
+            left += [x for _, x in fresh]
+        total += outcome[2]
+    rows = [(n, closed, carry) for n, (closed, carry) in zip(needs, left)] + [(None, 0, total)]
+    out = pd.DataFrame(rows, columns=["need", "closed", "carry"]).astype("Int64")
+    out["_block"] = pdf["_node"].iloc[0]
+    return _with_keys(out, pdf, writer)[[*writer, "_block", "need", "closed", "carry"]]
+
+
+def _hand_down(pdf, writer, limit):
+    carry, first, made = int(pdf["_carry"].iloc[0]), int(pdf["_first"].iloc[0]), []
+    for block, outcome in _blocks_in_order(pdf):
+        made.append((block, carry, first))
+        closed, carry = _after(outcome, carry, limit)
+        first += closed
+    out = pd.DataFrame(made, columns=["_block", "_carry", "_first"])
+    return _with_keys(out, pdf, writer)
 
 
 def _number_block(pdf, limit):

@@ -3,11 +3,12 @@
 import io
 import tarfile
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from driftgate.functions.payload import decode_latent, encode_latent, psi_from_payload
 from driftgate.functions.udfs import register
 from driftgate.operators.evaluation import adaptive_delta
+from driftgate.operators.planning import assign_shards
 from driftgate.plans.epoch import epoch_payloads, epoch_sample
 from driftgate.plans.evaluate import batch_volatility
 from driftgate.session import materialize, scratch_path
@@ -15,11 +16,11 @@ from driftgate.sources.archives import create_shared, explode_archives
 from driftgate.sources.latents import (
     list_shards, only_tag, read_latents, skipped_shards, with_address,
 )
-from driftgate.sources.shards import write_shards
+from driftgate.sources.shards import write_assigned_shards, write_shards
 from driftgate.sources.store import dedup_rows
 from queries.evaluation import EM_WITH_PAIRS, PAIRS, SIGMAS, fold_sql
 from queries.fixtures import (
-    DIM, EM, EM_EPS, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
+    DIM, EM, EM_EPS, EM_FRAMES, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
 )
 from queries.registry import query, sql
 
@@ -141,6 +142,45 @@ def shard_sink(spark, sf_dir):
     return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 3).alias("bounded"))
 
 
+FILE_BYTES = 5000
+
+
+@query("shard_membership", sql(EM_FRAMES, f"""
+windows AS (SELECT seq_id, idx - idx % 8 AS start, count(*) * 256 AS n FROM em_frames
+            GROUP BY seq_id, idx - idx % 8),
+numbered AS (SELECT *, seq_id % 4 AS writer, row_number() OVER (
+               PARTITION BY seq_id % 4 ORDER BY seq_id, start) AS rn FROM windows),
+filled AS (
+  SELECT writer, seq_id, start, n, rn, CAST(0 AS BIGINT) AS shard, n AS held FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.writer, n.seq_id, n.start, n.n, n.rn, f.shard + CASE WHEN f.held >= {FILE_BYTES} THEN 1 ELSE 0 END,
+         CASE WHEN f.held >= {FILE_BYTES} THEN n.n ELSE f.held + n.n END
+  FROM filled f JOIN numbered n ON n.writer = f.writer AND n.rn = f.rn + 1)""", select=f"""
+SELECT 'factory_' || writer AS factory_id, CAST(seq_id AS INTEGER) AS video_index,
+       CAST(start AS INTEGER) AS tubelet_start, shard, CAST(n AS INTEGER) AS n_bytes,
+       CAST(sum(n) OVER w AS BIGINT) AS shard_bytes,
+       shard < max(shard) OVER (PARTITION BY writer) AS closed,
+       sum(n) OVER w >= {FILE_BYTES} AS reached FROM filled
+WINDOW w AS (PARTITION BY writer, shard)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def shard_membership(spark, sf_dir):
+    """Files whose members are read back: each closed one reaches the limit, and its last row did it."""
+    store = materialize(latent_rows(spark, sf_dir, whole=False), "rows")
+    order = ["video_index", "tubelet_start"]
+    sizes = store.select("factory_id", *order, F.octet_length("latent_bytes").alias("size"))
+    assigned = assign_shards(sizes, ["factory_id"], order, "size", FILE_BYTES, block_rows=4, fan=2)
+    root = scratch_path(spark, "assigned")
+    write_assigned_shards(store.join(assigned.drop("size"), ["factory_id", *order]), root, ["factory_id"])
+    path = F.col("_metadata.file_path")
+    rows = read_latents(spark, root).select(
+        "factory_id", *order, F.octet_length("latent_bytes").alias("n_bytes"), path.alias("file"),
+        F.regexp_extract(path, "by_shard=([0-9]+)/", 1).cast("long").alias("shard"))
+    by_file, by_writer = Window.partitionBy("file"), Window.partitionBy("factory_id")
+    return rows.select(
+        "factory_id", *order, "shard", "n_bytes", F.sum("n_bytes").over(by_file).alias("shard_bytes"),
+        (F.col("shard") < F.max("shard").over(by_writer)).alias("closed"),
+        (F.sum("n_bytes").over(by_file) >= FILE_BYTES).alias("reached"))
+
+
 @query("epoch_payloads", sql(*EM, *EM_WITH_LATENTS[2:], EM_PSI, select="""
 SELECT l.video_index, l.tubelet_start, 2048 AS n_bytes, round(s.head, 4) AS head,
        round(s.next, 4) AS next

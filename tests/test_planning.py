@@ -81,7 +81,8 @@ def test_shards_equal_the_sequential_rule(spark, block_rows, limit):
         rows += [(writer, i, s) for i, s in enumerate(sizes)]
         want |= {(writer, i): s for i, s in enumerate(brute_shards(sizes, limit))}
     df = spark.createDataFrame(rows, "writer string, at int, size int").repartition(3)
-    out = P.assign_shards(df, ["writer"], ["at"], "size", limit, block_rows)
+    # A fan of 3 makes a tree of up to five levels of 160 blocks.
+    out = P.assign_shards(df, ["writer"], ["at"], "size", limit, block_rows, fan=3)
     assert out.columns == ["writer", "at", "size", "shard"]
     assert {(x.writer, x.at): x.shard for x in out.collect()} == want
 
