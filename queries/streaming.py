@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.payload import psi_from_payload
 from driftgate.operators.frames import psi
+from driftgate.operators.planning import gather
+from driftgate.plans.replay import Replay, steps_per_epoch
 from driftgate.session import materialize, scratch_path
 from driftgate.sources.latents import only_tag
 from driftgate.streaming.delta import adaptive_delta_stream
@@ -14,7 +16,8 @@ from driftgate.streaming.tau import online_tau
 from queries.calibration import EVENT_FLOW, STOP_STEP, STOP_TOL, STOPPED, file_stop
 from queries.evaluation import ADAPTIVE, sigmas
 from queries.fixtures import (
-    EM_EPS, EM_WITH_PSI, SAMPLED, SHAPE, em_l1, latent_store, r, table,
+    EM_EPS, EM_PSI, EM_WITH_LATENTS, EM_WITH_PSI, SAMPLED, SHAPE, em_l1, latent_rows, latent_store, r,
+    table,
 )
 from queries.payload import SAMPLED_PSI
 from queries.registry import query, sql
@@ -60,6 +63,59 @@ def stream_tau(spark, sf_dir):
                       step=STOP_STEP, tol=STOP_TOL, limit=16).withColumn("tau", r("tau", 4))
 
 
+REPLAY_STEPS, REPLAY_CAP, REPLAY_BATCH, REPLAY_VIDEOS = 3, 8, 4, 7
+
+
+def pass_sql(number, seed, landed):
+    """Batches of one pass in their turn."""
+    return f"""
+dealt{number} AS (SELECT shard, row_number() OVER (ORDER BY md5({seed} || ':' || shard), shard) - 1 AS pos
+  FROM (SELECT DISTINCT shard FROM scored WHERE {landed})),
+rows{number} AS (SELECT video_index, tubelet_start, pos % 2 AS worker, row_number() OVER w - 1 AS row
+  FROM scored JOIN dealt{number} USING (shard) WHERE bucket != 0
+  WINDOW w AS (PARTITION BY pos % 2 ORDER BY pos, tubelet_start)
+  QUALIFY row_number() OVER w <= {REPLAY_CAP}),
+turns{number} AS (SELECT *, row // {REPLAY_BATCH} AS batch_id,
+  dense_rank() OVER (ORDER BY row // {REPLAY_BATCH}, worker) - 1 AS turn FROM rows{number})"""
+
+
+@query("replay_epochs", sql(*EM_WITH_LATENTS, EM_PSI, """
+scored AS (SELECT l.*, psi, 'shard_' || l.video_index AS shard, ('0x' || substr(
+    md5(l.factory_id || '_' || l.video_index), 1, 8))::UBIGINT % 10 AS bucket
+  FROM latents l JOIN em_psi p ON l.seq_id = p.seq_id AND l.start = p.start)""",
+    pass_sql(0, 42, f"video_index < {REPLAY_VIDEOS}"), f"""
+dry AS (SELECT max(turn) + 1 AS n FROM turns0),
+begun AS (SELECT 1 + n // {REPLAY_STEPS} + n % {REPLAY_STEPS} AS seed FROM dry)""",
+    pass_sql(1, "(SELECT seed FROM begun)", "TRUE"), f"""
+served AS (
+  SELECT 0 AS pass, 42 AS seed, turn AS served_at, * EXCLUDE (turn) FROM turns0
+  UNION ALL
+  SELECT 1, (SELECT seed FROM begun), turn + (SELECT n FROM dry), * EXCLUDE (turn) FROM turns1)""",
+    select=f"""
+SELECT CAST(1 + served_at // {REPLAY_STEPS} AS BIGINT) AS epoch, CAST(served_at % {REPLAY_STEPS} AS BIGINT) AS step,
+       CAST(pass AS BIGINT) AS pass, CAST(seed AS BIGINT) AS seed, worker, row, video_index, tubelet_start
+FROM served WHERE served_at < 2 * {REPLAY_STEPS}"""))
+def replay_epochs(spark, sf_dir):
+    """Two epochs of three steps; further videos land after the first, and the first pass, which does not
+    know them, runs dry inside the second."""
+    root = scratch_path(spark, "growing")
+    rows = materialize(latent_rows(spark, sf_dir), "rows")
+    keep = ["factory_id", "video_index", "tubelet_start"]
+    first = F.col("video_index") < REPLAY_VIDEOS
+    rows.where(first).write.parquet(root)
+    shard = F.concat(F.lit("shard_"), F.col("video_index").cast("string"))
+    replay = Replay(
+        spark, psi_from_payload(stream_latents(spark, root), EM_EPS, keep, SHAPE),
+        scratch_path(spark, "replay"), 0.0, steps_per_epoch(12, REPLAY_BATCH),
+        prepare=lambda scores: scores.withColumn("shard", shard), n_workers=2, cap=REPLAY_CAP,
+        batch_size=REPLAY_BATCH, shard="shard", row="tubelet_start")
+    epochs = [replay.next_epoch()]
+    rows.where(~first).write.mode("append").parquet(root)
+    epochs.append(replay.next_epoch())
+    return gather(epochs).select("epoch", "step", "pass", "seed", "worker", "row", "video_index",
+                                 "tubelet_start")
+
+
 TURN = ["conv_id", "turn"]
 
 
