@@ -56,14 +56,33 @@ def permute_payload(shape=LATENT_SHAPE):
     return permute
 
 
-def check_payload(df: DataFrame, shape=LATENT_SHAPE):
-    """Split rows into (well formed, quarantined) by payload length."""
-    expected = math.prod(shape) * FLOAT_BYTES
-    good = F.coalesce(F.octet_length("latent_bytes") == expected, F.lit(False))
-    return df.where(good), df.where(~good)
-
-
-def _frame_changes(buffer, shape):
+def payload_problem(shape=LATENT_SHAPE, payload="latent_bytes", dims=None, item_bytes=FLOAT_BYTES):
+    """What is wrong with a payload, null if nothing is: `missing`, `empty`, `rank`, `frames` (the first
+    extent), `channels` (the last one), `shape` (another one), or `length`, if the bytes do not
+    make up the shape exactly. An extent of None in `shape` may be any. `dims` names an array column with
+    the shape that a row states; without it the row is taken to have `shape` itself."""
+    if dims is None and None in shape:
+        raise ValueError("a shape with open extents needs the rows' own")
+    stated = F.col(dims) if dims else F.array(*[F.lit(n) for n in shape])
+    names = ["frames", *["shape"] * (len(shape) - 2), "channels"] if len(shape) > 1 else ["frames"]
+    size = F.aggregate(stated, F.lit(item_bytes).cast("long"), lambda n, extent: n * extent)
+    found = F.when(F.col(payload).isNull() | stated.isNull(), "missing").when(
+        F.size(stated) != len(shape), "rank").when(
+        (F.octet_length(payload) == 0) | F.exists(stated, lambda n: n <= 0), "empty")
+    for i in (0, len(shape) - 1, *range(1, len(shape) - 1)):  # the ends are named
+        if shape[i] is not None:
+            found = found.when(~F.get(stated, F.lit(i)).eqNullSafe(F.lit(shape[i])), names[i])
+    return found.when(~F.octet_length(payload).cast("long").eqNullSafe(size), "length")
+
+
+def check_payload(df: DataFrame, shape=LATENT_SHAPE, **options):
+    """Split rows into (well formed, quarantined with the `problem`), see `payload_problem`."""
+    checked = df.withColumn("problem", payload_problem(shape, **options))
+    return (checked.where(F.col("problem").isNull()).drop("problem"),
+            checked.where(F.col("problem").isNotNull()))
+
+
+def frame_changes(buffer, shape):
     """Mean absolute change of each frame against the one before, accumulated in double."""
     z = np.frombuffer(buffer, dtype=np.float32).reshape(shape[0], -1)
     step = np.empty_like(z[0])
@@ -75,6 +94,17 @@ def _frame_changes(buffer, shape):
     return changes
 
 
+def excess(changes, eps) -> float:
+    """The motion above `eps`, summed over a tubelet's frame changes."""
+    return float(np.maximum(0.0, changes - eps).sum())
+
+
+def huber_terms(pred, target, delta):
+    """The robust loss of each value."""
+    error = np.abs(pred - target)
+    return np.where(error <= delta, 0.5 * error ** 2, delta * (error - 0.5 * delta))
+
+
 def _reduce_payload(df, keep, fields, reducer):
     """Replace the payload by `reducer(buffer)`, one dict per row, keeping columns `keep`."""
     source = df.select(*keep, "latent_bytes")
@@ -96,13 +126,13 @@ def _reduce_payload(df, keep, fields, reducer):
 def frame_l1_from_payload(df: DataFrame, keep, shape=LATENT_SHAPE) -> DataFrame:
     """Columns `keep` plus `l1`, the array of per-frame changes (31 doubles per tubelet)."""
     fields = [T.StructField("l1", T.ArrayType(T.DoubleType()))]
-    return _reduce_payload(df, keep, fields, lambda b: {"l1": _frame_changes(b, shape)})
+    return _reduce_payload(df, keep, fields, lambda b: {"l1": frame_changes(b, shape)})
 
 
 def psi_from_payload(df: DataFrame, eps: float, keep, shape=LATENT_SHAPE) -> DataFrame:
     """Columns `keep` plus `psi`, the motion above `eps` summed over the tubelet."""
     def psi(buffer):
-        return {"psi": float(np.maximum(0.0, _frame_changes(buffer, shape) - eps).sum())}
+        return {"psi": excess(frame_changes(buffer, shape), eps)}
     return _reduce_payload(df, keep, [T.StructField("psi", T.DoubleType())], psi)
 
 

@@ -1,9 +1,9 @@
 """Functions registered for SQL: motion score, robust loss aggregate, archive members."""
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F, types as T
 
+from driftgate.functions.payload import excess, frame_changes, huber_terms
 from driftgate.sources.archives import list_members
 
 
@@ -13,19 +13,14 @@ def psi(payloads: pd.Series, frames: pd.Series, eps: pd.Series) -> pd.Series:
     def score(buffer, n, floor):
         if buffer is None:
             return None
-        z = np.frombuffer(buffer, dtype=np.float32).reshape(int(n), -1)
-        l1 = np.abs(z[1:] - z[:-1]).mean(axis=1, dtype=np.float64)
-        return float(np.maximum(0.0, l1 - floor).sum())
+        return excess(frame_changes(buffer, (int(n),)), floor)
     return pd.Series([score(*row) for row in zip(payloads, frames, eps)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def huber_mean(pred: pd.Series, target: pd.Series, delta: pd.Series) -> float:
     """Mean robust loss of a group of scalar predictions."""
-    error = (pred - target).abs()
-    quadratic = error <= delta
-    terms = np.where(quadratic, 0.5 * error ** 2, delta * (error - 0.5 * delta))
-    return float(terms.mean())
+    return float(huber_terms(pred.to_numpy(), target.to_numpy(), delta.to_numpy()).mean())
 
 
 MEMBER = T.StructType([T.StructField("member", T.StringType()),

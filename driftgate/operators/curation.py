@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftgate.functions.expressions import shuffle_key, split_bucket, split_name
 from driftgate.operators.ordering import first_n, index_rows
+from driftgate.operators.planning import take_quota
+from driftgate.session import materialize
 from driftgate.settings import BATCH_SIZE, SEED, TUBELETS_PER_EPOCH
 
 
@@ -39,17 +41,19 @@ def cap_per_worker(df: DataFrame, order, n=TUBELETS_PER_EPOCH, scope="per_worker
     if scope == "per_worker":
         return first_n(df, ["worker"], order, n, "row")
     if scope == "global":
-        return first_n(df, [], order, n, "row")
+        # No task sees more than a range of the rows, and at most n of them are numbered.
+        return index_rows(take_quota(df, n, order), [], order, "row", row_bound=n)
     raise ValueError(f"scope must be 'per_worker' or 'global', not {scope!r}")
 
 
 def with_batches(df: DataFrame, size=BATCH_SIZE, order=None) -> DataFrame:
     """Add `batch_id` within each worker; the last batch may be short.
 
-    Uses the positions of `cap_per_worker` when there, and numbers the rows otherwise.
+    Uses the positions of `cap_per_worker` when there, and numbers the rows otherwise: they are
+    written first, so that they are built once and counted by their footers.
     """
     if "row" not in df.columns:
-        df = index_rows(df, ["worker"], order, "row")
+        df = index_rows(materialize(df, "dealt-rows"), ["worker"], order, "row")
     return df.withColumn("batch_id", F.floor(F.col("row") / size).cast("long"))
 
 

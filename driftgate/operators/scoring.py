@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from driftgate.functions.expressions import silu
+from driftgate.functions.payload import huber_terms
 from driftgate.operators.frames import TUBELET
 from driftgate.settings import LATENT_SHAPE, SHIFT_PAIRS
 
@@ -177,9 +178,7 @@ def predict_array(z, weights: Weights, causal=True):
 
 
 def _huber_mean(pred, target, delta):
-    error = np.abs(pred - target)
-    terms = np.where(error <= delta, 0.5 * error ** 2, delta * (error - 0.5 * delta))
-    return float(terms.sum(axis=-1, dtype=np.float64).mean())
+    return float(huber_terms(pred, target, delta).sum(axis=-1, dtype=np.float64).mean())
 
 
 def score(latents: DataFrame, keep, delta: float, forward: Weights = None,

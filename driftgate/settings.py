@@ -3,7 +3,6 @@
 # --- fixed values -----------------------------------------------------------
 # Window geometry.
 TUBELET_RAW_FRAMES = 64
-TUBELET_LATENT_FRAMES = 32
 LATENT_SHAPE = (32, 24, 24, 768)
 TARGET_FPS = 4
 

@@ -10,8 +10,8 @@ from driftgate.plans.epoch import epoch_sample
 from driftgate.session import materialize
 from driftgate.sources.latents import read_latents
 from queries.fixtures import (
-    EM_FRAMES, EV_EPS, EV_PSI, EV_WITH_META, EV_WITH_PSI, SHAPE, ev_meta, ev_psi, latent_store,
-    r, table,
+    EM_FRAMES, EV_EPS, EV_PSI, EV_WITH_META, EV_WITH_PSI, SHAPE, ev_meta, ev_psi, latent_rows,
+    latent_store, r, table,
 )
 from queries.registry import query, sql
 
@@ -89,6 +89,28 @@ def payload_check(spark, sf_dir):
                                            F.sum(1 - F.col("ok")).alias("n_bad"))
 
 
+@query("payload_problems", sql(EM_FRAMES, """
+windows AS (SELECT seq_id, idx - idx % 8 AS start, count(*) AS n FROM em_frames
+            GROUP BY seq_id, idx - idx % 8)""", select="""
+SELECT CASE WHEN seq_id % 5 = 0 THEN 'missing' WHEN seq_id % 5 = 1 THEN 'rank'
+            WHEN start % 64 = 8 THEN 'empty' WHEN n != 8 THEN 'frames'
+            WHEN start % 64 = 16 THEN 'channels' WHEN start % 64 = 24 THEN 'length' ELSE 'none' END
+         AS problem, count(*) AS n FROM windows GROUP BY 1"""))
+def payload_problems(spark, sf_dir):
+    """Windows with the shape that each row states, of which some are made wrong."""
+    rows = latent_rows(spark, sf_dir, whole=False)
+    frames = (F.octet_length("latent_bytes") / 256).cast("int")
+    kind, place = F.col("video_index") % 5, F.col("tubelet_start") % 64
+    dims = F.when(kind == 1, F.array(frames)).when(place == 16, F.array(frames, F.lit(3))).otherwise(
+        F.array(frames, F.lit(64)))
+    payload = F.when(kind == 0, None).when(place == 8, F.lit(b"")).when(
+        place == 24, F.substring("latent_bytes", 1, 7)).otherwise(F.col("latent_bytes"))
+    rows = rows.withColumn("dims", dims).withColumn("latent_bytes", payload)
+    good, bad = check_payload(rows, SHAPE, dims="dims")
+    return good.withColumn("problem", F.lit("none")).unionByName(bad).groupBy("problem").agg(
+        F.count("*").alias("n"))
+
+
 @query("kinetic_gate", sql(*EV_WITH_PSI, select=f"""
 SELECT seq_id, start, round(psi, 6) AS psi FROM ev_psi WHERE NOT psi < {TAU}"""))
 def kinetic_gate(spark, sf_dir):

@@ -18,6 +18,7 @@ from driftgate.sources.latents import (
 )
 from driftgate.sources.shards import write_assigned_shards, write_shards
 from driftgate.sources.store import dedup_rows
+from driftgate.streaming.metrics import file_metrics
 from queries.evaluation import EM_WITH_PAIRS, PAIRS, SIGMAS, fold_sql
 from queries.fixtures import (
     DIM, EM, EM_EPS, EM_FRAMES, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
@@ -60,20 +61,40 @@ def psi_sql_function(spark, sf_dir):
         FROM latent_rows WHERE tag = 'iid_sample'""")
 
 
-@query("list_shards", """
-SELECT DISTINCT 'factory_' || (label % 4) AS factory_id, CAST(1 AS BIGINT) AS n_shards,
-       TRUE AS sized
-FROM embeddings""")
-def list_shards_query(spark, sf_dir):
-    """One shard per factory is written, then found again by listing."""
+BY_FACTORY = """
+factories AS (SELECT 'factory_' || (seq_id % 4) AS factory_id, count(*) AS n
+              FROM (SELECT DISTINCT seq_id, start FROM em_tub) GROUP BY seq_id % 4)"""
+
+
+def shards_by_factory(spark, sf_dir):
+    """A store with shards of up to three windows of one factory."""
     path = scratch_path(spark, "by-factory")
-    (latent_rows(spark, sf_dir).drop("latent_bytes").withColumn("by", F.col("factory_id"))
-     .repartition("by").write.partitionBy("by").parquet(path))
-    shards = list_shards(spark, path)
+    (latent_rows(spark, sf_dir).withColumn("by", F.col("factory_id")).repartition("by")
+     .write.partitionBy("by").option("maxRecordsPerFile", 3).parquet(path))
+    return path
+
+
+@query("list_shards", sql(*EM, BY_FACTORY, select="""
+SELECT factory_id, CAST(ceil(n / 3) AS BIGINT) AS n_shards, TRUE AS sized FROM factories"""))
+def list_shards_query(spark, sf_dir):
+    """Shards that are written, then found again by listing."""
+    shards = list_shards(spark, shards_by_factory(spark, sf_dir))
     return shards.groupBy(F.regexp_extract("path", "by=([^/]+)/", 1).alias("factory_id")).agg(
         F.count("*").alias("n_shards"), F.bool_and(F.col("length") > 0).alias("sized"))
 
 
+@query("file_metrics", sql(*EM, BY_FACTORY, select="""
+SELECT CAST(sum(ceil(n / 3)) + 1 AS BIGINT) AS n_files, CAST(sum(ceil(n / 3)) AS BIGINT) AS n_read,
+       0 AS n_partly, 1 AS n_skipped, CAST(sum(n) AS BIGINT) AS rows_read, 0 AS rows_lost
+FROM factories"""))
+def file_metrics_query(spark, sf_dir):
+    """Counters of a store with one unreadable shard."""
+    path = shards_by_factory(spark, sf_dir)
+    (table(spark, sf_dir, "nation").selectExpr("CAST(count(*) AS STRING) AS value")
+     .coalesce(1).write.mode("append").text(f"{path}/damaged"))
+    return file_metrics(spark, path, glob="part-*")
+
+
 MEMBERS_PER_ARCHIVE = 40
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.payload import (
     check_payload, decode_latent, encode_latent, frame_l1_from_payload, moments_from_payload,
-    psi_from_payload,
+    payload_problem, psi_from_payload,
 )
 from driftgate.functions.udfs import register
 from driftgate.operators.evaluation import merge_moments
@@ -273,3 +273,21 @@ def test_volatility_of_shifted_targets(spark):
                 np.sqrt(target.var(ddof=1) + 1e-8), rel=1e-9)
     with pytest.raises(ValueError):
         batch_volatility(batched, shape=SHAPE, pairs=4)
+
+
+def test_what_is_wrong_with_a_payload(spark):
+    eight = bytearray(8 * 4)
+    rows = [(eight, [2, 2, 2], None), (None, [2, 2, 2], "missing"), (eight, None, "missing"),
+            (bytearray(), [2, 2, 2], "empty"), (eight, [2, 0, 2], "empty"), (eight, [2, 4], "rank"),
+            (eight, [1, 4, 2], "frames"), (eight, [2, 1, 4], "channels"), (eight, [2, 9, 2], "length"),
+            (bytearray(31), [2, 2, 2], "length"), (bytearray(5 * 16), [2, 5, 2], None),
+            (eight, [2, None, 2], "length")]
+    df = spark.createDataFrame(rows, "latent_bytes binary, dims array<int>, want string")
+    found = df.select("want", payload_problem((2, None, 2), dims="dims").alias("got")).collect()
+    assert [x.got for x in found] == [x.want for x in found]
+    fixed = spark.createDataFrame([(eight, 2), (bytearray(9), 3)], "latent_bytes binary, want int")
+    good, bad = check_payload(fixed, (2, 4))
+    assert good.columns == fixed.columns and [x.want for x in good.collect()] == [2]
+    assert [(x.want, x.problem) for x in bad.collect()] == [(3, "length")]
+    with pytest.raises(ValueError):
+        payload_problem((2, None))
