@@ -12,14 +12,15 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from driftgate.llm.common import shielded, text_or_empty
+from driftgate.llm.common import log2_ceil, shielded, text_or_empty
 from driftgate.operators.ordering import index_rows
 from driftgate.session import materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK_WORDS = 1 << 18
-SHARDS_LOG2 = 3
+#: Words of an output shard, at most about: some 1 GB of text.
+SHARD_WORDS = 1 << 27
 SEED = 11
 
 
@@ -88,7 +89,7 @@ def _draw(total, own, room, salt):
     return f"{down}.x"
 
 
-def split_quotas(quotas: DataFrame, shards_log2=SHARDS_LOG2, seed=SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards_log2, seed=SEED) -> DataFrame:
     """(idx, quota) of all sources -> (shard, idx, quota): exact splits whose shards have equal
     totals to within one block. The table has one row per source, the tree one node per shard.
     """
@@ -118,10 +119,11 @@ def split_quotas(quotas: DataFrame, shards_log2=SHARDS_LOG2, seed=SEED) -> DataF
 
 def plan_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
              weights=WEIGHTS, max_repeats=MAX_REPEATS, block_words=BLOCK_WORDS,
-             shards_log2=SHARDS_LOG2, seed=SEED) -> DataFrame:
+             shard_words=SHARD_WORDS, seed=SEED) -> DataFrame:
     """One row per document: the id, size, source, source_size, target, copies, shards, taken.
 
-    `shards` has the output shard of each copy that is taken. Every source's copies add up to its
+    `shards` has the output shard of each copy that is taken. Their number is the power of two that
+    brings a shard to `shard_words` or less. Every source's copies add up to its
     target to within a part of a document. Null texts have size 0; null is a source of its own, the
     last. Rows that repeat an id are documents of their own. Reruns agree: every choice is a hash of
     the seed with the id, the size and the text's hash, never of the partitioning.
@@ -139,6 +141,8 @@ def plan_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
         F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = materialize(sources.withColumn(
         "_part", F.col("target") - F.col("_whole") * F.col("source_size")), "targets")
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    shards_log2 = log2_ceil(words / shard_words)
     rows = (sized.withColumnRenamed("source", "_source").join(
         sources, F.col("_source").eqNullSafe(F.col("source")))
         .withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("_blocks"))))
