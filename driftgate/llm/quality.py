@@ -110,6 +110,11 @@ def _labels(labels, id_col):
                 F.max(F.when(toxic == 1, 1).otherwise(0)).alias("_toxic")))
 
 
+def _kind(df, column):
+    """A column's type as text: ids may be of any."""
+    return df.schema[column].dataType.simpleString()
+
+
 def _sketch(words):
     """Eight minima of hashed word triples: near copies share at least one of them."""
     digest = xxhash.xxh64_intdigest
@@ -155,7 +160,8 @@ def toxic_terms(docs, labels, id_col, text_col, rows=LABELLED_ROWS) -> dict:
     joined = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_utf8")).join(
         F.broadcast(sample), "_id")
     found = materialize(joined.select("_id", "_toxic", "_utf8").mapInArrow(
-        _term_rows, "id long, toxic int, terms array<string>, sketch array<long>"), "terms")
+        _term_rows, f"id {_kind(joined, '_id')}, toxic int, terms array<string>, "
+                    "sketch array<long>").dropDuplicates(["id"]), "terms")
     sketches = {r.id: r.sketch for r in found.where("toxic = 1").select("id", "sketch").collect()}
     families = _families(sketches)
     clean = found.where("toxic = 0").count()
@@ -303,9 +309,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     spark = docs.sparkSession
     people = materialize(_labels(labels, id_col), "labels")
     base = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_utf8"))
+    kind = _kind(base, "_id")
     terms = toxic_terms(docs, people, id_col, text_col, labelled_rows)
-    votes = materialize(base.mapInArrow(lambda b: _vote_rows(b, terms), "_id long, _votes array<int>"),
-                        "votes")
+    votes = materialize(base.mapInArrow(lambda b: _vote_rows(b, terms),
+                                        f"_id {kind}, _votes array<int>"), "votes")
     voted = votes.join(people.select("_id", "_bad"), "_id", "left").withColumn(
         "_human", F.coalesce("_bad", F.lit(-1))).withColumn(
         "_pattern", _packed(F.col("_votes"), F.col("_human")))
@@ -323,15 +330,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     side = [judged.where(c).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id")
             .limit(training_rows // 2) for c in ("_posterior >= 0.5", "_posterior < 0.5")]
     sample = materialize(side[0].unionByName(side[1]).select("_id", "_posterior"), "training")
-    features = base.join(F.broadcast(sample), "_id").select("_id", "_utf8", "_posterior").mapInArrow(
+    # Of rows that repeat an id one text teaches, so the sample stays as small as it was drawn.
+    chosen = base.join(F.broadcast(sample), "_id").groupBy("_id").agg(
+        F.min("_utf8").alias("_utf8"), F.first("_posterior").alias("_posterior"))
+    features = chosen.mapInArrow(
         lambda b: _feature_rows(b, terms),
-        "_id long, hashed array<long>, dense array<double>, label double")
+        f"_id {kind}, hashed array<long>, dense array<double>, label double")
     training = [(np.array(r.hashed, np.int64), np.array(r.dense), r.label) for r in
                 features.orderBy(F.xxhash64("_id"), "label", "hashed").toLocalIterator()]
     words, dense = fit_scorer(training) if training else (
         np.zeros(1 << HASH_BITS), np.zeros(1 + 3 * len(LABELLERS)))
     shared = spark.sparkContext.broadcast((terms, words.astype(np.float32), dense))
-    scored = base.mapInArrow(lambda b: _score_rows(b, *shared.value), "_id long, _score double")
+    scored = base.mapInArrow(lambda b: _score_rows(b, *shared.value), f"_id {kind}, _score double")
     # The posterior belongs to a row's votes; rows that repeat an id take the worst of theirs.
     worst = judged.groupBy("_id").agg(F.max("_posterior").alias("posterior"),
                                       F.max("_human").alias("_human"))

@@ -143,6 +143,24 @@ def test_quality(docs, none, labels):
     assert quality.score_documents(docs, labels.limit(0)).count() == 11
 
 
+def test_quality_with_ids_of_text(spark):
+    """Ids of any type; ids that repeat, in documents and labels, do not enlarge the samples."""
+    good = [(f"d{i % 40}", f"the quick brown fox number {i} jumps over a lazy dog again", 1, 0)
+            for i in range(60)]
+    bad = [(f"b{i}", "BUY NOW!!! $$$ " * 30, 0, 0) for i in range(20)]
+    rows = [(i, t, "x") for i, t, *_ in good + bad] + [(None, "nobody's text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, score string").repartition(3)
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in good + bad[:10]] + [(None, 1, 0)],
+                                   "doc_id string, quality int, toxic int")
+    got = quality.score_documents(docs, labels).collect()
+    assert len(got) == 81 and {type(r.doc_id) for r in got} == {str, type(None)}
+    kept = {r.doc_id for r in got if r.keep}
+    assert sum(r.keep for r in got if (r.doc_id or "").startswith("b")) == 0
+    assert len([i for i in kept if i and i.startswith("d")]) == 40
+    left = quality.keep_good(docs, labels)
+    assert left.columns == docs.columns and left.count() == sum(r.keep for r in got)
+
+
 def test_licenses(docs, none):
     found = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert found[1].n_lines == 0 and found[2].n_lines == 1 and found[6].license is None
