@@ -422,3 +422,35 @@ def digest(found: DataFrame, id_col="doc_id") -> DataFrame:
         id_col, F.col("n_lines").cast("long").alias("n_lines"),
         F.size("removed").cast("long").alias("n_removed"),
         F.concat_ws(",", F.transform("removed", lambda n: n.cast("string"))).alias("removed_lines"))
+
+
+# Letters and digits and all beyond ASCII make words; the similarity is 4/5.
+SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+sets AS (
+  SELECT doc_id, line, doc_id * 10000000 + line AS place, list_sort(list_distinct(
+    regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w FROM lines),
+classes AS (SELECT w, len(w) AS n, min(place) AS first, row_number() OVER () AS c
+            FROM sets WHERE len(w) > 0 GROUP BY w),
+words AS (SELECT c, n, first, unnest(w) AS word FROM classes),
+often AS (SELECT word, count(*) AS f FROM words GROUP BY word),
+prefixes AS (
+  SELECT c, n, first, word FROM words JOIN often USING (word)
+  QUALIFY row_number() OVER (PARTITION BY c ORDER BY f, word) <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT b.c AS later, a.c AS earlier FROM prefixes a JOIN prefixes b
+          ON a.word = b.word AND a.first < b.first AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+matched AS (
+  SELECT DISTINCT later FROM pairs JOIN classes x ON x.c = later JOIN classes y ON y.c = earlier
+  WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+gone AS (
+  SELECT s.doc_id, s.line FROM sets s JOIN classes k ON s.w = k.w
+  WHERE s.place != k.first OR k.c IN (SELECT later FROM matched)),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS l
+           FROM gone GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(l.n, 0) AS n_removed,
+       coalesce(l.l, '') AS removed_lines
+FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id"""

@@ -54,7 +54,7 @@ def op5(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-@_query("op6_line_dedup")
+@_query("op6_line_dedup", line_dedup.SQL)
 def op6(spark, sf_dir):
     return line_dedup.digest(line_dedup.removed_lines(_table(spark, sf_dir, "documents")))
 
