@@ -173,7 +173,8 @@ def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
 
     Only keys and sizes take part; attach payloads by address afterwards.
     """
-    rows = index_rows(df, writer, order, "_row").withColumn(
+    total = df.count()
+    rows = index_rows(df, writer, order, "_row", row_bound=total).withColumn(
         "_block", F.floor(F.col("_row") / block_rows).cast("long"))
     sizes = rows.select(*writer, "_block", "_row", F.col(size).cast("long").alias("_size"))
     keyed = [df.schema[c] for c in writer] + [T.StructField("_block", T.LongType())]
@@ -181,11 +182,10 @@ def assign_shards(df: DataFrame, writer, order, size, max_bytes=SHARD_BYTES,
     def with_longs(*names):
         return T.StructType(keyed + [T.StructField(n, T.LongType()) for n in names])
 
-    outcomes = materialize(sizes.groupBy(*writer, "_block").applyInPandas(
-        lambda pdf: _block_outcomes(pdf, writer, max_bytes),
-        with_longs("need", "closed", "carry")), "block-outcomes")
-    last = outcomes.agg(F.max("_block")).first()[0]
-    entries = _inherited(outcomes, writer, max_bytes, fan, (last or 0) + 1, with_longs)
+    outcomes = sizes.groupBy(*writer, "_block").applyInPandas(
+        lambda pdf: _block_outcomes(pdf, writer, max_bytes), with_longs("need", "closed", "carry"))
+    # No writer has more blocks than this.
+    entries = _inherited(outcomes, writer, max_bytes, fan, -(-total // block_rows), with_longs)
 
     # Same key as the grouping that follows, compared as a struct so null writers match.
     key = F.struct(*writer, "_block")
@@ -233,14 +233,15 @@ def _inherited(outcomes, writer, limit, fan, blocks, with_longs):
     """Bytes in the open shard and its number at the start of each block. Nodes of `fan` blocks are
     composed, what the nodes inherit is found in the same way, and handed down inside each node. No
     task holds more than the outcomes of a node."""
+    deep = blocks > fan
+    outcomes = materialize(outcomes, "block-outcomes") if deep else outcomes
     above = outcomes.withColumn("_node", F.floor(F.col("_block") / fan).cast("long"))
-    if blocks <= fan:
+    if not deep:
         start = above.withColumns({"_carry": F.lit(0).cast("long"), "_first": F.lit(0).cast("long")})
     else:
         composed = above.groupBy(*writer, "_node").applyInPandas(
             lambda pdf: _compose_blocks(pdf, writer, limit), with_longs("need", "closed", "carry"))
-        nodes = _inherited(materialize(composed, "block-outcomes"), writer, limit, fan,
-                           -(-blocks // fan), with_longs)
+        nodes = _inherited(composed, writer, limit, fan, -(-blocks // fan), with_longs)
         node = F.struct(*writer, F.col("_block").alias("_node"))
         start = above.withColumn("_k", F.struct(*writer, "_node")).join(
             nodes.select(node.alias("_k"), "_carry", "_first"), "_k").drop("_k")
