@@ -35,7 +35,8 @@ def frame_changes(latents: DataFrame, shape=LATENT_SHAPE, tag=SAMPLE_TAG) -> Dat
 
 
 def scores(changes: DataFrame, eps) -> DataFrame:
-    """Motion score of each tubelet from its stored frame changes."""
+    """Motion score of each tubelet from its stored frame changes above `eps`, a number or a column."""
+    eps = F.lit(float(eps)) if isinstance(eps, (int, float)) else eps
     # The floor may be a scalar subquery, which a lambda cannot contain: name it first.
     named = changes.withColumn("_eps", eps)
     return named.withColumn("psi", excess_sum(F.col("l1"), F.col("_eps"))).drop("l1", "_eps")

@@ -9,7 +9,7 @@ from driftgate.functions.payload import decode_latent, encode_latent, psi_from_p
 from driftgate.functions.udfs import register
 from driftgate.operators.evaluation import adaptive_delta
 from driftgate.operators.planning import assign_shards
-from driftgate.plans.epoch import epoch_payloads, epoch_sample
+from driftgate.plans.epoch import epoch_payloads, epoch_sample, store_epoch
 from driftgate.plans.evaluate import batch_volatility
 from driftgate.session import materialize, scratch_path
 from driftgate.sources.archives import create_shared, explode_archives
@@ -294,3 +294,16 @@ def epoch_sample_tags(spark, sf_dir):
     sample = epoch_sample(scored.where("video_index % 3 != 1"), 0.1, "train", 42, 2, 100, 8, "shard",
                           "tubelet_start", listing=scored.select("shard"))
     return sample.select("video_index", "tubelet_start", "tag", "worker", "row", "batch_id")
+
+
+@query("store_epoch", sql(*EM_WITH_LATENTS, EM_PSI, LISTED, select="""
+SELECT video_index, tubelet_start, tag, (SELECT count(*) FROM shards) AS n_shards
+FROM latent_psi WHERE bucket != 0 AND NOT psi < 0.1"""))
+def store_epoch_query(spark, sf_dir):
+    """An epoch over a store: its listed shards, one per video, are dealt, also those that lose all rows."""
+    root = scratch_path(spark, "by-video")
+    (latent_rows(spark, sf_dir).withColumn("by", F.col("video_index")).repartition("by")
+     .write.partitionBy("by").parquet(root))
+    epoch = store_epoch(spark, root, EM_EPS, 0.1, shape=SHAPE, n_workers=2, cap=1_000_000)
+    listed = list_shards(spark, root).agg(F.count("*").alias("n_shards"))
+    return epoch.select("video_index", "tubelet_start", "tag").withColumn("n_shards", listed.scalar())
