@@ -33,11 +33,10 @@ def drop_leaks(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Draw the sources to their target weights; a document taken twice is there twice."""
+    """Draw the sources to their target weights; a document taken twice is there twice. The next
+    stage writes in the order of ids, so the shards' order is not made."""
     ship(spark)
-    mixed = mixing.mix(docs)
-    return mixed.repartition("shard").sortWithinPartitions("shard", "shard_order").select(
-        *docs.columns)
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def write_tokens(spark, docs, sf_dir):
