@@ -18,6 +18,11 @@ FLOAT_BYTES = 4
 SLICE = 1 << 20
 
 
+def payload_size(shape=LATENT_SHAPE) -> int:
+    """Bytes of a payload: what scans of payloads are bounded by."""
+    return math.prod(shape) * FLOAT_BYTES
+
+
 @F.pandas_udf(T.BinaryType())
 def encode_latent(vectors: pd.Series) -> pd.Series:
     """Numeric arrays to float32 bytes."""

@@ -1,17 +1,15 @@
 """Full calibration: noise floor and gate from a latent table, with one payload pass."""
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from driftgate.functions.expressions import excess_sum
-from driftgate.functions.payload import FLOAT_BYTES, frame_l1_from_payload
+from driftgate.functions.payload import frame_l1_from_payload
 from driftgate.operators.calibration import (
     calibration_record, converge_by_file, converge_by_row, epsilon, fetch_rows, file_checks,
     most_static, psi_stats, stats_at_stop, tau, tau_checkpoints,
 )
 from driftgate.schema import LATENT_KEYS, ROW_ADDRESS
-from driftgate.session import materialize, payload_scan
+from driftgate.session import materialize
 from driftgate.settings import (
     CHECKPOINT_STEP, CONVERGENCE_TOLERANCE, FILE_STOP_PATIENCE, LATENT_SHAPE,
     ROW_STOP_MIN_SAMPLES, SAMPLE_TAG, STATIC_TARGET,
@@ -25,13 +23,12 @@ def frame_changes(latents: DataFrame, shape=LATENT_SHAPE, tag=SAMPLE_TAG) -> Dat
 
     The payload is read here and nowhere else: noise floor, scores, gate and every later
     recalibration need only these doubles. The tag filter reaches the scan; `tag=None` takes rows
-    of every tag, as an epoch over the whole store needs.
+    of every tag, as an epoch over the whole store needs. Read `latents` with `payload_bytes`, so that
+    batches are bounded.
     """
     narrow = [*LATENT_KEYS, "tag", "m_flow", *ROW_ADDRESS]
     tagged = latents if tag is None else only_tag(latents, tag)
-    changes = frame_l1_from_payload(with_address(tagged), narrow, shape)
-    with payload_scan(latents.sparkSession, math.prod(shape) * FLOAT_BYTES):
-        return materialize(changes, "frame-changes")
+    return materialize(frame_l1_from_payload(with_address(tagged), narrow, shape), "frame-changes")
 
 
 def scores(changes: DataFrame, eps) -> DataFrame:

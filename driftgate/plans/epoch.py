@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from driftgate.functions.payload import permute_payload
+from driftgate.functions.payload import payload_size, permute_payload
 from driftgate.operators.curation import (
     assign_workers, cap_per_worker, kinetic_gate, with_batches, with_split,
 )
@@ -38,7 +38,8 @@ def store_epoch(spark, root, eps, tau, changes: DataFrame = None, shape=LATENT_S
     as `epoch_sample` does with `options`. `changes` are the stored frame changes of every tag
     (`frame_changes` with `tag=None`), which are made here if they are not given."""
     if changes is None:
-        changes = frame_changes(read_latents(spark, root), shape, tag=None)
+        changes = frame_changes(
+            read_latents(spark, root, payload_bytes=payload_size(shape)), shape, tag=None)
     listing = list_shards(spark, root).select(F.col("path").alias("file_path"))
     return epoch_sample(scores(changes, eps), tau, listing=listing, **options)
 
@@ -53,5 +54,5 @@ def epoch_payloads(sample: DataFrame, shape=LATENT_SHAPE) -> DataFrame:
     place = ["worker", "row", "batch_id"]
     known = [c for c in LATENT_KEYS if c in sample.columns]
     stored = materialize(sample.select(*ROW_ADDRESS, *place, *known), "epoch-sample")
-    rows = fetch_payloads(stored, place)
+    rows = fetch_payloads(stored, place, payload_bytes=payload_size(shape))
     return rows.withColumn("latent_bytes", permute_payload(shape)("latent_bytes"))

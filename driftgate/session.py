@@ -4,7 +4,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -66,9 +65,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage, survives the loss of executors, and leaves a columnar table whose row
     count costs only a footer read.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = home_session(df.sparkSession)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -76,17 +76,30 @@ def broadcast_bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-@contextmanager
-def payload_scan(spark: SparkSession, payload_bytes: int):
-    """Read few enough payload rows at a time that a batch stays near 256 MiB. Holds for
-    the actions inside the block. Arrow batches are bounded in bytes by Spark itself."""
+def payload_session(spark: SparkSession, payload_bytes) -> SparkSession:
+    """A session whose scans read few enough rows at a time that a batch stays near 256 MiB.
+
+    A scan keeps the session it was made in, whatever joins and jobs it later goes into, so the bound
+    travels with it, and `spark`'s other scans do not have it. `payload_bytes` is the size of a row, or None
+    for the usual batches. Arrow batches are bounded in bytes by Spark itself.
+    """
     key = "spark.sql.parquet.columnarReaderBatchSize"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, min(int(before), BATCH_BYTES // payload_bytes))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    home = home_session(spark)
+    if payload_bytes is None:
+        return home
+    rows = max(1, min(int(home.conf.get(key)), BATCH_BYTES // payload_bytes))
+    session = home.newSession()
+    for name, value in home.conf.getAll.items():
+        if home.conf.isModifiable(name):
+            session.conf.set(name, value)
+    session.conf.set(key, str(rows))
+    session._driftgate_home = home
+    return session
+
+
+def home_session(spark: SparkSession) -> SparkSession:
+    """The session that a payload session was made from; any other as it is."""
+    return getattr(spark, "_driftgate_home", spark)
 
 
 def payload_write_options() -> dict:

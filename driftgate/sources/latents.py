@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.schema import LATENT, LATENT_KEYS, ROW_ADDRESS
-from driftgate.session import broadcast_bounded
+from driftgate.session import broadcast_bounded, payload_session
 from driftgate.settings import (
     MAX_BROADCAST_ROWS, MAX_PUSHED_KEYS, MAX_PUSHED_SCANS, UNKNOWN, UNKNOWN_INDEX, UNMEASURED_FLOW,
 )
@@ -15,14 +15,17 @@ from driftgate.settings import (
 SHARDS = "*.parquet"
 
 
-def read_latents(spark: SparkSession, root, on_error="raise", glob=SHARDS,
-                 schema=LATENT) -> DataFrame:
+def read_latents(spark: SparkSession, root, on_error="raise", glob=SHARDS, schema=LATENT,
+                 payload_bytes=None) -> DataFrame:
     """All shards below `root` (a path or a list of files), with the fixed schema.
 
+    Give `payload_bytes`, the size of a payload, where payloads are read: batches of the scan are then
+    bounded (`payload_session`). Narrow scans are better off without.
+
     `on_error="skip"` passes over shards that cannot be read; `skipped_shards` names them.
     """
-    reader = (spark.read.schema(schema).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", glob))
+    reader = (payload_session(spark, payload_bytes).read.schema(schema)
+              .option("recursiveFileLookup", True).option("pathGlobFilter", glob))
     if on_error == "skip":
         reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     elif on_error != "raise":
@@ -71,7 +74,8 @@ def scan_motion(latents: DataFrame, motion="m_flow", tag="tag", keep=()) -> Data
 
 
 def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT, keys=LATENT_KEYS,
-                   max_rows=MAX_BROADCAST_ROWS, max_pushed=MAX_PUSHED_KEYS) -> DataFrame:
+                   max_rows=MAX_BROADCAST_ROWS, max_pushed=MAX_PUSHED_KEYS,
+                   payload_bytes=None) -> DataFrame:
     """Full rows at the addresses of `winners`, opening only the shards that hold one, with
     the columns `keep` of `winners` added. Store `winners` first: it is read several times.
 
@@ -80,8 +84,9 @@ def fetch_payloads(winners: DataFrame, keep=(), schema=LATENT, keys=LATENT_KEYS,
     its own broadcast. Where `winners` has the identity `keys` and is not too large, a group is cut to
     `max_pushed` rows and its identities are pushed into the scan, which then skips the row groups
     that hold none by their statistics and Bloom filters (see `payload_write_options`).
+    `payload_bytes` as in `read_latents`.
     """
-    spark = winners.sparkSession
+    spark = payload_session(winners.sparkSession, payload_bytes)
     per_file, hashes = {}, {}
     for file, value, n in winners.groupBy("file_path", F.xxhash64("file_path")).count().collect():
         per_file[file], hashes[file] = n, value

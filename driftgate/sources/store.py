@@ -85,9 +85,10 @@ def pick_rows(narrow: DataFrame, order, keys=LATENT_KEYS) -> DataFrame:
                  [*order, *[c for c in ROW_ADDRESS if c not in order]], keys)
 
 
-def dedup_rows(scan: DataFrame, order, keys=LATENT_KEYS, schema=LATENT) -> DataFrame:
+def dedup_rows(scan: DataFrame, order, keys=LATENT_KEYS, schema=LATENT,
+               payload_bytes=None) -> DataFrame:
     """A scan of shards with one row per identity, the first in `order`. It is settled on keys and row
     addresses, which alone are exchanged; payloads stay in the tasks that read them."""
     columns = [c for c in dict.fromkeys([*keys, *order]) if c not in ROW_ADDRESS]
     picked = materialize(pick_rows(with_address(scan.select(*columns)), order, keys), "picked-rows")
-    return fetch_payloads(picked, schema=schema, keys=keys).drop(*ROW_ADDRESS)
+    return fetch_payloads(picked, schema=schema, keys=keys, payload_bytes=payload_bytes).drop(*ROW_ADDRESS)

@@ -13,7 +13,7 @@ from driftgate.sources.store import (
 
 
 def dedup_stream(stream: DataFrame, store, checkpoint, order, keys=LATENT_KEYS,
-                 stored: DataFrame = None, buckets=STORE_BUCKETS) -> None:
+                 stored: DataFrame = None, buckets=STORE_BUCKETS, payload_bytes=None) -> None:
     """Append the new identities of a stream of shards to the store at `store`.
 
     `stream` is a file stream, or columns and rows chosen from one. Only keys, order and row addresses
@@ -33,7 +33,7 @@ def dedup_stream(stream: DataFrame, store, checkpoint, order, keys=LATENT_KEYS,
             new = todo(new, stored, keys)
         new = materialize(new.withColumn(IDENTITY, identity(*keys)), "new-identities")
         new = materialize(not_stored(new, table, batch_id), "new-rows")
-        rows = fetch_payloads(new, schema=schema, keys=keys)
+        rows = fetch_payloads(new, schema=schema, keys=keys, payload_bytes=payload_bytes)
         write_batch(rows.withColumn(IDENTITY, identity(*keys)), table, batch_id)
 
     (narrow.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

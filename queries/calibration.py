@@ -18,7 +18,7 @@ from driftgate.sources.latents import (
 from queries.fixtures import (
     EM_EPS, EM_WITH_L1, EM_WITH_LATENTS, EM_WITH_PSI, EV, EV_EPS, EV_FRAMES, EV_WITH_L1,
     EV_WITH_META, EV_WITH_PSI, SAMPLED, SHAPE, W, em_l1, ev_frames, ev_l1, ev_meta, ev_psi,
-    ev_tubelets, latent_store, r, rows, table,
+    ev_tubelets, latent_store, payload_rows, r, rows, table,
 )
 from queries.registry import query, sql
 
@@ -276,7 +276,7 @@ SELECT round(max(epsilon), 4) AS epsilon_noise_floor,
        max(n) AS samples_used_for_epsilon, count(*) AS samples_used_for_tau,
        {PSI_STATS.replace(', 6)', ', 4)')} FROM sampled, eps"""))
 def calibration_roundtrip(spark, sf_dir):
-    latents = read_latents(spark, latent_store(spark, sf_dir))
+    latents = payload_rows(spark, sf_dir)
     record = calibrate(frame_changes(latents, SHAPE), n_static=20)
     path = scratch_path(spark, "calibration")
     write_calibration(record, path)
@@ -427,7 +427,7 @@ def stopped_sql(policy):
 @query("calibration_stopped", " UNION ALL ".join(map(stopped_sql, ("exact", "row", "file"))))
 def calibration_stopped(spark, sf_dir):
     """The record of each stop policy from one pass over the payloads; a shard per video."""
-    latents = read_latents(spark, latent_store(spark, sf_dir))
+    latents = payload_rows(spark, sf_dir)
     shard = F.format_string("shard_%06d", "video_index")
     changes = materialize(frame_changes(latents, SHAPE, tag=None).withColumns(
         {"file_path": shard, "row_index": F.col("tubelet_start").cast("long"), "tag": F.lit("all")}),

@@ -9,13 +9,14 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from driftgate.functions.payload import encode_latent
+from driftgate.functions.payload import encode_latent, payload_size
 from driftgate.operators.frames import (
     TUBELET, frame_diff, frame_l1, psi, tubelets,
 )
 from driftgate.operators.ordering import index_rows
 from driftgate.schema import LATENT
 from driftgate.session import scratch_path
+from driftgate.sources.latents import read_latents
 
 W = 8
 DIM = 64
@@ -176,6 +177,11 @@ def latent_store(spark, sf_dir, whole=True):
     return path
 
 
+def payload_rows(spark, sf_dir):
+    """The store's rows for reading payloads: batches bounded by the size of one."""
+    return read_latents(spark, latent_store(spark, sf_dir), payload_bytes=payload_size(SHAPE))
+
+
 LATENTS = """latents AS (
   SELECT 'factory_' || (w.seq_id % 4) AS factory_id, 'worker_' || w.seq_id AS worker_id,
          CAST(w.seq_id AS INTEGER) AS video_index, CAST(w.start AS INTEGER) AS tubelet_start,

@@ -21,7 +21,8 @@ from driftgate.sources.store import dedup_rows
 from driftgate.streaming.metrics import file_metrics
 from queries.evaluation import EM_WITH_PAIRS, PAIRS, SIGMAS, fold_sql
 from queries.fixtures import (
-    DIM, EM, EM_EPS, EM_FRAMES, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store, r, table,
+    DIM, EM, EM_EPS, EM_FRAMES, EM_PSI, EM_WITH_LATENTS, SHAPE, W, latent_rows, latent_store,
+    payload_rows, r, table,
 )
 from queries.registry import query, sql
 
@@ -46,7 +47,7 @@ def codec_roundtrip(spark, sf_dir):
 
 @query("payload_psi", SAMPLED_PSI)
 def payload_psi(spark, sf_dir):
-    latents = only_tag(read_latents(spark, latent_store(spark, sf_dir)), "iid_sample")
+    latents = only_tag(payload_rows(spark, sf_dir), "iid_sample")
     return psi_from_payload(latents, EM_EPS, ["video_index", "tubelet_start"], SHAPE).withColumn(
         "psi", r("psi", 4))
 
@@ -214,7 +215,7 @@ WHERE tag = 'iid_sample' AND NOT psi < 0.1 AND ('0x' || substr(
 def epoch_payloads_query(spark, sf_dir):
     """Scores first, then one epoch on keys, then only the kept payloads, channel-major:
     the first values are one channel over time."""
-    latents = only_tag(read_latents(spark, latent_store(spark, sf_dir)), "iid_sample")
+    latents = only_tag(payload_rows(spark, sf_dir), "iid_sample")
     keep = ["factory_id", "video_index", "file_path", "row_index"]
     scored = materialize(psi_from_payload(with_address(latents), EM_EPS, keep, SHAPE), "psi")
     sample = epoch_sample(scored, 0.1, n_workers=2)
@@ -250,7 +251,7 @@ def dedup_payloads(spark, sf_dir):
 
 def payload_sigmas(spark, sf_dir):
     """Two windows of a video to a batch, as in the column form."""
-    latents = read_latents(spark, latent_store(spark, sf_dir)).select(
+    latents = payload_rows(spark, sf_dir).select(
         F.col("video_index").cast("long").alias("run"),
         F.floor(F.col("tubelet_start") / 16).alias("step"), "latent_bytes")
     return batch_volatility(latents, ["run", "step"], SHAPE, PAIRS)
@@ -287,7 +288,7 @@ WINDOW w AS (PARTITION BY pos % 2 ORDER BY pos, tubelet_start)
 QUALIFY row_number() OVER w <= 100"""))
 def epoch_sample_tags(spark, sf_dir):
     """Rows of every tag; the shards of a third of the videos are listed but lose all rows."""
-    latents = read_latents(spark, latent_store(spark, sf_dir))
+    latents = payload_rows(spark, sf_dir)
     keep = ["factory_id", "video_index", "tubelet_start", "tag"]
     scored = materialize(psi_from_payload(latents, EM_EPS, keep, SHAPE), "psi").withColumn(
         "shard", F.concat(F.lit("shard_"), F.col("video_index").cast("string")))

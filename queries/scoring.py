@@ -11,10 +11,9 @@ from driftgate.operators import scoring as S
 from driftgate.operators.frames import channels_first, flow_magnitude, frame_diff, prefilter_motion
 from driftgate.operators.evaluation import eval_summary
 from driftgate.settings import CHANNEL_MEAN, CHANNEL_STD
-from driftgate.sources.latents import read_latents
 from queries.evaluation import DELTA, EM_WITH_PAIRS, HUBER, LOSSES, PAIRS
 from queries.fixtures import (
-    EM, EV_WITH_L1, W, em_tubelets, ev_tubelets, latent_store, r, table,
+    EM, EV_WITH_L1, W, em_tubelets, ev_tubelets, payload_rows, r, table,
 )
 from queries.registry import query, sql
 
@@ -225,7 +224,7 @@ def score_predictor(spark, sf_dir):
 
 
 def scored_summary(spark, sf_dir, forward=None, backward=None):
-    latents = read_latents(spark, latent_store(spark, sf_dir)).withColumn(
+    latents = payload_rows(spark, sf_dir).withColumn(
         "step", F.floor(F.col("tubelet_start") / 16)).where(F.col("step") < 10)
     losses = S.score(latents, ["step"], DELTA, forward, backward, TENSOR, PAIRS)
     per_step = losses.groupBy("step", "direction").agg(F.avg("loss").alias("loss"))

@@ -2,7 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgate import session as S
+from driftgate.functions.payload import (
+    frame_l1_from_payload, moments_from_payload, payload_size, psi_from_payload,
+    target_moments_from_payload,
+)
 from driftgate.operators.calibration import fetch_rows, most_static
+from driftgate.operators.scoring import score
 from driftgate.plans.epoch import epoch_payloads
 from driftgate.sources.latents import fetch_payloads, read_latents, scan_motion, with_address
 from tests.test_payload import SHAPE, SIZE, latent_rows, tensors
@@ -37,14 +42,65 @@ def test_written_table_keeps_rows_and_schema(spark):
     assert back.dtypes == df.dtypes and back.count() == 5
 
 
-def test_payload_scan_limits_rows_and_restores(spark):
+def test_payload_session(spark):
     key = "spark.sql.parquet.columnarReaderBatchSize"
     before = spark.conf.get(key)
-    with S.payload_scan(spark, 56_623_104):
-        assert spark.conf.get(key) == "4"
-    assert spark.conf.get(key) == before
-    with S.payload_scan(spark, 100):
-        assert spark.conf.get(key) == before
+    bounded = S.payload_session(spark, 56_623_104)
+    assert bounded.conf.get(key) == "4" and spark.conf.get(key) == before
+    assert bounded.conf.get("spark.sql.shuffle.partitions") == "4"  # all other settings are kept
+    assert S.payload_session(spark, 100).conf.get(key) == before
+    assert S.payload_session(bounded, None) is S.home_session(bounded) is spark
+    assert S.materialize(bounded.range(3), "narrow").sparkSession is spark
+
+
+def batches_of(df):
+    """Collect `df`; the batches that its scans of payloads have put out."""
+    df.collect()
+
+    def scans(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return scans(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return scans(node.plan())
+        own = 0
+        if kind == "ColumnarToRowExec" and "latent_bytes" in node.schema().simpleString():
+            own = node.metrics().apply("numInputBatches").value()
+        children = node.children()
+        return own + sum(scans(children.apply(i)) for i in range(children.size()))
+
+    return scans(df._jdf.queryExecution().executedPlan())
+
+
+JOBS = {
+    "frame_l1": lambda df: frame_l1_from_payload(df, ["video_index"], SHAPE),
+    "psi": lambda df: psi_from_payload(df, 0.1, ["video_index"], SHAPE),
+    "moments": lambda df: moments_from_payload(df, ["video_index"]),
+    "target moments": lambda df: target_moments_from_payload(df, ["video_index"], SHAPE, 2),
+    "score": lambda df: score(df, ["video_index"], 0.1, shape=SHAPE, pairs=2),
+    "joined": lambda df: df.join(F.broadcast(df.sparkSession._driftgate_home.range(40)),
+                                 F.col("video_index") == F.col("id")),
+}
+
+
+@pytest.mark.parametrize("job", JOBS)
+def test_a_scan_carries_its_bound(spark, tmp_path, monkeypatch, job):
+    """One shard of 40 payloads in one row group: no batch holds more than the bound, though the job runs
+    long after the scan was made and nothing is set meanwhile."""
+    path = str(tmp_path / "store")
+    latent_rows(spark, tensors(40)).coalesce(1).write.parquet(path)
+    monkeypatch.setattr(S, "BATCH_BYTES", 5 * payload_size(SHAPE))
+    bounded = read_latents(spark, path, payload_bytes=payload_size(SHAPE))
+    assert batches_of(JOBS[job](bounded)) == 8
+
+
+def test_fetched_payloads_are_bounded(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    latent_rows(spark, tensors(40)).coalesce(1).write.parquet(path)
+    winners = S.materialize(with_address(read_latents(spark, path)).select("file_path", "row_index"), "all")
+    monkeypatch.setattr(S, "BATCH_BYTES", 8 * payload_size(SHAPE))
+    got = fetch_payloads(winners, payload_bytes=payload_size(SHAPE))
+    assert batches_of(got) == 5 and got.count() == 40
 
 
 def test_broadcast_only_when_bounded(spark):
