@@ -161,7 +161,8 @@ def find_runs(docs: DataFrame, text_col="text", min_length=MIN_LENGTH, min_repea
     period.
 
     Words are what stands between ASCII white space. A run is at least `min_length` words and
-    `min_repeats` (3 or more) periods long. Null and empty texts have no words, no runs and an empty collapsed text.
+    `min_repeats` (3 or more) periods long. Null and empty texts have no words, no runs and an empty
+    collapsed text.
     Rows are worked on alone: repeated rows and ids give repeated results, an empty table gives an empty
     one. Very long texts are taken whole; their memory is some 100 bytes a word. Columns of the added names
     in `docs` give way; all others pass through, the text unless `keep_text` is off.

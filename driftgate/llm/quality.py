@@ -154,8 +154,9 @@ def _families(sketches: dict) -> dict:
 
 
 def toxic_terms(docs, labels, id_col, text_col, rows=LABELLED_ROWS) -> dict:
-    """{term: weight} of terms that enough unlike toxic documents have and clean ones hardly: the log ratio of their shares, from MIN_WEIGHT up. Near copies count as one document,
-    so the other words of a copied text are not taken for toxic."""
+    """{term: weight} of terms that enough unlike toxic documents have and clean ones hardly: the log
+    ratio of their shares, from MIN_WEIGHT up. Near copies count as one document, so the other words
+    of a copied text are not taken for toxic."""
     sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     joined = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_utf8")).join(
         F.broadcast(sample), "_id")
