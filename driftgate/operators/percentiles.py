@@ -90,10 +90,17 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
               .select("block", "total", "name", "at", "rank", "bucket",
                       (F.col("rank") - F.col("below")).alias("local")))
 
+    # A bucket of one value is that value, however many blocks have it.
+    spans = cells.groupBy("bucket").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    target = target.join(spans, "bucket")
+    known = target.where("low = high").select("block", "total", "name", "at", "rank",
+                                              F.col("low").alias("value"))
+
     # Level 2: the wanted value among the bucket's values of earlier or equal blocks.
     sliced = cells.select("bucket", F.pmod(F.hash("value"), F.lit(SLICES)).alias("slice"),
                           F.col("block").alias("from_block"), "value", "n")
-    target = target.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    target = target.where("low != high").drop("low", "high").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     seen = (target.join(sliced, ["bucket", "slice"])
         .where(F.col("from_block") <= F.col("block"))
         .groupBy("block", "total", "name", "at", "rank", "local", "value")
@@ -103,7 +110,7 @@ def prefix_percentiles(df: DataFrame, probs: dict, pieces=None) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, 0))
     picked = (seen.withColumn("upto", upto).where(F.col("upto") > F.col("local"))
               .groupBy("block", "total", "name", "at", "rank")
-              .agg(F.min("value").alias("value")))
+              .agg(F.min("value").alias("value"))).unionByName(known)
 
     weight = F.col("at") - F.floor("at")
     points = picked.groupBy("block", F.col("total").alias("n"), "name").agg(
@@ -120,7 +127,10 @@ def _cuts(df, pieces):
     n = min(max(pieces, MIN_BUCKETS), MAX_BUCKETS)
     # NaN would be taken for a border, and only finite borders are needed.
     finite = df.where(~F.isnan("value"))
-    return sorted(set(finite.approxQuantile("value", [i / n for i in range(1, n)], 0.5 / n)))
+    found = finite.approxQuantile("value", [i / n for i in range(1, n)], 0.5 / n)
+    # A value that comes up several times is that of many blocks, and gets a bucket of its own.
+    alone = {math.nextafter(q, math.inf) for q, after in zip(found, found[1:]) if q == after < math.inf}
+    return sorted(set(found) | alone)
 
 
 def _with_bucket(cells, cuts):

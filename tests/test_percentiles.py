@@ -64,3 +64,29 @@ def test_no_values_give_one_row_on_both_ways(spark, max_rows):
     df = spark.createDataFrame([(None,)], "x double")
     got = exact_percentiles(df, "x", {"p": 0.5}, 2, max_rows).collect()
     assert [r.p for r in got] == [None]
+
+
+def test_a_value_of_most_blocks_is_not_looked_up(spark):
+    """With one value in every block, the look-up would be blocks times blocks."""
+    rng = np.random.default_rng(7)
+    rows = [(b, 0.0 if rng.random() < 0.6 else float(rng.exponential())) for b in range(120)
+            for _ in range(12)]
+    df = spark.createDataFrame(rows, "block long, value double")
+    out = prefix_percentiles(df, {"p20": 0.2, "p90": 0.9})
+    got = {x.block: (x.n, x.p20, x.p90) for x in out.collect()}
+    for block in range(120):
+        seen = [v for b, v in rows if b <= block]
+        assert got[block] == pytest.approx((len(seen), *np.percentile(seen, [20, 90])))
+
+    def joined(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return joined(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return joined(node.plan())
+        children = node.children()
+        own = node.metrics().apply("numOutputRows").value() if "from_block" in node.toString().split(
+            "\n")[0] and "Join" in kind else 0
+        return max([own, *(joined(children.apply(i)) for i in range(children.size()))])
+
+    assert 0 < joined(out._jdf.queryExecution().executedPlan()) < 120 * 120
