@@ -1,11 +1,13 @@
 """Line deduplication by an exact set-similarity join.
 
 Lines are sets of words, ordered from rare to common: words below a share of all words come first, by
-hash, the others by count. Two lines of Jaccard similarity t or more share a word among their
-first n - ceil(t n) + 1, and at their first shared word enough words follow in both. Lines are
-indexed by these prefixes; equal sets are one class. Inside a word's group, pairs pass the length
-filter, the positional filter and a parity signature (a lower bound of the words that only one
-has). A line that keeps a partner is a candidate with that word; whole sets are fetched for
+level (the logarithm of the count in a word's slot) and hash, the others by count. Two lines of
+Jaccard similarity t or more share a word among their first n - ceil(t n) + 1, and at their first
+shared word enough words follow in both. Lines are indexed by these prefixes, without words that
+occur once in all texts; equal sets are one class. Inside a word's group, pairs pass the length
+filter, the positional filter, a parity signature (a lower bound of the words that only one
+has) and a filter by the word before: two lines that share that too meet at an earlier word. A
+line that keeps a partner is a candidate with that word; whole sets are fetched for
 candidates alone and verified inside the groups. No pairs are emitted: a group reports
 which of its classes have an earlier match.
 
@@ -34,6 +36,9 @@ SIMILARITY = 0.8
 COMMON_WORDS = 65_536
 GROUP = 20_000
 MAX_FETCH_BITS = 1 << 27
+#: One byte a slot.
+MAX_SLOT_BITS = 24
+_PAGE_BITS = 16
 _COMMON = np.uint64(1 << 63)
 _POSITIONS = 20
 #: Text that is taken apart into words at once.
@@ -74,6 +79,35 @@ def common_words(counts: DataFrame, limit=COMMON_WORDS) -> np.ndarray:
     return np.array([r.word for r in rows], np.uint64)
 
 
+def _page_rows(batches):
+    """Rows (page, levels): the levels of 65,536 slots each, from rows (slot, level)."""
+    pages = {}
+    for batch in batches:
+        slots, levels = (batch.column(c).to_numpy() for c in ("slot", "level"))
+        numbers = slots >> _PAGE_BITS
+        for page in np.unique(numbers).tolist():
+            own = numbers == page
+            pages.setdefault(page, np.zeros(1 << _PAGE_BITS, np.uint8))[
+                slots[own] & ((1 << _PAGE_BITS) - 1)] = levels[own]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(pages), pa.int64()), pa.array([x.tobytes() for x in pages.values()], pa.binary())],
+        names=["page", "levels"])
+
+
+def word_levels(counts: DataFrame) -> np.ndarray:
+    """The logarithm of the count of all words in a slot, by the low bits of the word's hash, in at most
+    16 MiB. A word whose slot has level 0 occurs once in all texts."""
+    bits = min(MAX_SLOT_BITS, max(_PAGE_BITS, log2_ceil(4 * counts.count())))
+    slots = counts.groupBy(F.col("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(
+        F.sum("n").alias("n")).where("n > 1")
+    rows = slots.select("slot", F.floor(F.log2("n")).cast("int").alias("level")).repartition(
+        F.shiftright("slot", _PAGE_BITS)).mapInArrow(_page_rows, "page long, levels binary").collect()
+    out = np.zeros(1 << bits, np.uint8)
+    for row in rows:
+        out[row.page << _PAGE_BITS:(row.page + 1) << _PAGE_BITS] = np.frombuffer(row.levels, np.uint8)
+    return out
+
+
 def hot_words(index: DataFrame, counts: DataFrame, common, group) -> DataFrame:
     """The keys with more than `group` index rows. A word has no more of them than it has places
     in the texts, so only the words with that many places are counted."""
@@ -105,17 +139,23 @@ class WordOrder:
 
 
 class LineSets:
-    """The sorted word sets of many lines, one after the other, with class, signature, size."""
+    """The word sets of many lines, one after the other, with class, signature, size. They are sorted by
+    level, if there are levels, and key."""
 
-    def __init__(self, lines, order):
+    def __init__(self, lines, order, levels=None):
         sizes = [len(words) for words in lines]
         keys = order(list(itertools.chain.from_iterable(lines)))
         line = np.repeat(np.arange(len(lines)), sizes)
-        by = np.lexsort((keys, line))
+        places = line
+        if levels is not None:
+            level = np.where(keys < _COMMON, levels[keys & np.uint64(len(levels) - 1)], 255)
+            places = line * 256 + level
+        by = np.lexsort((keys, places))
         keys, line = keys[by], line[by]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
         self.keys, line = keys[fresh], line[fresh]
+        self.levels = None if levels is None else level[by][fresh]
         self.sizes = np.bincount(line, minlength=len(lines))
         self.starts = offsets(self.sizes)
         self.line = line
@@ -130,13 +170,16 @@ class LineSets:
                 np.uint64(1) << (scrambled >> np.uint64(58)), at)
 
     def prefixes(self, lines, ratio):
-        """(key, line, position) of the prefix words of chosen lines."""
+        """(key, line, position, the key before or 0) of the prefix words of chosen lines that occur more
+        than once."""
         length = self.sizes - -(-self.sizes * ratio.numerator // ratio.denominator) + 1
         position = np.arange(len(self.keys)) - self.starts[:-1][self.line]
         chosen = np.zeros(len(self.sizes), bool)
         chosen[lines] = True
-        inside = chosen[self.line] & (position < length[self.line])
-        return self.keys[inside], self.line[inside], position[inside]
+        inside = np.flatnonzero(chosen[self.line] & (position < length[self.line]) & (self.levels > 0))
+        position = position[inside]
+        before = np.where(position > 0, self.keys[inside - 1], np.uint64(0))
+        return self.keys[inside], self.line[inside], position, before
 
 
 def _lines(data: bytes):
@@ -152,9 +195,9 @@ def _slices(batches, size=SLICE_BYTES):
             yield batch.slice(start, end - start)
 
 
-def _index_rows(batches, common, ratio, id_type):
-    """Rows (key, class, signature, place, _id, _h, line): one per line, one per document with line -1 and
-    the number of lines as place, and index rows, which have a key but no id and no line."""
+def _index_rows(batches, common, levels, ratio):
+    """Rows (key, before, class, signature, place, _id, _h, line): one per line, one per document with
+    line -1 and the number of lines as place, and index rows, which have keys but no id and no line."""
     order, seen = WordOrder(common), set()
     for batch in _slices(batches):
         owner, numbers, lines, counts = [], [], [], []
@@ -167,7 +210,7 @@ def _index_rows(batches, common, ratio, id_type):
             owner += [i] * len(own)
             numbers += range(len(own))
             lines += own
-        sets = LineSets(lines, order)
+        sets = LineSets(lines, order, levels)
         names = sets.classes.tolist()
         if len(seen) > 1_000_000:
             seen.clear()
@@ -176,7 +219,7 @@ def _index_rows(batches, common, ratio, id_type):
             if name not in seen and sets.sizes[i]:
                 seen.add(name)
                 fresh.append(i)
-        keys, line, position = sets.prefixes(np.array(fresh, np.int64), ratio)
+        keys, line, position, before = sets.prefixes(np.array(fresh, np.int64), ratio)
         own = np.array(owner, np.int64)
         docs = np.arange(len(counts))
         n_index = len(keys)
@@ -184,9 +227,10 @@ def _index_rows(batches, common, ratio, id_type):
         is_index = np.arange(len(own) + len(docs) + n_index) >= len(own) + len(docs)
         take = pa.array(np.concatenate([own, docs, zeros]), mask=is_index)
         blank = np.zeros(len(docs), np.uint64)
+        no_key = np.zeros(len(own) + len(docs), np.uint64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.zeros(len(own) + len(docs), np.uint64), keys]).view(np.int64),
-                     mask=~is_index),
+            *[pa.array(np.concatenate([no_key, x]).view(np.int64), mask=~is_index)
+              for x in (keys, before)],
             pa.array(np.concatenate([sets.classes, blank, sets.classes[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.signatures, blank, sets.signatures[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.sizes << _POSITIONS, np.array(counts, np.int64),
@@ -194,7 +238,7 @@ def _index_rows(batches, common, ratio, id_type):
             batch.column("_id").take(take), batch.column("_h").take(take),
             pa.array(np.concatenate([np.array(numbers, np.int64), docs * 0 - 1, zeros]).astype(
                 np.int32), mask=is_index),
-        ], names=["key", "class", "signature", "place", "_id", "_h", "line"])
+        ], names=["key", "before", "class", "signature", "place", "_id", "_h", "line"])
 
 
 def _possible(size, position, signature, i, j, ratio):
@@ -208,8 +252,9 @@ def _possible(size, position, signature, i, j, ratio):
             & (apart <= a + b - 2 * needed))
 
 
-def _partnered(keys, classes, signature, place, ratio):
-    """Which rows, sorted by key and size, have a possible partner of another class."""
+def _partnered(keys, before, classes, signature, place, ratio):
+    """Which rows, sorted by key and size, have a possible partner of another class. Rows with the same
+    word before share that word: they are partners at the first of such words."""
     n = len(keys)
     size, position = place >> _POSITIONS, place & ((1 << _POSITIONS) - 1)
     found = np.zeros(n, bool)
@@ -224,7 +269,8 @@ def _partnered(keys, classes, signature, place, ratio):
         open_ = ~(found[left] & found[right])
         i, j = left[open_], right[open_]
         hit = _possible(size, position, signature, i, j, ratio) & ~(
-            (classes[i] == classes[j]) & (signature[i] == signature[j]))
+            (classes[i] == classes[j]) & (signature[i] == signature[j])) & ~(
+            (before[i] == before[j]) & (position[i] > 0) & (position[j] > 0))
         found[i[hit]] = True
         found[j[hit]] = True
         step += 1
@@ -244,10 +290,10 @@ def _open_right(left, found, keys):
 def _candidate_rows(batches, ratio):
     """The index rows with a possible partner in their piece of work."""
     for table in whole_groups(batches, ["key", "part"]):
-        columns = [table.column(c).to_numpy() for c in ("key", "class", "signature", "place", "part")]
-        joint = mix64(columns[0].view(np.uint64)) ^ columns[4].astype(np.uint64)
-        found = _partnered(joint, columns[1].view(np.uint64), columns[2].view(np.uint64), columns[3],
-                           ratio)
+        key, part, place = (table.column(c).to_numpy() for c in ("key", "part", "place"))
+        joint = mix64(key.view(np.uint64)) ^ part.astype(np.uint64)
+        found = _partnered(joint, *[table.column(c).to_numpy().view(np.uint64)
+                                    for c in ("before", "class", "signature")], place, ratio)
         yield from table.select(["key", "class", "signature", "place"]).filter(
             pa.array(found)).combine_chunks().to_batches()
 
@@ -349,9 +395,10 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     spark = docs.sparkSession
     counts = word_counts(base)
     shared = spark.sparkContext.broadcast(common_words(counts, common))
+    levels = spark.sparkContext.broadcast(word_levels(counts))
     width = _rank_type(shared.value)
-    schema = f"key long, class long, signature long, place long, _id {kind}, _h long, line int"
-    rows = base.mapInArrow(lambda b: _index_rows(b, shared.value, ratio, kind), schema)
+    schema = f"key long, before long, class long, signature long, place long, _id {kind}, _h long, line int"
+    rows = base.mapInArrow(lambda b: _index_rows(b, shared.value, levels.value, ratio), schema)
     rows = materialize(rows, "lines")
     who = ["class", "signature"]
     lines = rows.where("line >= 0 and place > 0").select(*who, "_id", "_h", "line")
@@ -359,7 +406,7 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
         F.min(F.struct("_id", "_h", "line")).alias("first"), F.count("*").alias("n")), "classes")
 
     # Words with very many classes, in pairs of chunks; a class counts once in each.
-    index = rows.where("line is null").select("key", *who, "place")
+    index = rows.where("line is null").select("key", "before", *who, "place")
     hot = hot_words(index, counts, shared.value, group)
     hot = broadcast_bounded(hot, hot.count())
     pieces = blockwise_groups(index.join(hot, "key", "left_semi").distinct(), "key", group,

@@ -306,3 +306,23 @@ def test_lines_of_a_hot_group_stay_spread(spark, monkeypatch):
     files = [r["count"] for r in kept["lines"].where("line >= 0").groupBy(
         F.input_file_name()).count().collect()]
     assert len(files) >= 4 and max(files) < sum(files) / 2
+
+
+def test_near_copies_meet_at_few_words(spark, monkeypatch):
+    """Long near copies share most of their first words; each is fetched for a few of them only."""
+    rng, texts = random.Random(9), {}
+    for i in range(30):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(100)]
+        texts[2 * i] = " ".join(words)
+        for k in rng.sample(range(100), 3 + i % 14):
+            words[k] = f"v{rng.randrange(100_000)}"
+        texts[2 * i + 1] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize",
+                        lambda df, name: kept.setdefault(name, write(df, name)))
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs, common=100).collect()}
+    assert got == _plain_lines(texts) and 10 < sum(map(len, got.values())) < 30
+    assert kept["candidates"].count() < 300
+    # Words that occur once are not indexed.
+    assert kept["lines"].where("line is null").count() < 1000
