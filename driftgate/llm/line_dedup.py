@@ -170,16 +170,17 @@ class LineSets:
                 np.uint64(1) << (scrambled >> np.uint64(58)), at)
 
     def prefixes(self, lines, ratio):
-        """(key, line, position, the key before or 0) of the prefix words of chosen lines that occur more
-        than once."""
+        """The prefix words of chosen lines that occur more than once: all keys, and per chosen line how
+        many and the position of the first. Those that occur once stand before them."""
         length = self.sizes - -(-self.sizes * ratio.numerator // ratio.denominator) + 1
         position = np.arange(len(self.keys)) - self.starts[:-1][self.line]
         chosen = np.zeros(len(self.sizes), bool)
         chosen[lines] = True
-        inside = np.flatnonzero(chosen[self.line] & (position < length[self.line]) & (self.levels > 0))
-        position = position[inside]
-        before = np.where(position > 0, self.keys[inside - 1], np.uint64(0))
-        return self.keys[inside], self.line[inside], position, before
+        inside = chosen[self.line] & (position < length[self.line])
+        once = np.bincount(self.line[inside & (self.levels == 0)], minlength=len(self.sizes))
+        inside &= self.levels > 0
+        count = np.bincount(self.line[inside], minlength=len(self.sizes))
+        return self.keys[inside], count[lines], once[lines]
 
 
 def _lines(data: bytes):
@@ -196,8 +197,8 @@ def _slices(batches, size=SLICE_BYTES):
 
 
 def _index_rows(batches, common, levels, ratio):
-    """Rows (key, before, class, signature, place, _id, _h, line): one per line, one per document with
-    line -1 and the number of lines as place, and index rows, which have keys but no id and no line."""
+    """Rows (keys, class, signature, place, _id, _h, line): one per line, one per document with line -1
+    and the number of lines as place, and index rows, which have keys but no id and no line."""
     order, seen = WordOrder(common), set()
     for batch in _slices(batches):
         owner, numbers, lines, counts = [], [], [], []
@@ -219,18 +220,19 @@ def _index_rows(batches, common, levels, ratio):
             if name not in seen and sets.sizes[i]:
                 seen.add(name)
                 fresh.append(i)
-        keys, line, position, before = sets.prefixes(np.array(fresh, np.int64), ratio)
+        line = np.array(fresh, np.int64)
+        keys, lengths, position = sets.prefixes(line, ratio)
         own = np.array(owner, np.int64)
         docs = np.arange(len(counts))
-        n_index = len(keys)
+        n_index, n_other = len(line), len(own) + len(docs)
         zeros = np.zeros(n_index, np.int64)
-        is_index = np.arange(len(own) + len(docs) + n_index) >= len(own) + len(docs)
+        is_index = np.arange(n_other + n_index) >= n_other
         take = pa.array(np.concatenate([own, docs, zeros]), mask=is_index)
         blank = np.zeros(len(docs), np.uint64)
-        no_key = np.zeros(len(own) + len(docs), np.uint64)
+        ends = np.concatenate([np.zeros(n_other, np.int64), offsets(lengths)])
         yield pa.RecordBatch.from_arrays([
-            *[pa.array(np.concatenate([no_key, x]).view(np.int64), mask=~is_index)
-              for x in (keys, before)],
+            pa.LargeListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))).cast(
+                pa.list_(pa.int64())),
             pa.array(np.concatenate([sets.classes, blank, sets.classes[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.signatures, blank, sets.signatures[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.sizes << _POSITIONS, np.array(counts, np.int64),
@@ -238,7 +240,7 @@ def _index_rows(batches, common, levels, ratio):
             batch.column("_id").take(take), batch.column("_h").take(take),
             pa.array(np.concatenate([np.array(numbers, np.int64), docs * 0 - 1, zeros]).astype(
                 np.int32), mask=is_index),
-        ], names=["key", "before", "class", "signature", "place", "_id", "_h", "line"])
+        ], names=["keys", "class", "signature", "place", "_id", "_h", "line"])
 
 
 def _possible(size, position, signature, i, j, ratio):
@@ -254,7 +256,7 @@ def _possible(size, position, signature, i, j, ratio):
 
 def _partnered(keys, before, classes, signature, place, ratio):
     """Which rows, sorted by key and size, have a possible partner of another class. Rows with the same
-    word before share that word: they are partners at the first of such words."""
+    word before (0: none that occurs twice) share that word: they are partners at the first of such."""
     n = len(keys)
     size, position = place >> _POSITIONS, place & ((1 << _POSITIONS) - 1)
     found = np.zeros(n, bool)
@@ -270,7 +272,7 @@ def _partnered(keys, before, classes, signature, place, ratio):
         i, j = left[open_], right[open_]
         hit = _possible(size, position, signature, i, j, ratio) & ~(
             (classes[i] == classes[j]) & (signature[i] == signature[j])) & ~(
-            (before[i] == before[j]) & (position[i] > 0) & (position[j] > 0))
+            (before[i] == before[j]) & (before[i] != 0))
         found[i[hit]] = True
         found[j[hit]] = True
         step += 1
@@ -397,7 +399,7 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     shared = spark.sparkContext.broadcast(common_words(counts, common))
     levels = spark.sparkContext.broadcast(word_levels(counts))
     width = _rank_type(shared.value)
-    schema = f"key long, before long, class long, signature long, place long, _id {kind}, _h long, line int"
+    schema = f"keys array<long>, class long, signature long, place long, _id {kind}, _h long, line int"
     rows = base.mapInArrow(lambda b: _index_rows(b, shared.value, levels.value, ratio), schema)
     rows = materialize(rows, "lines")
     who = ["class", "signature"]
@@ -406,7 +408,10 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
         F.min(F.struct("_id", "_h", "line")).alias("first"), F.count("*").alias("n")), "classes")
 
     # Words with very many classes, in pairs of chunks; a class counts once in each.
-    index = rows.where("line is null").select("key", "before", *who, "place")
+    index = rows.where("line is null").select(F.posexplode("keys").alias("_n", "key"), "keys", *who,
+                                              "place").select(
+        "key", F.when(F.col("_n") == 0, 0).otherwise(F.get("keys", F.col("_n") - 1)).alias("before"),
+        *who, (F.col("place") + F.col("_n")).alias("place"))
     hot = hot_words(index, counts, shared.value, group)
     hot = broadcast_bounded(hot, hot.count())
     pieces = blockwise_groups(index.join(hot, "key", "left_semi").distinct(), "key", group,

@@ -325,4 +325,4 @@ def test_near_copies_meet_at_few_words(spark, monkeypatch):
     assert got == _plain_lines(texts) and 10 < sum(map(len, got.values())) < 30
     assert kept["candidates"].count() < 300
     # Words that occur once are not indexed.
-    assert kept["lines"].where("line is null").count() < 1000
+    assert kept["lines"].where("line is null").agg(F.sum(F.size("keys"))).first()[0] < 1000
