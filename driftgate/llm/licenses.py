@@ -7,11 +7,13 @@ b (2 - t) / t. Everything happens inside the row that holds the text, without an
 
 A notice wrapped over lines, or inside a longer line or a whole licence, is found as a window of the
 text's words: any run of bigrams that starts and ends with one of the template's and is at most
-(2 - t) / t times as long as the template. It needs b t / (2 - t) of the template's bigrams, so a
-text is looked at by window only if it has enough of the template's words, then of its bigrams.
+(2 - t) / t times as long as the template. Any match needs b t / (2 - t) of the template's bigrams, so
+a text is compared with a template, by line or window, only if it has enough of the template's words.
 """
 
+import functools
 import math
+import operator
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -59,33 +61,38 @@ def _quoted(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-def _template_sql(templates):
-    rows = []
-    for name, text in templates:
-        grams = _bigrams_of(text)
-        rows.append(f"named_struct('name', {_quoted(name)}, 'n', {len(grams)}, "
-                    f"'grams', array({', '.join(map(_quoted, grams))}))")
-    return f"array({', '.join(rows)})"
-
-
 def _array_sql(texts):
     return f"array({', '.join(map(_quoted, texts))})"
 
 
+def _needs(text, min_dice):
+    """The bigrams of a template that a match needs, and words of which it has at least one."""
+    words, grams = _words_of(text), _bigrams_of(text)
+    need = max(1, math.ceil(len(grams) * min_dice / (2 - min_dice) - 1e-9))
+    # Without these words, the longest first, too few bigrams are left.
+    left, some = grams, []
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(left) < need:
+            break
+        some.append(word)
+        left = [g for g in left if word not in g.split()]
+    return need, some
+
+
+def _any_word(column, templates, min_dice):
+    """Whether a text in lower case has, as letters in a row, a word that some template's match needs."""
+    some = {w for _, text in templates for w in _needs(text, min_dice)[1]}
+    some = sorted(w for w in some if not any(o in w for o in some - {w}))
+    return functools.reduce(operator.or_, [F.contains(column, F.lit(w)) for w in some], F.lit(False))
+
+
 def _windows_sql(templates, min_dice):
-    """Templates with what a window needs: `need` bigrams, so one of the words `any` and `least` of all
-    words; at most `most` bigrams."""
+    """Templates with what a match needs: `need` bigrams, so one of the words `any` and `least` of all
+    words; a window has at most `most` bigrams."""
     rows = []
     for name, text in templates:
         words, grams = _words_of(text), _bigrams_of(text)
-        need = max(1, math.ceil(len(grams) * min_dice / (2 - min_dice) - 1e-9))
-        # Without these words, the longest first, too few bigrams are left.
-        left, some = grams, []
-        for word in sorted(set(words), key=lambda w: (-len(w), w)):
-            if len(left) < need:
-                break
-            some.append(word)
-            left = [g for g in left if word not in g.split()]
+        need, some = _needs(text, min_dice)
         least = len(set(words)) - 2 * (len(grams) - need)
         most = math.floor((len(words) - 1) * (2 - min_dice) / min_dice + 1e-9)
         rows.append(f"named_struct('name', {_quoted(name)}, 'n', {len(grams)}, 'need', {need}, "
@@ -123,27 +130,34 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_dice=MIN_DICE,
     lines = F.split(text_or_empty(text_col), "\n")
     segments = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).when(
         F.size(lines) > 1, F.concat(lines, F.array(F.col(text_col)))).otherwise(lines)
-    # Words and bigram count first: most lines are outside every template's size.
-    words = F.transform(segments, lambda s: F.split(F.trim(F.lower(
-        F.regexp_replace(s, "[^A-Za-z0-9]+", " "))), " "))
+    def words(s):
+        return F.split(F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))), " ")
+
+    # The text's words first: most texts have too few of any template.
+    none = F.array().cast("array<array<string>>")
     grams = f"""transform(filter(_words, w -> size(w) - 1 >= {low}), w -> array_distinct(
         zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> a || ' ' || b)))"""
     scores = f"""transform(filter(_grams, g -> size(g) >= {low} and size(g) <= {high}), g ->
-        array_max(transform(filter({_template_sql(templates)}, t ->
+        array_max(transform(filter(_templates, t ->
             size(g) >= t.n * {min_dice} / (2 - {min_dice})
             and size(g) <= t.n * (2 - {min_dice}) / {min_dice}), t -> named_struct(
             'dice', 2.0D * size(array_intersect(g, t.grams)) / (size(g) + t.n),
             'name', t.name))))"""
-    found = (docs.withColumn("_words", words).withColumn("_grams", F.expr(grams))
-             .withColumn("_found", F.expr(f"filter({scores}, m -> m.dice >= {min_dice})")))
-    whole = "coalesce(try_element_at(_words, -1), cast(array() as array<string>))"
     names = sorted({w for _, text in templates for w in _words_of(text)})
-    found = found.withColumn("_present", F.expr(f"array_intersect({_array_sql(names)}, {whole})"))
-    found = found.withColumn("_near", F.expr(f"""filter({_windows_sql(templates, min_dice)}, t ->
-        arrays_overlap(t.any, _present) and size(array_intersect(t.words, _present)) >= t.least
-        and not exists(_found, m -> m.name = t.name))"""))
-    found = found.withColumn("_pairs", F.expr(f"""if(size(_near) = 0, cast(array() as array<string>),
-        zip_with(slice({whole}, 1, size({whole}) - 1), slice({whole}, 2, size({whole}) - 1),
+    found = docs.withColumn("_lower", F.lower(F.col(text_col)))
+    found = found.withColumn("_whole", F.when(_any_word(F.col("_lower"), templates, min_dice), words(
+        F.col(text_col))).otherwise(F.array().cast("array<string>"))).drop("_lower")
+    found = found.withColumn("_present", F.expr(f"array_intersect({_array_sql(names)}, _whole)"))
+    found = found.withColumn("_templates", F.expr(f"""filter({_windows_sql(templates, min_dice)}, t ->
+        arrays_overlap(t.any, _present) and size(array_intersect(t.words, _present)) >= t.least)"""))
+    found = found.withColumn("_words", F.when(F.size("_templates") == 0, none).otherwise(
+        F.transform(segments, words)))
+    found = found.withColumn("_grams", F.expr(grams)).withColumn(
+        "_found", F.expr(f"filter({scores}, m -> m.dice >= {min_dice})"))
+    found = found.withColumn("_near", F.expr(
+        "filter(_templates, t -> not exists(_found, m -> m.name = t.name))"))
+    found = found.withColumn("_pairs", F.expr("""if(size(_near) = 0, cast(array() as array<string>),
+        zip_with(slice(_whole, 1, size(_whole) - 1), slice(_whole, 2, size(_whole) - 1),
                  (a, b) -> a || ' ' || b))"""))
     # The best window of each name.
     found = found.withColumn("_more", F.expr(f"""filter(transform(filter(_near, t ->
@@ -157,7 +171,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_dice=MIN_DICE,
         "license": F.array_max("_found")["name"], "dice": F.array_max("_found")["dice"],
         "licenses": F.array_join(F.array_sort(F.array_distinct(
             F.transform("_found", lambda m: m["name"]))), ","),
-    }).drop("_words", "_grams", "_found", "_present", "_near", "_pairs", "_more")
+    }).drop("_whole", "_present", "_templates", "_words", "_grams", "_found", "_near", "_pairs", "_more")
 
 
 def _sql():

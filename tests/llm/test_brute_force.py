@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftgate.llm import (
-    components, decontaminate, line_dedup, mixing, quality, range_coder, repeats, simhash,
+    components, decontaminate, licenses, line_dedup, mixing, quality, range_coder, repeats, simhash,
     token_files,
 )
 
@@ -326,3 +326,55 @@ def test_near_copies_meet_at_few_words(spark, monkeypatch):
     assert kept["candidates"].count() < 300
     # Words that occur once are not indexed.
     assert kept["lines"].where("line is null").agg(F.sum(F.size("keys"))).first()[0] < 1000
+
+
+def _plain_licenses(text, least=0.8):
+    """All matches (dice, name) of the lines and the text, then of windows for names without one."""
+    templates = [(name, set(licenses._bigrams_of(t))) for name, t in licenses.TEMPLATES]
+
+    def grams(part):
+        words = re.findall("[a-z0-9]+", re.sub("[^A-Za-z0-9]+", " ", part).lower())
+        return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+    def score(own, t):
+        return 2.0 * len(own & t) / (len(own) + len(t))
+
+    lines = text.split("\n")
+    found = [max((score(set(grams(part)), t), name) for name, t in templates)
+             for part in (lines + [text] if len(lines) > 1 else lines)]
+    found = [m for m in found if m[0] >= least]
+    pairs, more = grams(text), {}
+    for name, t in templates:
+        places = [i for i, g in enumerate(pairs) if g in t]
+        if not any(m[1] == name for m in found):
+            best = max((score(set(pairs[i:j + 1]), t) for i in places for j in places
+                        if 0 <= j - i < len(t) * (2 - least) / least), default=0)
+            more[name] = max(best, more.get(name, 0))
+    return found + [(dice, name) for name, dice in more.items() if dice >= least]
+
+
+def test_licenses_equal_a_plain_comparison(spark):
+    rng, texts = random.Random(4), {}
+    prose = "the music of an old town is played by people who walk in its streets at night".split()
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(prose + words)
+            words = [rng.choice([str.upper, str.title, str])(w) for w in words]
+            parts += [" ".join(rng.choices(prose, k=rng.randrange(12))),
+                      rng.choice([" ", " ", "\n", " İ\n* "]).join(words)]
+        texts[i] = rng.choice([" ", "\n"]).join(parts)
+    for i in range(80, 160):
+        texts[i] = " ".join(rng.choices(prose, k=60)).replace("by", "near") + "\nK" * (i % 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, text in texts.items():
+        want = _plain_licenses(text)
+        assert got[i].n_matches == len(want) and (got[i].dice, got[i].license) == max(
+            want, default=(None, None)), text
+    assert sum(r.n_matches > 0 for r in got.values()) > 40
+    # Prose without the words that a match needs is not taken apart.
+    looked = docs.where(licenses._any_word(F.lower("text"), licenses.TEMPLATES, 0.8))
+    assert {r.doc_id for r in looked.collect()} <= set(range(80))
