@@ -7,9 +7,10 @@ shared word enough words follow in both. Lines are indexed by these prefixes, wi
 occur once in all texts; equal sets are one class. Inside a word's group, pairs pass the length
 filter, the positional filter, a parity signature (a lower bound of the words that only one
 has) and a filter by the word before: two lines that share that too meet at an earlier word. A
-line that keeps a partner is a candidate with that word; whole sets are fetched for
-candidates alone and verified inside the groups. No pairs are emitted: a group reports
-which of its classes have an earlier match.
+line that keeps a partner is a candidate with that word. Sets are fetched for candidates alone; a
+signature of 512 bits, which tells long lines apart too, goes to the groups first, and whole sets,
+for what still has a partner, are verified inside the groups. No pairs are emitted: a group
+reports which of its classes have an earlier match.
 
 Rows of lines and documents are written from the scan; only index rows are exchanged by word. A word
 with very many classes is cut into chunks before that, and every pair of chunks is work of its own.
@@ -41,6 +42,7 @@ MAX_SLOT_BITS = 24
 _PAGE_BITS = 16
 _COMMON = np.uint64(1 << 63)
 _POSITIONS = 20
+WIDE_BITS = 512
 #: Text that is taken apart into words at once.
 SLICE_BYTES = 1 << 22
 
@@ -254,11 +256,10 @@ def _possible(size, position, signature, i, j, ratio):
             & (apart <= a + b - 2 * needed))
 
 
-def _partnered(keys, before, classes, signature, place, ratio):
-    """Which rows, sorted by key and size, have a possible partner of another class. Rows with the same
-    word before (0: none that occurs twice) share that word: they are partners at the first of such."""
+def _partnered(keys, size, ratio, possible):
+    """Which rows, sorted by key and size, have a partner: `possible` judges pairs of rows i, j of one key
+    and of sizes that fit."""
     n = len(keys)
-    size, position = place >> _POSITIONS, place & ((1 << _POSITIONS) - 1)
     found = np.zeros(n, bool)
     left, step = np.arange(n), 1
     while len(left):
@@ -270,9 +271,7 @@ def _partnered(keys, before, classes, signature, place, ratio):
         left, right = left[near], right[near]
         open_ = ~(found[left] & found[right])
         i, j = left[open_], right[open_]
-        hit = _possible(size, position, signature, i, j, ratio) & ~(
-            (classes[i] == classes[j]) & (signature[i] == signature[j])) & ~(
-            (before[i] == before[j]) & (before[i] != 0))
+        hit = possible(i, j)
         found[i[hit]] = True
         found[j[hit]] = True
         step += 1
@@ -294,12 +293,47 @@ def _candidate_rows(batches, ratio):
     for table in whole_groups(batches, ["key", "part"]):
         key, part, place = (table.column(c).to_numpy() for c in ("key", "part", "place"))
         joint = mix64(key.view(np.uint64)) ^ part.astype(np.uint64)
-        found = _partnered(joint, *[table.column(c).to_numpy().view(np.uint64)
-                                    for c in ("before", "class", "signature")], place, ratio)
+        before, classes, signature = (table.column(c).to_numpy().view(np.uint64)
+                                      for c in ("before", "class", "signature"))
+        size, position = place >> _POSITIONS, place & ((1 << _POSITIONS) - 1)
+
+        def possible(i, j):
+            """Rows of another class. Rows with the same word before (0: none that occurs twice) share
+            that word: they are partners at the first of such."""
+            return _possible(size, position, signature, i, j, ratio) & ~(
+                (classes[i] == classes[j]) & (signature[i] == signature[j])) & ~(
+                (before[i] == before[j]) & (before[i] != 0))
+
+        found = _partnered(joint, size, ratio, possible)
         yield from table.select(["key", "class", "signature", "place"]).filter(
             pa.array(found)).combine_chunks().to_batches()
 
 
+def _wide_signature(keys) -> bytes:
+    """The parity of the words in each of WIDE_BITS slots."""
+    slots = mix64(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(WIDE_BITS)
+    return np.packbits(np.bincount(slots.astype(np.int64), minlength=WIDE_BITS) & 1).tobytes()
+
+
+def _near_rows(batches, ratio):
+    """The candidates with a partner, in their piece of work, by size and wide signature."""
+    p, q = ratio.numerator, ratio.denominator
+    for table in whole_groups(batches, ["key", "part"]):
+        key, part, size = (table.column(c).to_numpy() for c in ("key", "part", "size"))
+        joint = mix64(key.view(np.uint64)) ^ part.astype(np.uint64)
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(
+            len(key), WIDE_BITS // 64)
+
+        def possible(i, j):
+            both = size[i] + size[j]
+            apart = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
+            return apart <= both - 2 * -(-p * both // (p + q))
+
+        found = _partnered(joint, size, ratio, possible)
+        yield from table.select(["key", "part", "class", "signature"]).filter(
+            pa.array(found)).combine_chunks().to_batches()
+
+
 def _location(doc, line):
     """As `_bitmap` has it. `_h` stands for the document, since an id may be null."""
     return xxhash.xxh64_intdigest(f"{doc}:{line}", 42)
@@ -338,9 +372,10 @@ def _fetch_rows(batches, common, bitmap):
         yield pa.RecordBatch.from_arrays(
             [pa.array(sets.classes[fresh].view(np.int64)),
              pa.array(sets.signatures[fresh].view(np.int64)),
-             pa.array([_packed(sets.keys[sets.starts[i]:sets.starts[i + 1]], width)
-                       for i in fresh.tolist()], pa.binary())],
-            names=["class", "signature", "words"])
+             pa.array(sets.sizes[fresh].astype(np.int64)),
+             *[pa.array([pack(sets.keys[sets.starts[i]:sets.starts[i + 1]]) for i in fresh.tolist()],
+                        pa.binary()) for pack in (_wide_signature, lambda x: _packed(x, width))]],
+            names=["class", "signature", "size", "wide", "words"])
 
 
 def _later_rows(batches, ratio, width):
@@ -426,11 +461,16 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("first.*"), wanted.count()))
     sets = base.where("not _null").select("_h", "_utf8").mapInArrow(
         lambda b: _fetch_rows(b, shared.value, bitmap.value),
-        "class long, signature long, words binary")
+        "class long, signature long, size long, wide binary, words binary")
     sets = materialize(sets.dropDuplicates(who).join(wanted, who), "sets")
     # Partners are brought together by word; a class without one in its word is alone there.
     paired = blockwise_groups(candidates, "key", group, "pairs")
-    checked = paired.join(sets, who).repartition("key", "part").sortWithinPartitions(
+    near = paired.join(sets.select(*who, "size", "wide"), who).repartition(
+        "key", "part").sortWithinPartitions("key", "part", "size").select(
+        "key", "part", *who, "size", "wide")
+    near = materialize(near.mapInArrow(lambda b: _near_rows(b, ratio),
+                                       "key long, part int, class long, signature long"), "near")
+    checked = near.join(sets.select(*who, "first", "words"), who).repartition("key", "part").sortWithinPartitions(
         "key", "part", "first").select("key", "part", *who, "words")
     later = materialize(checked.mapInArrow(lambda b: _later_rows(b, ratio, width),
                                            "class long, signature long").distinct(), "later")

@@ -328,6 +328,23 @@ def test_near_copies_meet_at_few_words(spark, monkeypatch):
     assert kept["lines"].where("line is null").agg(F.sum(F.size("keys"))).first()[0] < 1000
 
 
+def test_unlike_long_lines_are_not_fetched(spark, monkeypatch):
+    """Long lines that share their rare words and little else: 64 bits cannot tell them apart."""
+    rng, texts = random.Random(2), {}
+    for i in range(40):
+        words = rng.sample(range(4000), 300)
+        texts[i] = " ".join([f"rare{i // 4}"] * 2 + [f"w{w}" for w in words])
+    texts[40], texts[41] = texts[0] + " one more", texts[5] + " one more"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize",
+                        lambda df, name: kept.setdefault(name, write(df, name)))
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(docs).collect()}
+    assert got == _plain_lines(texts) and [i for i in got if got[i]] == [40, 41]
+    assert kept["candidates"].count() > 40
+    assert kept["near"].select("class").distinct().count() == 4
+
+
 def _plain_licenses(text, least=0.8):
     """All matches (dice, name) of the lines and the text, then of windows for names without one."""
     templates = [(name, set(licenses._bigrams_of(t))) for name, t in licenses.TEMPLATES]
