@@ -16,8 +16,6 @@ Rows of lines and documents are written from the scan; only index rows are excha
 with very many classes is cut into chunks before that, and every pair of chunks is work of its own.
 """
 
-import itertools
-from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from driftgate.llm.common import (
     blockwise_groups, log2_ceil, mix64, offsets, runs, shielded, utf8, whole_groups,
 )
-from driftgate.llm.decontaminate import words_of
+from driftgate.llm.decontaminate import FOLD
 from driftgate.session import broadcast_bounded, materialize
 
 SIMILARITY = 0.8
@@ -44,28 +42,72 @@ _COMMON = np.uint64(1 << 63)
 _POSITIONS = 20
 WIDE_BITS = 512
 #: Text that is taken apart into words at once.
-SLICE_BYTES = 1 << 22
-
-
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
-
-
-def _count_rows(batches, flush=400_000):
-    counts = Counter()
+SLICE_BYTES = 1 << 21
+#: Words of which equal ones are counted before they are exchanged.
+WORDS_AT_ONCE = 1 << 22
+#: Words beyond that many bytes are hashed one by one.
+LONG_WORD = 64
+#: Spreads the lines of a document over the bitmap; times any line it fits 63 bits.
+LINE_STEP = 0x5851F42D
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _text_lines(texts):
+    """Texts joined by line feeds; first byte and end of each line in that; lines per text."""
+    data = b"\n".join(texts)
+    feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    begins, ends = np.append(0, feeds + 1), np.append(feeds, len(data))
+    if not texts:
+        begins = ends = feeds
+    counts = np.diff(np.searchsorted(begins, offsets([len(t) + 1 for t in texts])))
+    return data, begins, ends, counts
+
+
+def _word_hashes(data):
+    """A hash of 63 bits and the first byte of every word, in order: 8 bytes at a time of all words, up to
+    LONG_WORD. Words of up to 8 bytes never share one before it is cut to 63 bits."""
+    folded = data.translate(FOLD) + b" "
+    inside = np.frombuffer(folded, np.uint8) != 32
+    bounds = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        bounds = np.append(0, bounds)
+    starts, ends = bounds[::2], bounds[1::2]
+    length = ends - starts
+    eights = np.frombuffer(folded + bytes(16 - len(folded) % 8), "<u8")
+
+    def eight(at, left):
+        shift = ((at & 7) << 3).astype(np.uint64)
+        place = at >> 3
+        both = (eights[place] >> shift) | ((eights[place + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        return both & _FIRST_BYTES[np.minimum(left, 8)]
+
+    hashes = mix64(eight(starts, length))
+    for done in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(length > done)
+        if not len(more):
+            break
+        hashes[more] = mix64(hashes[more] ^ eight(starts[more] + done, length[more] - done))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(folded[starts[i]:ends[i]])
+    return hashes >> np.uint64(1), starts
+
+
+def _count_rows(batches, at_once=WORDS_AT_ONCE):
+    words, held = [], 0
 
     def rows():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(map(_word_hash, counts)), pa.int64()),
-             pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        found, n = np.unique(np.concatenate(words), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)],
+                                          names=["word", "n"])
 
-    for batch in batches:
-        for text in batch.column("_utf8"):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > flush:
-                yield rows()
-                counts.clear()
-    yield rows()
+    for batch in _slices(batches):
+        words.append(_word_hashes(b"\n".join(batch.column("_utf8").to_pylist()))[0])
+        held += len(words[-1])
+        if held > at_once:
+            yield rows()
+            words, held = [], 0
+    if words:
+        yield rows()
 
 
 def word_counts(base: DataFrame) -> DataFrame:
@@ -115,61 +157,65 @@ def hot_words(index: DataFrame, counts: DataFrame, common, group) -> DataFrame:
     in the texts, so only the words with that many places are counted."""
     ranks = (_COMMON | np.arange(len(common), dtype=np.uint64)).view(np.int64)
     ranks = counts.sparkSession.createDataFrame(
-        list(zip(common.tolist(), ranks.tolist())), "word long, rank long")
-    frequent = counts.where(F.col("n") > group).join(ranks, "word", "left").select(
-        F.coalesce("rank", "word").alias("key"))
+        pa.table({"word": common.view(np.int64), "rank": ranks}))
+    frequent = materialize(counts.where(F.col("n") > group).join(ranks, "word", "left").select(
+        F.coalesce("rank", "word").alias("key")), "frequent-words")
+    frequent = broadcast_bounded(frequent, frequent.count())
     found = index.select("key").join(frequent, "key", "left_semi").groupBy("key").count()
     return materialize(found.where(F.col("count") > group).select("key"), "hot-keys")
 
 
 class WordOrder:
-    """A word's place in the order as an unsigned integer; remembers a bounded number."""
+    """Hashes of words, sorted, to their places in the order as unsigned integers."""
 
     def __init__(self, common):
-        ranks = _COMMON | np.arange(len(common), dtype=np.uint64)
-        self.common = dict(zip(common.tolist(), ranks.tolist()))
-        self.known = {}
+        self.by = np.argsort(common)
+        self.common = common[self.by]
 
     def __call__(self, words) -> np.ndarray:
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known = self.known
-        for word in set(words).difference(known):
-            name = _word_hash(word)
-            known[word] = self.common.get(name, name)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if not len(self.common):
+            return words
+        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        return np.where(self.common[at] == words, _COMMON | self.by[at].astype(np.uint64), words)
 
 
 class LineSets:
-    """The word sets of many lines, one after the other, with class, signature, size. They are sorted by
-    level, if there are levels, and key."""
-
-    def __init__(self, lines, order, levels=None):
-        sizes = [len(words) for words in lines]
-        keys = order(list(itertools.chain.from_iterable(lines)))
-        line = np.repeat(np.arange(len(lines)), sizes)
-        places = line
-        if levels is not None:
-            level = np.where(keys < _COMMON, levels[keys & np.uint64(len(levels) - 1)], 255)
-            places = line * 256 + level
-        by = np.lexsort((keys, places))
-        keys, line = keys[by], line[by]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-        self.keys, line = keys[fresh], line[fresh]
-        self.levels = None if levels is None else level[by][fresh]
-        self.sizes = np.bincount(line, minlength=len(lines))
+    """The word sets of many lines, one after the other, with class, signature, size, from the hashes of
+    their words and the numbers of these words. They are sorted by level, if there are levels, and key."""
+
+    def __init__(self, words, sizes, order, levels=None):
+        words, word = np.unique(words, return_inverse=True)
+        keys = order(words)
+        level = np.where(keys < _COMMON, 0 if levels is None else levels[
+            keys & np.uint64(len(levels) - 1)], 255).astype(np.uint8)
+        # Rare words are in order of their hashes already, common ones stand last.
+        by = np.argsort(level, kind="stable")
+        common = by[np.count_nonzero(level < 255):]
+        common[:] = common[np.argsort(keys[common])]
+        keys = keys[by]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        # A line and a word's place among these words in one integer.
+        bits = log2_ceil(len(by) + 1)
+        both = np.sort((np.repeat(np.arange(len(sizes)), sizes) << bits) | rank[word])
+        fresh = np.ones(len(both), bool)
+        fresh[1:] = both[1:] != both[:-1]
+        both = both[fresh]
+        word, line = both & ((1 << bits) - 1), both >> bits
+        self.keys, self.line = keys[word], line
+        self.levels = level[by][word]
+        self.sizes = np.bincount(line, minlength=len(sizes))
         self.starts = offsets(self.sizes)
-        self.line = line
-        scrambled = mix64(self.keys)
-        self.classes = np.zeros(len(lines), np.uint64)
-        self.signatures = np.zeros(len(lines), np.uint64)
+        scrambled = mix64(keys)
+        self.classes = np.zeros(len(sizes), np.uint64)
+        self.signatures = np.zeros(len(sizes), np.uint64)
         some = np.flatnonzero(self.sizes)
         if len(some):
             at = self.starts[some]
-            self.classes[some] = np.add.reduceat(mix64(scrambled ^ np.uint64(0x5851F42D4C957F2D)), at)
+            self.classes[some] = np.add.reduceat(
+                mix64(scrambled ^ np.uint64(0x5851F42D4C957F2D))[word], at)
             self.signatures[some] = np.bitwise_xor.reduceat(
-                np.uint64(1) << (scrambled >> np.uint64(58)), at)
+                (np.uint64(1) << (scrambled >> np.uint64(58)))[word], at)
 
     def prefixes(self, lines, ratio):
         """The prefix words of chosen lines that occur more than once: all keys, and per chosen line how
@@ -185,8 +231,10 @@ class LineSets:
         return self.keys[inside], count[lines], once[lines]
 
 
-def _lines(data: bytes):
-    return data.split(b"\n")
+def _sets(data, begins, order, levels=None) -> LineSets:
+    """The word sets of the lines of `data`, which begin at `begins`."""
+    words, places = _word_hashes(data)
+    return LineSets(words, np.diff(np.append(np.searchsorted(places, begins), len(places))), order, levels)
 
 
 def _slices(batches, size=SLICE_BYTES):
@@ -203,17 +251,13 @@ def _index_rows(batches, common, levels, ratio):
     and the number of lines as place, and index rows, which have keys but no id and no line."""
     order, seen = WordOrder(common), set()
     for batch in _slices(batches):
-        owner, numbers, lines, counts = [], [], [], []
-        for i, text in enumerate(batch.column("_utf8")):
-            if not batch.column("_null")[i].as_py():
-                own = [words_of(x) for x in _lines(text.as_py())]
-            else:
-                own = []
-            counts.append(len(own))
-            owner += [i] * len(own)
-            numbers += range(len(own))
-            lines += own
-        sets = LineSets(lines, order, levels)
+        there = np.flatnonzero(~batch.column("_null").to_numpy(zero_copy_only=False))
+        data, begins, _, per_text = _text_lines(batch.column("_utf8").take(pa.array(there)).to_pylist())
+        counts = np.zeros(batch.num_rows, np.int64)
+        counts[there] = per_text
+        own = np.repeat(np.arange(batch.num_rows), counts)
+        numbers = np.arange(len(own)) - offsets(counts)[own]
+        sets = _sets(data, begins, order, levels)
         names = sets.classes.tolist()
         if len(seen) > 1_000_000:
             seen.clear()
@@ -224,7 +268,6 @@ def _index_rows(batches, common, levels, ratio):
                 fresh.append(i)
         line = np.array(fresh, np.int64)
         keys, lengths, position = sets.prefixes(line, ratio)
-        own = np.array(owner, np.int64)
         docs = np.arange(len(counts))
         n_index, n_other = len(line), len(own) + len(docs)
         zeros = np.zeros(n_index, np.int64)
@@ -237,117 +280,126 @@ def _index_rows(batches, common, levels, ratio):
                 pa.list_(pa.int64())),
             pa.array(np.concatenate([sets.classes, blank, sets.classes[line]]).view(np.int64)),
             pa.array(np.concatenate([sets.signatures, blank, sets.signatures[line]]).view(np.int64)),
-            pa.array(np.concatenate([sets.sizes << _POSITIONS, np.array(counts, np.int64),
+            pa.array(np.concatenate([sets.sizes << _POSITIONS, counts,
                                      (sets.sizes[line] << _POSITIONS) | position]).astype(np.int64)),
             batch.column("_id").take(take), batch.column("_h").take(take),
-            pa.array(np.concatenate([np.array(numbers, np.int64), docs * 0 - 1, zeros]).astype(
+            pa.array(np.concatenate([numbers, docs * 0 - 1, zeros]).astype(
                 np.int32), mask=is_index),
         ], names=["keys", "class", "signature", "place", "_id", "_h", "line"])
 
 
-def _possible(size, position, signature, i, j, ratio):
-    """The length, positional and signature filters on pairs of rows i, j of one word."""
+def _apart(size, i, j, ratio):
+    """How many words two lines of rows i, j share at least if they match, and how many are then in one of
+    them alone at most."""
     p, q = ratio.numerator, ratio.denominator
-    a, b = size[i], size[j]
-    needed = -(-p * (a + b) // (p + q))
-    follow = 1 + np.minimum(a - position[i], b - position[j]) - 1
-    apart = np.bitwise_count(signature[i] ^ signature[j]).astype(np.int64)
-    return ((np.minimum(a, b) * q >= np.maximum(a, b) * p) & (follow >= needed)
-            & (apart <= a + b - 2 * needed))
-
-
-def _partnered(keys, size, ratio, possible):
-    """Which rows, sorted by key and size, have a partner: `possible` judges pairs of rows i, j of one key
-    and of sizes that fit."""
-    n = len(keys)
-    found = np.zeros(n, bool)
+    both = size[i] + size[j]
+    needed = -(-p * both // (p + q))
+    return needed, both - 2 * needed
+
+
+def _partnered(starts, ends, size, ratio, possible):
+    """Which rows, sorted by size between `starts` and `ends` of their key, have a partner: `possible` picks
+    from pairs of rows i, j of one key and of sizes that fit."""
+    n = len(size)
+    found, own = np.zeros(n, bool), np.repeat(np.arange(len(starts)), ends - starts) << 32
+    # Sizes rise within a key: a partner too long stays too long further on.
+    stops = np.searchsorted(own | size, own | (size * ratio.denominator // ratio.numerator), side="right")
     left, step = np.arange(n), 1
     while len(left):
-        left = left[left + step < n]
-        left = left[keys[left] == keys[left + step]]
+        left = left[left + step < stops[left]]
         right = left + step
-        # Sizes rise within a word: a partner too long stays too long further on.
-        near = size[left] * ratio.denominator >= size[right] * ratio.numerator
-        left, right = left[near], right[near]
-        open_ = ~(found[left] & found[right])
-        i, j = left[open_], right[open_]
+        open_ = np.flatnonzero(~(found[left] & found[right]))
+        i, j = (left, right) if len(open_) == len(left) else (left[open_], right[open_])
         hit = possible(i, j)
         found[i[hit]] = True
         found[j[hit]] = True
         step += 1
-        if step > 64:  # long runs: rows that have a partner no longer look for one to the right
-            left = left[~found[left] | _open_right(left, found, keys)]
+        if step % 64 == 0:  # long runs: rows that have a partner no longer look for one to the right
+            last_open = np.maximum.accumulate(np.where(found, -1, np.arange(n)))
+            left = left[~found[left] | (last_open[stops[left] - 1] > left)]
     return found
 
 
-def _open_right(left, found, keys):
-    """Whether any row of the same word further right has no partner yet."""
-    last_open = np.maximum.accumulate(np.where(found, -1, np.arange(len(found))))
-    ends = np.searchsorted(np.flatnonzero(np.r_[keys[1:] != keys[:-1], True]), left)
-    run_end = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True])[ends]
-    return last_open[run_end] > left
-
-
 def _candidate_rows(batches, ratio):
     """The index rows with a possible partner in their piece of work."""
-    for table in whole_groups(batches, ["key", "part"]):
-        key, part, place = (table.column(c).to_numpy() for c in ("key", "part", "place"))
-        joint = mix64(key.view(np.uint64)) ^ part.astype(np.uint64)
-        before, classes, signature = (table.column(c).to_numpy().view(np.uint64)
+    for table in whole_groups(batches, ["piece"]):
+        piece, place = (table.column(c).to_numpy() for c in ("piece", "place"))
+        starts, ends = runs(piece)
+        by = np.argsort((np.repeat(np.arange(len(starts)), ends - starts) << 32)
+                        | (place >> _POSITIONS))
+        place = place[by]
+        before, classes, signature = (table.column(c).to_numpy().view(np.uint64)[by]
                                       for c in ("before", "class", "signature"))
         size, position = place >> _POSITIONS, place & ((1 << _POSITIONS) - 1)
 
         def possible(i, j):
-            """Rows of another class. Rows with the same word before (0: none that occurs twice) share
-            that word: they are partners at the first of such."""
-            return _possible(size, position, signature, i, j, ratio) & ~(
-                (classes[i] == classes[j]) & (signature[i] == signature[j])) & ~(
-                (before[i] == before[j]) & (before[i] != 0))
-
-        found = _partnered(joint, size, ratio, possible)
-        yield from table.select(["key", "class", "signature", "place"]).filter(
+            """The signature, positional and length filters for rows of another class. Rows with the same
+            word before (0: none that occurs twice) share that word: they are partners at the first of
+            such."""
+            needed, alone = _apart(size, i, j, ratio)
+            hit = np.flatnonzero(np.bitwise_count(signature[i] ^ signature[j]) <= alone)
+            i, j = i[hit], j[hit]
+            follow = np.minimum(size[i] - position[i], size[j] - position[j])
+            return hit[(follow >= needed[hit])
+                       & ((classes[i] != classes[j]) | (signature[i] != signature[j]))
+                       & ((before[i] != before[j]) | (before[i] == 0))]
+
+        found = by[_partnered(starts, ends, size, ratio, possible)]
+        yield from table.select(["key", "class", "signature"]).take(
             pa.array(found)).combine_chunks().to_batches()
 
 
-def _wide_signature(keys) -> bytes:
-    """The parity of the words in each of WIDE_BITS slots."""
-    slots = mix64(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(WIDE_BITS)
-    return np.packbits(np.bincount(slots.astype(np.int64), minlength=WIDE_BITS) & 1).tobytes()
+def _wide_signatures(keys, starts, ends) -> list:
+    """The parity of the words in each of WIDE_BITS slots, for sets from `starts` to `ends` in `keys`."""
+    slots = (mix64(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(WIDE_BITS)).astype(np.int64)
+    out = []
+    for low in range(0, len(starts), 1024):
+        first, sizes = starts[low:low + 1024], (ends - starts)[low:low + 1024]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        places = np.arange(len(owner)) + (first - offsets(sizes)[:-1])[owner]
+        odd = np.bincount(owner * WIDE_BITS + slots[places], minlength=len(sizes) * WIDE_BITS) & 1
+        out += [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, WIDE_BITS), axis=1)]
+    return out
 
 
 def _near_rows(batches, ratio):
     """The candidates with a partner, in their piece of work, by size and wide signature."""
-    p, q = ratio.numerator, ratio.denominator
     for table in whole_groups(batches, ["key", "part"]):
-        key, part, size = (table.column(c).to_numpy() for c in ("key", "part", "size"))
-        joint = mix64(key.view(np.uint64)) ^ part.astype(np.uint64)
+        starts, ends = runs(*(table.column(c).to_numpy() for c in ("key", "part")))
+        size = table.column("size").to_numpy()
         wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(
-            len(key), WIDE_BITS // 64)
+            len(size), WIDE_BITS // 64)
 
         def possible(i, j):
-            both = size[i] + size[j]
             apart = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
-            return apart <= both - 2 * -(-p * both // (p + q))
+            return np.flatnonzero(apart <= _apart(size, i, j, ratio)[1])
 
-        found = _partnered(joint, size, ratio, possible)
+        found = _partnered(starts, ends, size, ratio, possible)
         yield from table.select(["key", "part", "class", "signature"]).filter(
             pa.array(found)).combine_chunks().to_batches()
 
 
-def _location(doc, line):
+def _locations(docs, lines):
     """As `_bitmap` has it. `_h` stands for the document, since an id may be null."""
-    return xxhash.xxh64_intdigest(f"{doc}:{line}", 42)
+    return docs ^ (lines * LINE_STEP)
 
 
 def _rank_type(common):
     return "<u2" if len(common) <= 1 << 16 else "<u4"
 
 
-def _packed(keys, width) -> bytes:
-    """A sorted word set in bytes: how many rare words, their hashes, the ranks of common words."""
-    n = int(np.searchsorted(keys, _COMMON))
-    return b"".join([n.to_bytes(4, "little"), keys[:n].astype("<u8").tobytes(),
-                     (keys[n:] ^ _COMMON).astype(width).tobytes()])
+def _packed(keys, starts, ends, width) -> list:
+    """Sorted word sets from `starts` to `ends` in `keys` in bytes: how many rare words, their hashes,
+    the ranks of common words."""
+    common = keys >= _COMMON
+    rare = offsets(~common)
+    hashes = keys[~common].astype("<u8").tobytes()
+    ranks = (keys[common] ^ _COMMON).astype(width)
+    size, ranks = ranks.itemsize, ranks.tobytes()
+    a, b = rare[starts], rare[ends]
+    c, d = size * (starts - a), size * (ends - b)
+    return [(j - i).to_bytes(4, "little") + hashes[8 * i:8 * j] + ranks[k:m]
+            for i, j, k, m in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())]
 
 
 def _unpacked(data, width) -> frozenset:
@@ -359,22 +411,23 @@ def _unpacked(data, width) -> frozenset:
 def _fetch_rows(batches, common, bitmap):
     """The word sets of the lines whose place is in the bitmap, which holds all wanted ones."""
     order, mask, width = WordOrder(common), len(bitmap) * 8 - 1, _rank_type(common)
-    for batch in batches:
-        lines = []
-        for i, text in enumerate(batch.column("_utf8")):
-            doc = batch.column("_h")[i].as_py()
-            for k, line in enumerate(_lines(text.as_py())):
-                slot = _location(doc, k) & mask
-                if bitmap[slot >> 3] >> (slot & 7) & 1:
-                    lines.append(words_of(line))
-        sets = LineSets(lines, order)
+    for batch in _slices(batches):
+        data, begins, ends, counts = _text_lines(batch.column("_utf8").to_pylist())
+        own = np.repeat(np.arange(len(counts)), counts)
+        slots = _locations(batch.column("_h").to_numpy()[own],
+                           np.arange(len(own)) - offsets(counts)[own]) & mask
+        wanted = np.flatnonzero((bitmap[slots >> 3] >> (slots & 7)) & 1)
+        data, begins, _, _ = _text_lines([data[a:b] for a, b in zip(begins[wanted].tolist(),
+                                                                    ends[wanted].tolist())])
+        sets = _sets(data, begins, order)
         fresh = np.unique(sets.classes, return_index=True)[1]
+        places = sets.starts[fresh], sets.starts[fresh + 1]
         yield pa.RecordBatch.from_arrays(
             [pa.array(sets.classes[fresh].view(np.int64)),
              pa.array(sets.signatures[fresh].view(np.int64)),
              pa.array(sets.sizes[fresh].astype(np.int64)),
-             *[pa.array([pack(sets.keys[sets.starts[i]:sets.starts[i + 1]]) for i in fresh.tolist()],
-                        pa.binary()) for pack in (_wide_signature, lambda x: _packed(x, width))]],
+             pa.array(_wide_signatures(sets.keys, *places), pa.binary()),
+             pa.array(_packed(sets.keys, *places, width), pa.binary())],
             names=["class", "signature", "size", "wide", "words"])
 
 
@@ -403,8 +456,8 @@ def _later_rows(batches, ratio, width):
 def _bitmap(places: DataFrame, count: int) -> np.ndarray:
     """The places' bits, 16 MiB at most: with more lines more of them look wanted."""
     bits = 1 << min(log2_ceil(MAX_FETCH_BITS), max(15, log2_ceil(16 * count)))
-    slot = F.pmod(F.xxhash64(F.concat_ws(":", F.col("_h").cast("string"),
-                                         F.col("line").cast("string"))), F.lit(bits))
+    slot = F.col("_h").bitwiseXOR(F.col("line").cast("long") * LINE_STEP).bitwiseAND(
+        F.lit(bits - 1).cast("long"))
     packed = places.select(slot.alias("s")).groupBy(
         F.shiftright("s", 15).alias("page")).agg(
         F.bitmap_construct_agg(F.col("s") % 32768).alias("bits")).collect()
@@ -452,10 +505,13 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     pieces = blockwise_groups(index.join(hot, "key", "left_semi").distinct(), "key", group,
                               "hot-words")
     pieces = index.join(hot, "key", "left_anti").withColumn("part", F.lit(0)).unionByName(pieces)
-    pieces = pieces.repartition("key", "part").sortWithinPartitions("key", "part", "place")
+    # One number to sort by; pieces that share it by chance are compared in vain.
+    pieces = pieces.withColumn("piece", F.when(F.col("part") == 0, F.col("key")).otherwise(
+        F.xxhash64("key", "part"))).drop("part")
+    pieces = pieces.repartition("piece").sortWithinPartitions("piece")
     found = pieces.mapInArrow(lambda b: _candidate_rows(b, ratio),
-                              "key long, class long, signature long, place long")
-    candidates = materialize(found.select("key", *who).distinct(), "candidates")
+                              "key long, class long, signature long")
+    candidates = materialize(found.distinct(), "candidates")
 
     wanted = materialize(candidates.select(*who).distinct().join(classes, who), "wanted")
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted.select("first.*"), wanted.count()))
