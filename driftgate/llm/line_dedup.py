@@ -111,7 +111,8 @@ def _count_rows(batches, at_once=WORDS_AT_ONCE):
 
 
 def word_counts(base: DataFrame) -> DataFrame:
-    return materialize(base.select("_utf8").mapInArrow(_count_rows, "word long, n long")
+    # A task's rows are of different words: they are added up after the exchange only.
+    return materialize(base.select("_utf8").mapInArrow(_count_rows, "word long, n long").repartition("word")
                        .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
@@ -124,28 +125,29 @@ def common_words(counts: DataFrame, limit=COMMON_WORDS) -> np.ndarray:
 
 
 def _page_rows(batches):
-    """Rows (page, levels): the levels of 65,536 slots each, from rows (slot, level)."""
+    """Rows (page, levels): the levels of 65,536 slots each, from rows (slot, n)."""
     pages = {}
     for batch in batches:
-        slots, levels = (batch.column(c).to_numpy() for c in ("slot", "level"))
-        numbers = slots >> _PAGE_BITS
-        for page in np.unique(numbers).tolist():
-            own = numbers == page
-            pages.setdefault(page, np.zeros(1 << _PAGE_BITS, np.uint8))[
-                slots[own] & ((1 << _PAGE_BITS) - 1)] = levels[own]
+        slots, n = (batch.column(c).to_numpy() for c in ("slot", "n"))
+        by = np.argsort(slots)
+        slots, n = slots[by], n[by]
+        starts, ends = runs(slots >> _PAGE_BITS)
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            page = pages.setdefault(int(slots[start]) >> _PAGE_BITS, np.zeros(
+                1 << _PAGE_BITS, np.int64))
+            np.add.at(page, slots[start:end] & ((1 << _PAGE_BITS) - 1), n[start:end])
+    levels = [np.floor(np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in pages.values()]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(pages), pa.int64()), pa.array([x.tobytes() for x in pages.values()], pa.binary())],
-        names=["page", "levels"])
+        [pa.array(list(pages), pa.int64()), pa.array(levels, pa.binary())], names=["page", "levels"])
 
 
 def word_levels(counts: DataFrame) -> np.ndarray:
     """The logarithm of the count of all words in a slot, by the low bits of the word's hash, in at most
     16 MiB. A word whose slot has level 0 occurs once in all texts."""
     bits = min(MAX_SLOT_BITS, max(_PAGE_BITS, log2_ceil(4 * counts.count())))
-    slots = counts.groupBy(F.col("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(
-        F.sum("n").alias("n")).where("n > 1")
-    rows = slots.select("slot", F.floor(F.log2("n")).cast("int").alias("level")).repartition(
-        F.shiftright("slot", _PAGE_BITS)).mapInArrow(_page_rows, "page long, levels binary").collect()
+    slots = counts.select(F.col("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"), "n")
+    rows = slots.repartition(F.shiftright("slot", _PAGE_BITS)).mapInArrow(
+        _page_rows, "page long, levels binary").collect()
     out = np.zeros(1 << bits, np.uint8)
     for row in rows:
         out[row.page << _PAGE_BITS:(row.page + 1) << _PAGE_BITS] = np.frombuffer(row.levels, np.uint8)
@@ -320,10 +322,10 @@ def _partnered(starts, ends, size, ratio, possible):
     return found
 
 
-def _candidate_rows(batches, ratio):
-    """The index rows with a possible partner in their piece of work."""
-    for table in whole_groups(batches, ["piece"]):
-        piece, place = (table.column(c).to_numpy() for c in ("piece", "place"))
+def _candidate_rows(batches, name, ratio):
+    """The index rows with a possible partner in their piece of work, which is named by a column."""
+    for table in whole_groups(batches, [name]):
+        piece, place = (table.column(c).to_numpy() for c in (name, "place"))
         starts, ends = runs(piece)
         by = np.argsort((np.repeat(np.arange(len(starts)), ends - starts) << 32)
                         | (place >> _POSITIONS))
@@ -402,10 +404,11 @@ def _packed(keys, starts, ends, width) -> list:
             for i, j, k, m in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())]
 
 
-def _unpacked(data, width) -> frozenset:
-    n = int.from_bytes(data[:4], "little")
-    ranks = np.frombuffer(data, width, offset=4 + 8 * n).astype(np.uint64) | _COMMON
-    return frozenset(np.frombuffer(data, "<u8", n, 4).tolist() + ranks.tolist())
+def _unpacked(data, width):
+    """The rare and the common words as two sets."""
+    n, view = int.from_bytes(data[:4], "little"), memoryview(data)
+    return (frozenset(view[4:4 + 8 * n].cast("Q")),
+            frozenset(view[4 + 8 * n:].cast(np.dtype(width).char)))
 
 
 def _fetch_rows(batches, common, bitmap):
@@ -437,18 +440,19 @@ def _later_rows(batches, ratio, width):
     for table in whole_groups(batches, ["key", "part"]):
         starts, ends = runs(table.column("key").to_numpy(), table.column("part").to_numpy())
         names = table.column("class").to_numpy(), table.column("signature").to_numpy()
-        words = table.column("words").combine_chunks()
+        words = table.column("words").to_pylist()
         found = []
         for start, end in zip(starts.tolist(), ends.tolist()):
             earlier = []
             for i in range(start, end):
-                own = _unpacked(words[i].as_py(), width)
-                for other in earlier:
-                    if min(len(own), len(other)) * q >= max(len(own), len(other)) * p and len(
-                            own & other) * (p + q) >= p * (len(own) + len(other)):
+                rare, common = _unpacked(words[i], width)
+                own = len(rare) + len(common)
+                for size, other_rare, other_common in earlier:
+                    if min(own, size) * q >= max(own, size) * p and (
+                            len(rare & other_rare) + len(common & other_common)) * (p + q) >= p * (own + size):
                         found.append(i)
                         break
-                earlier.append(own)
+                earlier.append((own, rare, common))
         yield pa.RecordBatch.from_arrays([pa.array(n[found]) for n in names],
                                          names=["class", "signature"])
 
@@ -504,13 +508,13 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     hot = broadcast_bounded(hot, hot.count())
     pieces = blockwise_groups(index.join(hot, "key", "left_semi").distinct(), "key", group,
                               "hot-words")
-    pieces = index.join(hot, "key", "left_anti").withColumn("part", F.lit(0)).unionByName(pieces)
-    # One number to sort by; pieces that share it by chance are compared in vain.
-    pieces = pieces.withColumn("piece", F.when(F.col("part") == 0, F.col("key")).otherwise(
-        F.xxhash64("key", "part"))).drop("part")
-    pieces = pieces.repartition("piece").sortWithinPartitions("piece")
-    found = pieces.mapInArrow(lambda b: _candidate_rows(b, ratio),
-                              "key long, class long, signature long")
+    # One number to sort by; pairs of chunks that share it by chance are compared in vain.
+    pieces = pieces.withColumn("piece", F.xxhash64("key", "part")).drop("part")
+    schema = "key long, class long, signature long"
+    found = [df.repartition(name).sortWithinPartitions(name).mapInArrow(
+        lambda b, name=name: _candidate_rows(b, name, ratio), schema)
+        for df, name in ((index.join(hot, "key", "left_anti"), "key"), (pieces, "piece"))]
+    found = found[0].unionByName(found[1])
     candidates = materialize(found.distinct(), "candidates")
 
     wanted = materialize(candidates.select(*who).distinct().join(classes, who), "wanted")
