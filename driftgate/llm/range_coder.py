@@ -1,262 +1,237 @@
-"""Adaptive range coding of id sequences below 65,536, many independent blocks side by side.
-
-Every block has its own model, starting from nothing. Order-2 and order-1 contexts each predict one
-id with a confidence; their adaptive hit rates are mixed by a weight that follows the better one. The
-coder first says whether an id is the order-2 prediction, the order-1 prediction or neither. Otherwise
-order 0 codes the id's low byte with adaptive counts, then whether the high byte is the one last
-seen with it, and at worst the high byte itself. All arithmetic is on integers, so blocks decode
-alike on any machine. numpy works on one id of every block at a time.
+"""Range coding of id sequences below 65,536 with mixed orders 0 to 2, many blocks side by side.
+
+The ids of a call share one model, counted from them first and stored ahead of the blocks: order 0 has the
+share of every id; orders 1 and 2 have, for contexts of one id and of two hashed ids, the id that mostly
+follows and how sure that is. With the model any block decodes on its own. Each block adapts the hit
+rates of the two predictions by confidence, and where they agree mixes them by a weight that follows
+the better one. An id takes one step of the coder: the order-2 prediction, the order-1 prediction, or
+neither and then the id by order 0. All arithmetic is on integers, so blocks decode alike on any
+machine. numpy works on one id of every block at a time.
 """
 
+import zlib
+
 import numpy as np
 
 BLOCK = 2048
-CONTEXTS = 1024
 ONE = 4096
-_TOP, _BOTTOM, _UNIT = np.uint32(1 << 24), np.uint32(1 << 16), np.uint32(1)
-_BYTE, _HIGH, _ONE_BITS = np.uint32(8), np.uint32(24), np.uint32(12)
-_STEP, _LIMIT = 32, 6000
+#: Order-0 shares add up to this; contexts of order 2 are hashed to so many slots.
+TOTAL, SLOTS = 1 << 20, 1 << 16
+_ONE_BITS, _TOTAL_BITS, _WORD = np.uint64(12), np.uint64(20), np.uint64(32)
+_FULL, _LEAST, _MASK = np.uint64((1 << 64) - 1), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+_LAST, _LAST_ID, _ID_BEFORE = np.uint64(TOTAL - 1), np.uint16(40503), np.uint16(30011)
+_HIT, _ID, _SURE, _SLOW = np.int32(ONE), np.int32(0xFFFF), np.int32(16), np.int32(5)
+_REST, _ONE_SHIFT = np.int32(ONE - 16), np.int32(12)
+#: A prediction is kept that was right so often, and in at least one of so many cases.
+_HITS, _CASES = 4, 16
+_RATES = np.array([16, 350, 900, 1450, 2000, 2600, 3150, 3800], np.int32)
+
+
+def _pair(last, before):
+    """The slot of an order-2 context, from 16-bit ids: the product wraps."""
+    return last * _LAST_ID + before * _ID_BEFORE
+
+
+def _prediction(contexts, ids):
+    """Per context the id that mostly follows, with the confidence in the bits above it."""
+    keys = contexts.astype(np.uint32)
+    keys <<= 16
+    keys |= ids
+    keys.sort()
+    starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+    counts = np.diff(np.append(starts, len(keys)))
+    kinds = keys[starts]
+    of = kinds >> 16
+    first = np.append(0, np.flatnonzero(of[1:] != of[:-1]) + 1)
+    cases, hits = np.add.reduceat(counts, first), np.maximum.reduceat(counts, first)
+    kept = np.flatnonzero((hits >= _HITS) & (hits * _CASES >= cases))
+    table = np.zeros(SLOTS, np.int32)
+    groups = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+    best = np.flatnonzero(counts == hits[groups])
+    said = np.zeros(len(first), np.int64)
+    said[groups[best][::-1]] = kinds[best][::-1] & 0xFFFF  # of several the smallest id
+    sure = np.minimum(1 + hits[kept] * 7 // cases[kept], 7)
+    table[of[first[kept]]] = said[kept] | (sure << 16)
+    return table
+
+
+class Model:
+    """Order-0 shares and the predictions of orders 1 and 2."""
+
+    def __init__(self, shares, one, two):
+        self.shares, self.one, self.two = shares, one, two
+        self.size = shares.astype(np.uint64)
+        self.start = np.cumsum(self.size) - self.size
+
+    @classmethod
+    def count(cls, ids, block):
+        counts = np.bincount(ids, minlength=1 << 16)
+        found = counts > 0
+        shares = np.where(found, 1 + counts * (TOTAL - found.sum()) // len(ids), 0)
+        shares[np.argmax(shares)] += TOTAL - shares.sum()
+        last = np.concatenate((np.zeros(1, np.uint16), ids[:-1]))
+        last[::block] = 0
+        before = np.concatenate((np.zeros(1, np.uint16), last[:-1]))
+        before[::block] = 0
+        return cls(shares, _prediction(last, ids), _prediction(_pair(last, before), ids))
+
+    def symbols(self):
+        """The id at each place of order 0."""
+        return np.repeat(np.arange(1 << 16, dtype=np.uint16), self.shares)
+
+    def to_bytes(self):
+        parts, sizes = [], []
+        for table in (self.shares, self.one, self.two):
+            at = np.flatnonzero(table)
+            sizes.append(len(at))
+            parts.append(np.diff(at, prepend=0).astype("<u2").tobytes())
+            parts += [(table[at] >> k & 0xFF).astype(np.uint8).tobytes() for k in (0, 8, 16)]
+        return zlib.compress(np.array(sizes, "<u4").tobytes() + b"".join(parts))
+
+    @classmethod
+    def from_bytes(cls, data):
+        data = zlib.decompress(data)
+        sizes, begin, tables = np.frombuffer(data, "<u4", 3).tolist(), 12, []
+        for n in sizes:
+            table = np.zeros(1 << 16, np.int32)
+            at = np.cumsum(np.frombuffer(data, "<u2", n, begin), dtype=np.int64)
+            planes = np.frombuffer(data, np.uint8, 3 * n, begin + 2 * n).reshape(3, n)
+            planes = planes.astype(np.int32)
+            table[at] = planes[0] | planes[1] << 8 | planes[2] << 16
+            tables.append(table)
+            begin += 5 * n
+        return cls(*tables)
 
 
-class _Lanes:
-    """The intervals of some blocks, taken out of the coder and given back."""
+class _Range:
+    """Carry-less range coder intervals, one per block; at most one word leaves per step."""
+
+    def __init__(self, n, model):
+        self.low = np.zeros(n, np.uint64)
+        self.width = np.full(n, _FULL, np.uint64)
+        self.size, self.start = model.size, model.start
+
+    def _ends(self, m, two, both):
+        """Where the intervals of the predictions end, and the unit of order 0 in what is left."""
+        width = self.width[:m]
+        unit = width >> _ONE_BITS
+        first, second = unit * two, unit * both
+        return first, second, (width - second) >> _TOTAL_BITS
+
+    def _narrow(self, m, ids, hit, other, first, second, unit):
+        add = second + unit * self.start.take(ids)
+        width = unit * self.size.take(ids)
+        told = np.flatnonzero(other)
+        add[told] = start = first.take(told)
+        width[told] = second.take(told) - start
+        told = np.flatnonzero(hit)
+        add[told], width[told] = 0, first.take(told)
+        self._move(m, add)
+        self.width[:m] = width
+        go = np.flatnonzero(width < _LEAST)
+        if len(go):
+            low = self.low.take(go)
+            # Of an interval across the end of a word, the part before it is kept.
+            kept = np.minimum(width.take(go), _LEAST - (low & _MASK))
+            self._shift(go, low)
+            self.low[go], self.width[go] = low << _WORD, kept << _WORD
 
-    __slots__ = ("index", "low", "width", "value")
 
+class Encoder(_Range):
+    def __init__(self, n, steps, model):
+        super().__init__(n, model)
+        self.data, self.at = np.zeros((n, steps + 1), ">u4"), np.zeros(n, np.int64)
 
-class _Range:
-    """Carry-less range coder intervals, one per block."""
-
-    def __init__(self, n):
-        self.low = np.zeros(n, np.uint32)
-        self.width = np.full(n, 0xFFFFFFFF, np.uint32)
-        self.value = np.zeros(n, np.uint32)
-
-    def take(self, index):
-        lanes = _Lanes()
-        lanes.index, lanes.low, lanes.width = index, self.low[index], self.width[index]
-        lanes.value = self.value[index]
-        return lanes
-
-    def give(self, lanes):
-        self.low[lanes.index] = lanes.low
-        self.width[lanes.index] = lanes.width
-        self.value[lanes.index] = lanes.value
-
-    def _narrow(self, lanes, unit, first, size):
-        lanes.low = lanes.low + unit * first.astype(np.uint32)
-        lanes.width = unit * size.astype(np.uint32)
-        low, width = lanes.low, lanes.width
-        go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
-        while len(go):
-            low, width = lanes.low[go], lanes.width[go]
-            short = (low ^ (low + width)) >= _TOP
-            if short.any():
-                width = np.where(short, (~low + _UNIT) & (_BOTTOM - _UNIT), width)
-            self._shift(lanes, go, low)
-            low, width = low << _BYTE, width << _BYTE
-            lanes.low[go], lanes.width[go] = low, width
-            go = go[((low ^ (low + width)) < _TOP) | (width < _BOTTOM)]
+    def _move(self, m, add):
+        self.low[:m] += add
 
+    def _shift(self, go, low):
+        at = self.at.take(go)
+        self.data[go, at] = low >> _WORD
+        self.at[go] = at + 1
 
-class Encoder(_Range):
-    def __init__(self, n):
-        super().__init__(n)
-        self.data, self.at = np.zeros((n, 2 * BLOCK), np.uint8), np.zeros(n, np.int64)
-
-    def _shift(self, lanes, some, low):
-        index = lanes.index[some]
-        at = self.at[index]
-        if len(at) and at.max() >= self.data.shape[1]:
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)], axis=1)
-        self.data[index, at] = (low >> _HIGH).astype(np.uint8)
-        self.at[index] = at + 1
-
-    def choose(self, lanes, two, one, flag):
-        """0, 1 or 2 with counts two, one and the rest of ONE."""
-        first = np.where(flag == 0, 0, np.where(flag == 1, two, two + one))
-        size = np.where(flag == 0, two, np.where(flag == 1, one, ONE - two - one))
-        self._narrow(lanes, lanes.width >> _ONE_BITS, first, size)
-        return flag
-
-    def count(self, lanes, counts, symbols):
-        ends = np.cumsum(counts, axis=1, dtype=np.uint32)
-        rows = np.arange(len(symbols))
-        size = counts[rows, symbols]
-        self._narrow(lanes, lanes.width // ends[:, -1], ends[rows, symbols] - size, size)
-        return symbols, ends[:, -1]
-
-    def byte(self, lanes, values):
-        self._narrow(lanes, lanes.width >> _BYTE, values, np.ones(len(values), np.uint32))
-        return values
+    def code(self, m, two, both, said, said_one, ids):
+        hit = ids == said
+        self._narrow(m, ids, hit, ids == said_one, *self._ends(m, two, both))
+        return ids, hit
 
     def finish(self):
-        lanes = self.take(np.arange(len(self.low)))
-        for _ in range(4):
-            self._shift(lanes, slice(None), lanes.low)
-            lanes.low = lanes.low << _BYTE
+        self._shift(np.arange(len(self.low)), self.low + _MASK)
         return [self.data[i, :n].tobytes() for i, n in enumerate(self.at.tolist())]
 
 
 class Decoder(_Range):
-    def __init__(self, blocks):
-        super().__init__(len(blocks))
-        lengths = np.array([len(b) for b in blocks], np.int64)
-        self.at = np.concatenate(([0], np.cumsum(lengths + 8)[:-1]))
-        self.data = np.frombuffer(b"".join(b + bytes(8) for b in blocks), np.uint8)
-        self.ends = self.at + lengths + 7
-        lanes = self.take(np.arange(len(blocks)))
-        for _ in range(4):
-            self._shift(lanes, slice(None), None)
-        self.give(lanes)
-
-    def _shift(self, lanes, some, low):
-        index = lanes.index[some]
-        at = np.minimum(self.at[index], self.ends[index])  # a damaged block must not run on
-        lanes.value[some] = (lanes.value[some] << _BYTE) | self.data[at]
-        self.at[index] += 1
-
-    def _place(self, lanes, unit, total):
-        unit = np.maximum(unit, _UNIT)
-        return np.minimum((lanes.value - lanes.low) // unit, total - 1).astype(np.int64)
-
-    def choose(self, lanes, two, one, flag):
-        unit = lanes.width >> _ONE_BITS
-        place = self._place(lanes, unit, np.uint32(ONE))
-        flag = (place >= two).astype(np.int64) + (place >= two + one)
-        first = np.where(flag == 0, 0, np.where(flag == 1, two, two + one))
-        size = np.where(flag == 0, two, np.where(flag == 1, one, ONE - two - one))
-        self._narrow(lanes, unit, first, size)
-        return flag
-
-    def count(self, lanes, counts, symbols):
-        ends = np.cumsum(counts, axis=1, dtype=np.uint32)
-        unit = lanes.width // ends[:, -1]
-        place = self._place(lanes, unit, ends[:, -1])
-        symbols = (ends[:, :-1] <= place[:, None]).sum(axis=1)
-        rows = np.arange(len(symbols))
-        size = counts[rows, symbols]
-        self._narrow(lanes, unit, ends[rows, symbols] - size, size)
-        return symbols, ends[:, -1]
-
-    def byte(self, lanes, values):
-        unit = lanes.width >> _BYTE
-        values = self._place(lanes, unit, np.uint32(256))
-        self._narrow(lanes, unit, values, np.ones(len(values), np.uint32))
-        return values
-
-
-class _Prediction:
-    """One predicted id with a confidence (in the bits above it) per block and context, and the hit
-    rate per confidence."""
-
-    def __init__(self, n):
-        self.table = np.zeros(n * CONTEXTS, np.int32)
-        self.rate = np.tile(np.array([64, 512, 1024, 1536, 2048, 2560, 3072, 3584], np.int32), n)
-
-    def look(self, lanes, context):
-        self.at = lanes * CONTEXTS + context
-        entry = self.table[self.at]
-        self.said = entry & 0xFFFF
-        self.sure = entry >> 16
-        self.cell = lanes * 8 + self.sure
-        self.chance = self.rate[self.cell]
-
-    def learn(self, ids, hit, counted=None):
-        change = ((hit * ONE) - self.chance) >> 5
-        self.rate[self.cell] = self.chance + (change if counted is None else change * counted)
-        kept = hit | (self.sure > 1)
-        sure = np.where(hit, np.minimum(self.sure + 1, 7), np.maximum(self.sure >> 1, 1))
-        self.table[self.at] = np.where(kept, self.said, ids) | (sure << 16)
-
-
-class _Counts:
-    """Adaptive counts of 16 symbols per block and context."""
-
-    def __init__(self, n, contexts):
-        self.contexts = contexts
-        self.counts = np.ones((n * contexts, 16), np.uint32)
-
-    def code(self, coder, lanes, context, symbols):
-        rows = lanes.index * self.contexts + context
-        symbols, total = coder.count(lanes, self.counts[rows], symbols)
-        self.counts[rows, symbols] += np.uint32(_STEP)
-        full = rows[total > _LIMIT]
-        if len(full):
-            self.counts[full] = (self.counts[full] >> 1) | 1
-        return symbols
-
-
-def _run(coder, ids, lengths):
+    def __init__(self, blocks, model):
+        super().__init__(len(blocks), model)
+        blocks = [b + bytes(8 + -len(b) % 4) for b in blocks]
+        ends = np.cumsum([len(b) // 4 for b in blocks])
+        self.data = np.frombuffer(b"".join(blocks), ">u4").astype(np.uint64)
+        self.at, self.last = np.concatenate(([0], ends[:-1])) + 2, ends - 1
+        self.value = self.data[self.at - 2] << _WORD | self.data[self.at - 1]  # above low
+        self.symbols = model.symbols()
+
+    def _move(self, m, add):
+        self.low[:m] += add
+        self.value[:m] -= add
+
+    def _shift(self, go, low):
+        at = self.at.take(go)
+        word = self.data.take(np.minimum(at, self.last.take(go)))  # damage must not run on
+        self.value[go] = self.value.take(go) << _WORD | word
+        self.at[go] = at + 1
+
+    def code(self, m, two, both, said, said_one, ids):
+        first, second, unit = self._ends(m, two, both)
+        value = self.value[:m]
+        hit, other = value < first, value < second
+        place = np.minimum((value - second) // unit, _LAST).astype(np.int64)
+        ids = self.symbols.take(place).astype(np.int32)
+        np.copyto(ids, said_one, where=other)
+        np.copyto(ids, said, where=hit)
+        self._narrow(m, ids, hit, other, first, second, unit)
+        return ids, hit
+
+
+def _run(coder, model, ids, lengths):
     """Code ids [step, block] (None when decoding) of blocks in order of falling length."""
-    n, steps = len(lengths), int(lengths[0]) if len(lengths) else 0
+    n, steps = len(lengths), int(lengths[0])
     out = np.zeros((steps, n), np.uint16)
-    second, firsts = _Prediction(n), _Prediction(n)
-    high, low = _Counts(n, 1), _Counts(n, 16)
-    seen, seen_rate = np.zeros(n * 256, np.uint8), np.full(n, ONE // 2, np.int32)
+    lanes = np.arange(n) * len(_RATES)
+    rate_one, rate_two = np.tile(_RATES, n), np.tile(_RATES, n)
     weight = np.full(n, 8, np.int32)
-    before, last = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    counts = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    every = np.arange(n)
-    for t in range(steps):
-        m = int(counts[t])
-        all_lanes = every[:m]
-        p, q = last[:m], before[:m]
-        firsts.look(all_lanes, (p * 40503 >> 4) % CONTEXTS)
-        second.look(all_lanes, (p * 10007 + q * 30011 >> 3) % CONTEXTS)
-        agree = firsts.said == second.said
-        w = weight[:m]
-        two = np.where(agree, (second.chance * w + firsts.chance * (16 - w)) >> 4, second.chance)
-        two = np.minimum(np.maximum(two, 16), ONE - 64)
-        one = np.maximum(1, ((ONE - 16 - two) * firsts.chance) >> 12) * ~agree
-        x = flag = None
-        if ids is not None:
-            x = ids[t, :m].astype(np.int32)
-            flag = np.where(x == second.said, 0, np.where(x == firsts.said, 1, 2))
-        lanes = coder.take(all_lanes)
-        flag = coder.choose(lanes, two, one, flag)
-        coder.give(lanes)
-        value = np.where(flag == 0, second.said, firsts.said)
-        miss = np.flatnonzero(flag == 2)
-        if len(miss):
-            y = None if x is None else x[miss]
-            lanes = coder.take(miss)
-            a = high.code(coder, lanes, 0, None if y is None else (y >> 4) & 15)
-            b = low.code(coder, lanes, a, None if y is None else y & 15)
-            byte = a * 16 + b
-            cell = miss * 256 + byte
-            known = seen[cell].astype(np.int32)
-            rate = seen_rate[miss]
-            other = coder.choose(lanes, rate, ONE - rate,
-                                 None if y is None else ((y >> 8) != known).astype(np.int64))
-            seen_rate[miss] = np.minimum(np.maximum(
-                rate + (((1 - other) * ONE - rate) >> 5), 32), ONE - 32)
-            coder.give(lanes)
-            rest = np.flatnonzero(other)
-            if len(rest):
-                lanes = coder.take(miss[rest])
-                known[rest] = coder.byte(lanes, None if y is None else y[rest] >> 8)
-                coder.give(lanes)
-                seen[cell[rest]] = known[rest]
-            value[miss] = known * 256 + byte
-        out[t, :m] = value
-        hit = value == second.said
-        second.learn(value, hit)
-        firsts.learn(value, value == firsts.said, agree | ~hit)
-        truth = hit * ONE
-        better = np.abs(truth - firsts.chance) - np.abs(truth - second.chance)
-        weight[:m] = np.minimum(np.maximum(w + agree * np.sign(better), 1), 15)
-        before[:m], last[:m] = p, value
+    before, last = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
+    counts = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+    for t, m in enumerate(counts):
+        one = model.one.take(last[:m])
+        two = model.two.take(_pair(last[:m], before[:m]))
+        said_one, said = one & _ID, two & _ID
+        cell_one, cell_two = lanes[:m] + (one >> _SURE), lanes[:m] + (two >> _SURE)
+        chance_one, chance = rate_one.take(cell_one), rate_two.take(cell_two)
+        same = said_one == said
+        agree = np.flatnonzero(same)
+        w, gap = weight.take(agree), chance_one.take(agree) - chance.take(agree)
+        first = chance.copy()
+        first[agree] += gap * (16 - w) >> 4
+        np.minimum(np.maximum(first, 16, out=first), ONE - 64, out=first)
+        both = np.maximum((_REST - first) * chance_one >> _ONE_SHIFT, 1)
+        both[agree] = 0
+        both += first
+        x, hit = coder.code(m, first.astype(np.uint64), both.astype(np.uint64), said, said_one,
+                            None if ids is None else ids[t, :m])
+        out[t, :m] = x
+        rate_two[cell_two] = chance + ((hit * _HIT - chance) >> _SLOW)
+        counted = same | ~hit
+        rate_one[cell_one] = chance_one + (((x == said_one) * _HIT - chance_one) >> _SLOW) * counted
+        # Where both say the same, the weight follows the one that was nearer to what came.
+        nearer = np.sign(gap)
+        w += np.where(hit.take(agree), -nearer, nearer)
+        weight[agree] = np.minimum(np.maximum(w, 1), 15)
+        before[:m], last[:m] = last[:m], out[t, :m]
     return out
 
 
-def _ordered(lengths):
-    order = np.argsort(-lengths, kind="stable")
-    return order, lengths[order]
-
-
 def encode_blocks(ids: np.ndarray, block=BLOCK) -> list:
-    """Coded blocks of `block` ids each, the last one shorter."""
+    """The model, then coded blocks of `block` ids each, the last one shorter."""
     if len(ids) == 0:
         return []
     if int(ids.max()) >= 1 << 16 or int(ids.min()) < 0:
@@ -266,18 +241,22 @@ def encode_blocks(ids: np.ndarray, block=BLOCK) -> list:
     padded[:len(ids)] = ids
     lengths = np.full(n, block, np.int64)
     lengths[-1] = len(ids) - (n - 1) * block
-    grid = np.ascontiguousarray(padded.reshape(n, block).T[:int(lengths.max())])
-    coder = Encoder(n)
-    _run(coder, grid, lengths)  # only the last block is shorter: the order is right
-    return coder.finish()
+    grid = padded.reshape(n, block).T[:int(lengths.max())].astype(np.int32, order="C")
+    model = Model.count(padded[:len(ids)], block)
+    coder = Encoder(n, len(grid), model)
+    _run(coder, model, grid, lengths)  # only the last block is shorter: the order is right
+    return [model.to_bytes(), *coder.finish()]
 
 
-def decode_blocks(blocks, lengths) -> np.ndarray:
-    """The ids of coded blocks, one after the other."""
-    if not blocks:
+def decode_blocks(coded, lengths) -> np.ndarray:
+    """The ids of a model and blocks that were coded with it, one after the other."""
+    if len(lengths) == 0:
         return np.zeros(0, np.uint16)
-    order, falling = _ordered(np.asarray(lengths, np.int64))
-    out = _run(Decoder([blocks[i] for i in order]), None, falling)
+    model, blocks = Model.from_bytes(coded[0]), coded[1:]
+    lengths = np.asarray(lengths, np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    falling = lengths[order]
+    out = _run(Decoder([blocks[i] for i in order], model), model, None, falling)
     parts = [None] * len(blocks)
     for place, i in enumerate(order.tolist()):
         parts[i] = out[:int(falling[place]), place]

@@ -1,19 +1,22 @@
 """Token ids in binary files: tokenised, range coded in checksummed blocks, and read back.
 
 Documents are range partitioned and sorted by id. Each task tokenises its own range and writes
-segments: the ids of consecutive documents, cut into blocks that are coded on their own (see
-`range_coder`), with the length and the CRC-32 of each block and the length of each document. A
+segments: the ids of consecutive documents, their model, and the blocks they are cut into, each of which
+decodes with the model alone (see `range_coder`); with the length and the CRC-32 of each block and the
+length of each document. A
 segment is a row of a Parquet file, so files are written and committed by Spark and can be read from
 any store; `part` and `segment` give the order. A document is never split over segments.
 """
 
 import functools
-import itertools
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -27,9 +30,16 @@ SEGMENT_IDS = 2048 * BLOCK
 CACHED_WORDS = 600_000
 #: New words that go to the tokenizer as one text.
 WORDS_AT_ONCE = 500
-VERSION = 1
+TEXT_AT_ONCE = 1 << 23
+VERSION = 2
 _SCHEMA = ("version int, part int, segment int, n_ids long, docs array<struct<id: {id}, n: long>>, "
-           "blocks array<struct<crc32: long, n: int, data: binary>>")
+           "model binary, blocks array<struct<crc32: long, n: int, data: binary>>")
+#: Letters of ASCII and Latin-1, in UTF-8, and one mark after them.
+_LETTERS = "".join(c for c in map(chr, [*range(0x41, 0x7B), *range(0xC0, 0x100)]) if c.isalpha())
+_MARKS = ".,;:!?"
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]?)")
+#: Makes their UTF-8 small: after the byte C3, capitals are 80 to 9E.
+_SMALL = bytes(c + 32 * (0x41 <= c <= 0x5A or 0x80 <= c <= 0x9E) for c in range(256))
 
 
 def vocabulary_path() -> str:
@@ -42,27 +52,94 @@ class WordTokenizer:
 
     White space never belongs to a token of this vocabulary's pre-tokenizer and no rule looks
     across it, so a text's ids are those of its pieces between ASCII white space, which repeat. A
-    bounded number of them is remembered.
+    bounded number of them is remembered. Where the vocabulary's rules are seen to leave small letters
+    whole and to part them from a mark, words of letters go to its model without those rules, once
+    for all their forms that differ in capitals and in the mark.
     """
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.letters, self.letters_before = {}, {}, {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.model, self.names = self.tokenizer.model, self._letter_names()
+        self.marks = {c.encode(): self._ids(c) for c in _MARKS}
+
+    def _ids(self, text):
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _letter_names(self):
+        """What small letters are to the model; None if words need all rules."""
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        small = _LETTERS.lower()
+        if normal is None or split is None or normal.normalize_str(_LETTERS) != small:
+            return None
+        plain = set(_LETTERS + _MARKS)
+        if any(plain.issuperset(t.content)
+               for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        names = {c: split.pre_tokenize_str(c) for c in small}
+        whole = [("".join(names[c][0][0] for c in small), (0, len(small)))]
+        if split.pre_tokenize_str(small) != whole or any(
+                c.isascii() and names[c][0][0] != c for c in small) or any(
+                normal.normalize_str(c + mark) != c + mark
+                or [x for x, _ in split.pre_tokenize_str(c + mark)] != [names[c][0][0], mark]
+                for c in small for mark in _MARKS):
+            return None
+        return {ord(c): found[0][0] for c, found in names.items()}
 
     def encode(self, texts, end_id=END_ID) -> list:
         """Bytes of the ids of each text with the end id."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        split = [t.split() for t in texts]
-        self._learn(list(set(itertools.chain.from_iterable(split)).difference(self.known)))
-        end = np.array([end_id], "<u2").tobytes()
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) + end for words in split]
+        if len(self.letters) > CACHED_WORDS // 2:
+            self.letters, self.letters_before = {}, self.letters
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_binary())
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_binary()).view(pa.large_string()))
+        words = split.flatten().view(pa.large_binary()).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in distinct if w not in self.known])
+        coded = pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary())
+        ids = coded.take(words.indices)
+        if len(ids) == 0:
+            return [struct.pack("<H", end_id)] * len(texts)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        first = split.offsets.to_numpy()
+        cuts = at[first - first[0]].tolist()
+        data, end = memoryview(ids.buffers()[2] or b""), struct.pack("<H", end_id)
+        return [bytes(data[a:b]) + end for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, new):
+        if self.names is None:
+            self._learn_by_rules(new)
+            return
+        rest, known, letters, before = [], self.known, self.letters, self.letters_before
+        for word in new:
+            name, mark = word, b""
+            if not word.isalpha():
+                plain = _PLAIN.fullmatch(word)
+                if plain is None:
+                    rest.append(word)
+                    continue
+                name, mark = plain.groups()
+            small = name.translate(_SMALL)
+            ids = letters.get(small)
+            if ids is None:
+                ids = letters[small] = before.get(small) or self._letter_ids(small)
+            known[word] = ids + self.marks[mark] if mark else ids
+        self._learn_by_rules(rest)
+
+    def _letter_ids(self, small):
+        name = small.decode()
+        if not name.isascii():
+            name = name.translate(self.names)
+        ids = [t.id for t in self.model.tokenize(name)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _learn_by_rules(self, new):
         """Encode words line by line in one text: a token belongs to the line it starts in."""
         groups = [new[i:i + WORDS_AT_ONCE] for i in range(0, len(new), WORDS_AT_ONCE)]
         lines = [[w.decode("utf-8", "replace") for w in group] for group in groups]
@@ -84,14 +161,23 @@ def word_tokenizer(path) -> WordTokenizer:
 
 def _segment_row(part, number, ids, doc_ids, counts):
     values = np.frombuffer(b"".join(ids), "<u2")
-    blocks = encode_blocks(values)
+    model, *blocks = encode_blocks(values)
     pieces = []
     for k, data in enumerate(blocks):
         own = values[k * BLOCK:(k + 1) * BLOCK]
         pieces.append({"crc32": zlib.crc32(own.astype("<u4").tobytes()), "n": len(own),
                        "data": data})
     return {"version": VERSION, "part": part, "segment": number, "n_ids": len(values),
-            "docs": [{"id": i, "n": n} for i, n in zip(doc_ids, counts)], "blocks": pieces}
+            "docs": [{"id": i, "n": n} for i, n in zip(doc_ids, counts)],
+            "model": model, "blocks": pieces}
+
+
+def _some_rows(texts):
+    """From and to of rows that hold about TEXT_AT_ONCE bytes together; long texts stand alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // TEXT_AT_ONCE, prepend=0)).tolist()
+    cuts = [0, *cuts, len(texts)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def _encode(batches, path, end_id, segment_ids, schema):
@@ -103,11 +189,10 @@ def _encode(batches, path, end_id, segment_ids, schema):
             [_segment_row(part, number, ids, doc_ids, counts)], schema=schema)
 
     for batch in batches:
-        for low in range(0, batch.num_rows, 256):  # long texts: few at a time
-            rows = batch.slice(low, 256)
+        for low, high in _some_rows(batch.column("_utf8")):
+            rows = batch.slice(low, high - low)
             names = rows.column("_id").to_pylist()
-            for name, coded in zip(names, tokenizer.encode(rows.column("_utf8").to_pylist(),
-                                                           end_id)):
+            for name, coded in zip(names, tokenizer.encode(rows.column("_utf8"), end_id)):
                 ids.append(coded)
                 doc_ids.append(name)
                 counts.append(len(coded) // 2)
@@ -147,7 +232,8 @@ def _decode(batches):
             if segment["version"] != VERSION:
                 raise ValueError(f"version {segment['version']} is not known")
             blocks = segment["blocks"]
-            values = decode_blocks([b["data"] for b in blocks], [b["n"] for b in blocks])
+            values = decode_blocks([segment["model"], *(b["data"] for b in blocks)],
+                                   [b["n"] for b in blocks])
             values, at = values.astype("<u4"), 0
             for k, block in enumerate(blocks):
                 if zlib.crc32(values[at:at + block["n"]].tobytes()) != block["crc32"]:
